@@ -108,3 +108,73 @@ def metrics_from(per_query_unrounded: str, ks=KS) -> str:
 def label_metrics(metric: str = "cosine", ks=KS) -> str:
     judged, nr = label_judged(metric, max(max(ks), 10))
     return metrics_from(per_query_from(judged, nr, ks, digits=None), ks)
+
+
+# ---- conversation triples (F3) and the datasets built from them --------------------
+
+PAIRS = """
+  c_ AS (SELECT conv_id, turn, role, text FROM conversations),
+  u_ AS (SELECT conv_id, turn, text AS query FROM c_ WHERE role = 'user'),
+  a_ AS (SELECT conv_id, turn - 1 AS turn, text AS positive FROM c_ WHERE role = 'assistant'),
+  pr_ AS (SELECT u_.conv_id, u_.turn, query, positive FROM u_ JOIN a_ USING (conv_id, turn)),
+  nx_ AS (SELECT conv_id, turn - 2 AS turn, positive AS next_pos FROM pr_),
+  ft_ AS (SELECT conv_id, min(turn) AS turn FROM pr_ GROUP BY conv_id),
+  fp_ AS (SELECT pr_.conv_id, pr_.positive AS first_pos FROM pr_ JOIN ft_ USING (conv_id, turn)),
+  pairs AS (SELECT query, positive, coalesce(next_pos, first_pos) AS negative,
+                   conv_id * 100 + turn AS ord, conv_id, turn
+            FROM pr_ LEFT JOIN nx_ USING (conv_id, turn) LEFT JOIN fp_ USING (conv_id))"""
+
+TRIPLES = PAIRS + """,
+  kept AS (SELECT query, ord, positive, negative FROM (
+             SELECT *, row_number() OVER (PARTITION BY query ORDER BY ord) AS rn FROM pairs) t
+           WHERE rn = 1),
+  tq AS (SELECT 'q-' || CAST(n AS VARCHAR) AS query_id, query AS text, n AS ord, positive, negative
+         FROM (SELECT *, row_number() OVER (ORDER BY ord) - 1 AS n FROM kept) t),
+  tdocs AS (SELECT text, min(p) AS p FROM (
+              SELECT positive AS text, ord * 2 AS p FROM kept
+              UNION ALL SELECT negative, ord * 2 + 1 FROM kept) t GROUP BY text),
+  tc AS (SELECT 'c-' || CAST(n AS VARCHAR) AS doc_id, text, n AS ord
+         FROM (SELECT *, row_number() OVER (ORDER BY p) - 1 AS n FROM tdocs) t),
+  tqrels AS (SELECT tq.query_id, tc.doc_id, 1 AS relevance FROM tq JOIN tc ON tc.text = tq.positive
+             UNION ALL
+             SELECT tq.query_id, tc.doc_id, 0 AS relevance FROM tq JOIN tc ON tc.text = tq.negative)"""
+
+
+def split_sql(src: str, ratio: float, seed: int = 42) -> str:
+    """U3 over a CTE ``src(query_id, ord)``; defines CTE ``tsplits``."""
+    return f""",
+  rk_ AS (SELECT query_id, ord, row_number() OVER (ORDER BY md5('{seed}:split:' || query_id), query_id) - 1 AS rk,
+                 count(*) OVER () AS n FROM {src}),
+  lab_ AS (SELECT query_id, ord, CASE WHEN rk < CAST(floor(n * {ratio!r}) AS BIGINT) THEN 'val' ELSE 'train' END AS split
+           FROM rk_),
+  tsplits AS (SELECT query_id, split, row_number() OVER (PARTITION BY split ORDER BY ord, query_id) - 1 AS ord
+              FROM lab_)"""
+
+
+def dev_sql(seed: int = 42, frac: float = 0.5) -> str:
+    """U6 over CTE ``tsplits``; defines ``tdev``."""
+    return f""",
+  tr_ AS (SELECT query_id, ord, row_number() OVER (ORDER BY md5('{seed}:dev:' || query_id), query_id) - 1 AS rk,
+                 count(*) OVER () AS n FROM tsplits WHERE split = 'train'),
+  tdev AS (SELECT query_id, CASE WHEN rk < CAST(ceil(n * {frac!r}) AS BIGINT) THEN 'dev' ELSE 'train' END AS split, ord
+           FROM tr_
+           UNION ALL
+           SELECT query_id, CASE WHEN split = 'val' THEN 'test' ELSE split END, ord
+           FROM tsplits WHERE split <> 'train')"""
+
+
+# ---- judged import (F4) -----------------------------------------------------------------
+
+JUDGED = """
+  jd_ AS (SELECT doc_id, text, lang, source FROM documents),
+  jcorpus AS (SELECT CAST(doc_id AS VARCHAR) AS doc_id, text,
+                     row_number() OVER (ORDER BY CAST(doc_id AS VARCHAR)) - 1 AS ord FROM jd_),
+  jq_ AS (SELECT DISTINCT lang || '-' || source AS query_id FROM jd_),
+  jqueries AS (SELECT query_id, query_id AS text, row_number() OVER (ORDER BY query_id) - 1 AS ord FROM jq_),
+  jqrels AS (SELECT DISTINCT d.lang || '-' || d.source AS query_id, CAST(l.doc_id AS VARCHAR) AS doc_id,
+                    CAST(l.quality AS INTEGER) AS relevance
+             FROM labels l JOIN jd_ d ON d.doc_id = l.doc_id)"""
+
+
+def with_(ctes: str, body: str) -> str:
+    return f"WITH {ctes}\n{body}"

@@ -54,3 +54,142 @@ def m7(spark, sf):
 def m8(spark, sf):
     """Mean metrics (5 decimals) of leave-one-out cosine search; relevance = same label."""
     return V.label_metrics(spark, sf)
+
+
+# ---- datasets: imports, numbering, splits, selection -------------------------------------
+
+from retrievalkit.operators import sampling as U  # noqa: E402
+from retrievalkit.sources import imports as D  # noqa: E402
+from retrievalkit.sources import testdata  # noqa: E402
+
+RATIO = 0.1   # validation share used by the conversation dataset
+SEED = 42
+
+
+def triples_dataset(spark, sf):
+    return D.import_triples(spark, testdata.conversation_pairs(spark, sf).select(
+        "query", "positive", "negative", "ord"))
+
+
+def split_dataset(spark, sf):
+    t = triples_dataset(spark, sf)
+    return t.with_(splits=U.split_train_val(t.queries, RATIO, SEED))
+
+
+def judged_dataset(spark, sf):
+    corpus, queries, judged = testdata.judgments(spark, sf)
+    return D.import_judged(spark, corpus, queries, judged)
+
+
+@register("D5_import_triples_queries",
+          O.with_(O.TRIPLES, "SELECT query_id, text, ord FROM tq"))
+def d5_queries(spark, sf):
+    """Conversation (query, positive, negative) rows -> queries with q-N ids."""
+    return triples_dataset(spark, sf).queries
+
+
+@register("D5_import_triples_corpus", O.with_(O.TRIPLES, "SELECT doc_id, text, ord FROM tc"))
+def d5_corpus(spark, sf):
+    """Documents deduplicated by text over both roles, c-N by first appearance."""
+    return triples_dataset(spark, sf).corpus
+
+
+@register("D5_import_triples_qrels", O.with_(O.TRIPLES, "SELECT * FROM tqrels"))
+def d5_qrels(spark, sf):
+    return triples_dataset(spark, sf).qrels
+
+
+@register("U1_dense_index", """
+    SELECT CAST(doc_id AS VARCHAR) AS doc_id, n_chars,
+           row_number() OVER (ORDER BY n_chars, doc_id) - 1 AS ord
+    FROM documents""")
+def u1(spark, sf):
+    """0-based dense position of every document ordered by (n_chars, doc_id)."""
+    d = testdata.table(spark, sf, "documents").select(
+        F.col("doc_id").cast("string").alias("doc_id"), "n_chars", F.col("doc_id").alias("_id"))
+    return U.dense_index(d, [F.col("n_chars"), F.col("_id")]).drop("_id")
+
+
+@register("U3_split_train_val",
+          O.with_(O.TRIPLES + O.split_sql("tq", RATIO, SEED), "SELECT * FROM tsplits"))
+def u3(spark, sf):
+    """Exact-size (int(n*0.1)) repeatable validation split of the conversation queries."""
+    return split_dataset(spark, sf).splits
+
+
+@register("U6_split_dev",
+          O.with_(O.TRIPLES + O.split_sql("tq", RATIO, SEED) + O.dev_sql(SEED, 0.5),
+                  "SELECT * FROM tdev"))
+def u6(spark, sf):
+    """train -> train/dev (dev = ceil(n/2)), val -> test."""
+    return U.split_dev(split_dataset(spark, sf).splits, 0.5, SEED)
+
+
+@register("U2_select_split", O.with_(
+    O.TRIPLES + O.split_sql("tq", RATIO, SEED),
+    "SELECT s.query_id, q.text, s.ord FROM tsplits s JOIN tq q USING (query_id) WHERE s.split = 'val'"))
+def u2(spark, sf):
+    """Validation queries of the conversation dataset, in list order."""
+    return U.select_split(split_dataset(spark, sf), "val")
+
+
+@register("U4_sample_docs", """
+    SELECT CAST(doc_id AS VARCHAR) AS doc_id, text FROM documents
+    ORDER BY md5('42:sample:' || CAST(doc_id AS VARCHAR)), CAST(doc_id AS VARCHAR) LIMIT 100""")
+def u4(spark, sf):
+    """100 documents sampled without replacement (the sampling operator's own k)."""
+    d = testdata.table(spark, sf, "documents").select(
+        F.col("doc_id").cast("string").alias("doc_id"), "text")
+    return U.sample_docs(d, 100, SEED)
+
+
+@register("U5_subset_corpus_qrels", O.with_(O.TRIPLES + """,
+    kc AS (SELECT doc_id FROM tc WHERE ord < 1000),
+    kq AS (SELECT query_id, doc_id, relevance FROM tqrels WHERE doc_id IN (SELECT doc_id FROM kc)),
+    live AS (SELECT DISTINCT query_id FROM kq WHERE relevance = 1)""",
+    "SELECT * FROM kq WHERE query_id IN (SELECT query_id FROM live)"))
+def u5(spark, sf):
+    """Judgments left after keeping the first 1,000 documents (the operator's n)."""
+    return U.subset_corpus(triples_dataset(spark, sf), 1000).qrels
+
+
+@register("U7_judged_pool", O.with_(O.JUDGED, """
+    SELECT * FROM jcorpus WHERE doc_id IN (SELECT doc_id FROM jqrels)"""))
+def u7(spark, sf):
+    """Corpus restricted to documents judged for the evaluated queries."""
+    return U.judged_pool(judged_dataset(spark, sf), None)
+
+
+@register("D4_import_judged_qrels", O.with_(O.JUDGED, "SELECT * FROM jqrels"))
+def d4_qrels(spark, sf):
+    """labels(quality) as 0/1 judgments of documents for the query lang-source."""
+    return judged_dataset(spark, sf).qrels
+
+
+@register("D4_import_judged_corpus", O.with_(O.JUDGED, "SELECT * FROM jcorpus"))
+def d4_corpus(spark, sf):
+    return judged_dataset(spark, sf).corpus
+
+
+@register("D4_import_judged_queries", O.with_(O.JUDGED, "SELECT * FROM jqueries"))
+def d4_queries(spark, sf):
+    return judged_dataset(spark, sf).queries
+
+
+@register("D6_dataset_summary", O.with_(O.TRIPLES + O.split_sql("tq", RATIO, SEED), """
+    SELECT (SELECT count(*) FROM tc) AS corpus,
+           (SELECT count(*) FROM tsplits WHERE split = 'train') AS train_queries,
+           (SELECT count(*) FROM tsplits WHERE split = 'val') AS val_queries"""))
+def d6(spark, sf):
+    return D.dataset_summary(split_dataset(spark, sf))
+
+
+@register("D8_check_integrity", O.with_(O.JUDGED, """
+    SELECT DISTINCT 'judged_query_missing' AS "check", query_id AS id FROM jqrels
+    WHERE query_id NOT IN (SELECT query_id FROM jqueries)
+    UNION ALL
+    SELECT DISTINCT 'relevant_doc_missing', doc_id FROM jqrels
+    WHERE relevance = 1 AND doc_id NOT IN (SELECT doc_id FROM jcorpus)"""))
+def d8(spark, sf):
+    """Dangling references of the judged dataset (empty when consistent)."""
+    return D.check_integrity(judged_dataset(spark, sf))
