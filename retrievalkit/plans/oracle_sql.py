@@ -178,3 +178,49 @@ JUDGED = """
 
 def with_(ctes: str, body: str) -> str:
     return f"WITH {ctes}\n{body}"
+
+
+# ---- text path (E2 vectors, R2 run) -------------------------------------------------------
+
+
+def hash_embed_sql(src: str, out: str, dim: int = 64, instruction: str | None = None) -> str:
+    """E2 over CTE ``src(id, text)``; defines CTE ``out(id, vec FLOAT[])``."""
+    text = f"'{instruction}' || text" if instruction else "text"
+    return f""",
+  {out}_s AS (SELECT id, {text} AS text FROM {src}),
+  {out}_t AS (SELECT id, unnest(regexp_extract_all(lower(text), '([a-z0-9]+)')) AS tok FROM {out}_s),
+  {out}_b AS (SELECT id, ('0x' || substr(md5(tok), 1, 4))::INTEGER % {dim} AS b, count(*) AS c
+              FROM {out}_t GROUP BY id, b),
+  {out}_d AS (SELECT s.id, list(coalesce(b.c, 0)::DOUBLE ORDER BY r.i) AS cnt
+              FROM {out}_s s CROSS JOIN range(0, {dim}) r(i)
+              LEFT JOIN {out}_b b ON b.id = s.id AND b.b = r.i GROUP BY s.id),
+  {out} AS (SELECT id, (CASE WHEN sqrt(list_dot_product(cnt, cnt)) > 0
+                             THEN list_transform(cnt, lambda x: x / sqrt(list_dot_product(cnt, cnt)))
+                             ELSE cnt END)::FLOAT[] AS vec FROM {out}_d)"""
+
+
+TEXT_BASE = TRIPLES + split_sql("tq", 0.1, 42)
+
+
+def text_vectors(split: str | None = None, dim: int = 64, qname: str = "qv", cname: str = "cv") -> str:
+    where = f"WHERE s.split = '{split}'" if split else ""
+    return f""",
+  {qname}_src AS (SELECT q.query_id AS id, q.text FROM tq q
+                  {"JOIN tsplits s USING (query_id)" if split else ""} {where}),
+  {cname}_src AS (SELECT doc_id AS id, text FROM tc)""" + \
+        hash_embed_sql(f"{qname}_src", qname, dim, "query: ") + hash_embed_sql(f"{cname}_src", cname, dim)
+
+
+def text_distance_run(split: str | None = None, k: int = 100) -> str:
+    """CTE ``drun``: squared-L2 top-k of query vectors ``qv`` over ``cv``."""
+    return f""",
+  drun AS (SELECT 'hash64' AS run_id, query_id, doc_id, score, CAST(rank AS INTEGER) AS rank FROM (
+             SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score ASC, doc_id ASC) AS rank
+             FROM (SELECT q.id AS query_id, c.id AS doc_id,
+                          round({score_sql('sq_l2', 'q.vec::DOUBLE[]', 'c.vec::DOUBLE[]')}, 6) AS score
+                   FROM qv q, cv c) s) r WHERE rank <= {k}),
+  trun AS (SELECT run_id, query_id, doc_id, 1.0 / (1.0 + score) AS score, rank FROM drun)"""
+
+
+def text_ctes(split: str | None = None, k: int = 100, dim: int = 64) -> str:
+    return TEXT_BASE + text_vectors(split, dim) + text_distance_run(split, k)

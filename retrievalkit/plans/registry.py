@@ -193,3 +193,241 @@ def d6(spark, sf):
 def d8(spark, sf):
     """Dangling references of the judged dataset (empty when consistent)."""
     return D.check_integrity(judged_dataset(spark, sf))
+
+
+# ---- text path: embeddings, retrieval, metrics, mining, rerank, training rows ------------
+
+from retrievalkit.operators import embed as E  # noqa: E402
+from retrievalkit.operators import metrics as M  # noqa: E402
+from retrievalkit.operators import search as R  # noqa: E402
+from retrievalkit.operators import training as T  # noqa: E402
+from retrievalkit.plans import text_eval as TX  # noqa: E402
+
+_TX = O.text_ctes()          # all queries, k = 100
+_TXV = O.text_ctes("val")    # validation queries, k = 100
+
+
+@register("E2_hash_embed_corpus", O.with_(_TX, "SELECT id, vec FROM cv"))
+def e2(spark, sf):
+    """Stand-in encoder over the whole conversation corpus (64 buckets, unit length)."""
+    return TX.corpus_vectors(TX.dataset(spark, sf))
+
+
+@register("E5_instruction_query_vectors", O.with_(_TX, "SELECT id, vec FROM qv"))
+def e5(spark, sf):
+    """Query vectors of texts prefixed with the query instruction."""
+    return TX.query_vectors(TX.dataset(spark, sf))
+
+
+@register("E1_embed_encoder_hook", O.with_(_TX, "SELECT id, vec FROM cv"))
+def e1(spark, sf):
+    """The generic encoder hook (mapInPandas, per-task encoder) with the same rule in Python."""
+    t = TX.dataset(spark, sf)
+    return E.embed(t.corpus.select(F.col("doc_id").alias("id"), "text"),
+                   E.hashing_encoder_factory(TX.DIM), role="corpus", batch_size=64)
+
+
+@register("E4_embed_incremental", O.with_(_TX, "SELECT id, vec FROM cv"))
+def e4(spark, sf):
+    """Store-backed embedding: encode only texts missing from the store, then join back."""
+    import uuid
+
+    from retrievalkit.session import checkpoint_dir
+
+    t = TX.dataset(spark, sf)
+    store = f"{checkpoint_dir(spark)}/embed-store-{uuid.uuid4().hex}"
+    docs = t.corpus.select(F.col("doc_id").alias("id"), "text")
+    fn = lambda df: E.hash_embed(df, TX.DIM)
+    # first call fills the store with the whole corpus; the second finds every text
+    E.embed_incremental(docs, store, "hash64", embed_fn=fn, role="corpus").write.format(
+        "noop").mode("overwrite").save()
+    return E.embed_incremental(docs, store, "hash64", embed_fn=fn, role="corpus")
+
+
+@register("E6_prepare_corpus", O.with_(_TX, """
+    SELECT tc.doc_id, tc.text, cv.vec FROM tc JOIN cv ON cv.id = tc.doc_id"""))
+def e6(spark, sf):
+    t = TX.dataset(spark, sf)
+    return E.prepare_corpus(t.corpus, lambda df: E.hash_embed(df, TX.DIM))
+
+
+@register("R2_retrieve", O.with_(_TX, "SELECT * FROM trun"))
+def r2(spark, sf):
+    """Top-100 of every conversation query, score = 1 / (1 + squared L2)."""
+    return TX.run(TX.dataset(spark, sf))
+
+
+@register("R3_check_scores", O.with_(_TX, """
+    SELECT query_id, 'score_range' AS problem FROM drun GROUP BY query_id
+    HAVING NOT bool_or(score BETWEEN 0.0 AND 1.0)"""))
+def r3(spark, sf):
+    """Queries none of whose raw distances lies in [0, 1]."""
+    return R.check_scores(TX.distance_run(TX.dataset(spark, sf)))
+
+
+@register("R4_mine_hard_negatives", O.with_(_TX + """,
+    trainq AS (SELECT query_id FROM tsplits WHERE split = 'train'),
+    haspos AS (SELECT DISTINCT query_id FROM tqrels WHERE relevance = 1),
+    win AS (SELECT query_id, doc_id FROM trun
+            WHERE rank > 50 AND rank <= 100
+              AND query_id IN (SELECT query_id FROM haspos)
+              AND query_id IN (SELECT query_id FROM trainq))""", """
+    SELECT query_id, doc_id, 0 AS relevance FROM (
+      SELECT *, row_number() OVER (PARTITION BY query_id
+                                   ORDER BY md5('42:neg:' || query_id || ':' || doc_id), doc_id) AS rn
+      FROM win) w WHERE rn <= 15"""))
+def r4(spark, sf):
+    """15 negatives per train query sampled from ranks 51..100 of its top-100 run."""
+    t = TX.dataset(spark, sf)
+    return R.mine_hard_negatives(TX.run(t, "train"), t.qrels, start=50, stop=100, n=15, seed=42)
+
+
+@register("R6_rerank_pairs", O.with_(_TX, """
+    SELECT r.query_id, r.doc_id, r.rank, q.text AS query_text, c.text AS doc_text
+    FROM trun r JOIN tq q USING (query_id) JOIN tc c USING (doc_id) WHERE r.rank <= 10"""))
+def r6(spark, sf):
+    """(query text, document text) pairs of the first 10 candidates per query."""
+    t = TX.dataset(spark, sf)
+    return R.rerank_pairs(TX.run(t), t.queries, t.corpus, 10)
+
+
+_PAIR128 = (O.text_vectors(None, 128, "qv128", "cv128") + """,
+  cand AS (SELECT run_id, query_id, doc_id FROM trun WHERE rank <= 10),
+  ps AS (SELECT cand.query_id, cand.doc_id,
+                round(coalesce(""" + O.score_sql("cosine", "q.vec::DOUBLE[]", "c.vec::DOUBLE[]") + """, 0.0), 6) AS score
+         FROM cand JOIN qv128 q ON q.id = cand.query_id JOIN cv128 c ON c.id = cand.doc_id)""")
+
+
+@register("R5_rerank", O.with_(_TX + _PAIR128, """
+    SELECT 'hash64' AS run_id, query_id, doc_id, score, CAST(rank AS INTEGER) AS rank FROM (
+      SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM ps) t
+    WHERE rank <= 10"""))
+def r5(spark, sf):
+    """First 10 candidates re-scored by a 128-bucket cosine pair scorer and re-sorted."""
+    t = TX.dataset(spark, sf)
+    run = TX.run(t)
+    ps = TX.pair_scores(R.rerank_pairs(run, t.queries, t.corpus, 10), t)
+    return R.rerank(run, ps, 10)
+
+
+@register("M1_build_qrels", O.with_(O.TRIPLES, "SELECT DISTINCT query_id, doc_id, 1 AS relevance FROM tqrels WHERE relevance = 1"))
+def m1(spark, sf):
+    return M.build_qrels(TX.dataset(spark, sf).qrels)
+
+
+_TXPQ = O.per_query_from(
+    "SELECT r.*, CASE WHEN q.doc_id IS NULL THEN 0 ELSE 1 END AS rel FROM trun r "
+    "LEFT JOIN (SELECT DISTINCT query_id, doc_id FROM tqrels WHERE relevance = 1) q USING (query_id, doc_id)",
+    "SELECT query_id, count(DISTINCT doc_id) AS num_rel FROM tqrels WHERE relevance = 1 GROUP BY query_id")
+
+
+def _text_per_query(spark, sf, split):
+    return round_doubles(TX.run_benchmark(TX.dataset(spark, sf), split, per_query=True))
+
+
+for _name, _metric in (("M2_ndcg_at_k", "ndcg"), ("M3_map_at_k", "map"),
+                       ("M4_recall_at_k", "recall"), ("M5_precision_at_k", "precision"),
+                       ("M6_mrr_at_k", "mrr")):
+    _cols = ", ".join(f"{_metric}_at_{k}" for k in TX.KS)
+    register(_name, O.with_(_TX, f"SELECT run_id, query_id, {_cols} FROM ({_TXPQ}) p"))(
+        lambda spark, sf, _metric=_metric: _text_per_query(spark, sf, None).select(
+            "run_id", "query_id", *[f"{_metric}_at_{k}" for k in TX.KS]))
+
+
+@register("M9_run_benchmark", O.with_(_TXV, O.metrics_from(O.per_query_from(
+    "SELECT r.*, CASE WHEN q.doc_id IS NULL THEN 0 ELSE 1 END AS rel FROM trun r "
+    "LEFT JOIN (SELECT DISTINCT query_id, doc_id FROM tqrels WHERE relevance = 1) q USING (query_id, doc_id)",
+    "SELECT query_id, count(DISTINCT doc_id) AS num_rel FROM tqrels WHERE relevance = 1 GROUP BY query_id",
+    digits=None))))
+def m9(spark, sf):
+    """Evaluate the validation split end to end: embed, search top-100, score at 1,3,5,10."""
+    return TX.run_benchmark(TX.dataset(spark, sf), "val")
+
+
+@register("M10_compare_runs", O.with_(
+    "x_ AS (" + O.label_metrics("cosine") + " UNION ALL " + O.label_metrics("dot")
+    + " UNION ALL " + O.label_metrics("sq_l2") + """),
+    l_ AS (UNPIVOT (SELECT * EXCLUDE (n_run_queries, n_judged_queries) FROM x_)
+           ON COLUMNS(* EXCLUDE (run_id)) INTO NAME name VALUE value),
+    ll_ AS (SELECT run_id, regexp_extract(name, '^([a-z]+)_at_', 1) AS metric,
+                   CAST(regexp_extract(name, '_at_([0-9]+)$', 1) AS INTEGER) AS k, value FROM l_)""",
+    """SELECT a.run_id, a.metric, a.k, a.value, b.value AS base_value,
+              round(a.value - b.value, 5) AS delta
+       FROM ll_ a LEFT JOIN (SELECT * FROM ll_ WHERE run_id = 'cosine') b USING (metric, k)"""))
+def m10(spark, sf):
+    """Leave-one-out search with cosine, dot and squared L2 side by side against cosine."""
+    runs = [V.label_run(spark, sf, m) for m in ("cosine", "dot", "sq_l2")]
+    run = runs[0].unionByName(runs[1]).unionByName(runs[2])
+    judged, nr = V.label_judged(spark, sf, run)
+    return M.compare_runs(M.compute_metrics(M.per_query_metrics(judged, nr, V.KS), V.KS),
+                          "cosine", V.KS)
+
+
+@register("T1_choose_positive", O.with_(O.TRIPLES, """
+    SELECT query_id, arg_min(doc_id, md5('42:pos:' || query_id || ':' || doc_id) || doc_id) AS doc_id
+    FROM tqrels WHERE relevance = 1 GROUP BY query_id"""))
+def t1(spark, sf):
+    return T.choose_positive(TX.dataset(spark, sf), None, 42)
+
+
+_NEG = """,
+  negs AS (SELECT DISTINCT query_id, doc_id FROM tqrels WHERE relevance = 0),
+  m_ AS (SELECT query_id, count(*) AS m FROM negs GROUP BY query_id),
+  cp_ AS (SELECT n.query_id, n.doc_id, c.copy FROM negs n JOIN m_ USING (query_id),
+          LATERAL (SELECT unnest(range(1, CAST(greatest(1, ceil(3.0 / m_.m)) AS BIGINT) + 1)) AS copy) c),
+  tneg AS (SELECT query_id, CAST(rn - 1 AS INTEGER) AS slot, doc_id FROM (
+             SELECT *, row_number() OVER (PARTITION BY query_id
+                 ORDER BY md5('42:neg:' || query_id || ':' || doc_id || ':' || CAST(copy AS VARCHAR)), doc_id, copy) AS rn
+             FROM cp_) t WHERE rn <= 3)"""
+
+
+@register("T2_sample_negatives", O.with_(O.TRIPLES + _NEG, "SELECT * FROM tneg"))
+def t2(spark, sf):
+    """3 negatives per query from a list of 1: oversampled, each id at most ceil(3/1) times."""
+    return T.sample_negatives(TX.dataset(spark, sf), 3, None, 42)
+
+
+@register("T3_training_rows", O.with_(O.TRIPLES + _NEG + """,
+  tpos AS (SELECT query_id, arg_min(doc_id, md5('42:pos:' || query_id || ':' || doc_id) || doc_id) AS doc_id
+           FROM tqrels WHERE relevance = 1 GROUP BY query_id)""", """
+    SELECT q.query_id, 'query: ' || q.text AS query, pc.text AS pos,
+           max(CASE WHEN n.slot = 0 THEN nc.text END) AS neg_0,
+           max(CASE WHEN n.slot = 1 THEN nc.text END) AS neg_1,
+           max(CASE WHEN n.slot = 2 THEN nc.text END) AS neg_2
+    FROM tq q JOIN tpos p USING (query_id) JOIN tc pc ON pc.doc_id = p.doc_id
+    JOIN tneg n ON n.query_id = q.query_id JOIN tc nc ON nc.doc_id = n.doc_id
+    GROUP BY q.query_id, q.text, pc.text"""))
+def t3(spark, sf):
+    """Rows query, pos, neg_0..neg_2 (query instruction on the query side)."""
+    rows, _ = T.training_rows(TX.dataset(spark, sf), None, 3, TX.QUERY_INSTRUCTION, None, 42)
+    return rows
+
+
+@register("T4_training_pairs", O.with_(O.TRIPLES + """,
+  tpos AS (SELECT query_id, arg_min(doc_id, md5('42:pos:' || query_id || ':' || doc_id) || doc_id) AS doc_id
+           FROM tqrels WHERE relevance = 1 GROUP BY query_id)""", """
+    SELECT q.query_id, q.text AS query, pc.text AS pos
+    FROM tq q JOIN tpos p USING (query_id) JOIN tc pc ON pc.doc_id = p.doc_id"""))
+def t4(spark, sf):
+    rows, _ = T.training_pairs(TX.dataset(spark, sf))
+    return rows
+
+
+@register("T5_scored_pairs", O.with_(_TX, """
+    SELECT r.query_id, r.doc_id, q.text AS sentence_A, c.text AS sentence_B, r.score
+    FROM trun r JOIN tq q USING (query_id) JOIN tc c USING (doc_id)"""))
+def t5(spark, sf):
+    t = TX.dataset(spark, sf)
+    return T.scored_pairs(TX.run(t), t)
+
+
+@register("T6_skipped_queries", O.with_(O.JUDGED, """
+    SELECT query_id, 'no_positive' AS reason FROM jqueries
+    WHERE query_id NOT IN (SELECT query_id FROM jqrels WHERE relevance = 1)
+    UNION ALL
+    SELECT query_id, 'no_negative' FROM jqueries
+    WHERE query_id IN (SELECT query_id FROM jqrels WHERE relevance = 1)
+      AND query_id NOT IN (SELECT query_id FROM jqrels WHERE relevance = 0)"""))
+def t6(spark, sf):
+    """Judged-dataset queries that training rows with 1 negative would skip, with reason."""
+    return T.skipped_queries(judged_dataset(spark, sf), None, 1)
