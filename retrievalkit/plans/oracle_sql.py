@@ -224,3 +224,29 @@ def text_distance_run(split: str | None = None, k: int = 100) -> str:
 
 def text_ctes(split: str | None = None, k: int = 100, dim: int = 64) -> str:
     return TEXT_BASE + text_vectors(split, dim) + text_distance_run(split, k)
+
+
+# ---- synthesis (Q*) ----------------------------------------------------------------------
+
+
+def prompt_sql(text_col: str = "text", n: int = 10) -> str:
+    from retrievalkit.operators.synth import DEFAULT_QA_TEMPLATE, template_parts
+
+    vals = {"context_str": text_col, "num_questions_per_chunk": f"'{n}'"}
+    out = []
+    for kind, v in template_parts(DEFAULT_QA_TEMPLATE):
+        out.append("'" + v.replace("'", "''") + "'" if kind == "lit" else vals[v])
+    return " || ".join(out)
+
+
+PARSED = PAIRS + """,
+  okp AS (SELECT conv_id, turn, query, positive FROM pairs
+          WHERE coalesce(query, '') <> '' AND coalesce(positive, '') <> ''),
+  parsed AS (SELECT CAST(conv_id AS VARCHAR) AS corpus_id,
+                    list(query ORDER BY turn) AS questions, list(positive ORDER BY turn) AS answer,
+                    false AS is_malformed
+             FROM okp GROUP BY conv_id),
+  qa AS (SELECT 'q-' || CAST(conv_id AS VARCHAR) || '-' || CAST(i AS VARCHAR) AS query_id,
+                CAST(conv_id AS VARCHAR) AS corpus_id, query AS question, positive AS answer, i
+         FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS i FROM okp) t
+         WHERE length(query) > 5 AND length(positive) > 5)"""

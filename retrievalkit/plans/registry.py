@@ -431,3 +431,88 @@ def t5(spark, sf):
 def t6(spark, sf):
     """Judged-dataset queries that training rows with 1 negative would skip, with reason."""
     return T.skipped_queries(judged_dataset(spark, sf), None, 1)
+
+
+# ---- query synthesis -------------------------------------------------------------------
+
+from retrievalkit.operators import synth as Q  # noqa: E402
+from retrievalkit.sources import store as ST  # noqa: E402
+
+
+def _docs(spark, sf):
+    return testdata.table(spark, sf, "documents").select(
+        F.col("doc_id").cast("string").alias("doc_id"), "text")
+
+
+@register("Q1_render_prompts", f"""
+    SELECT CAST(doc_id AS VARCHAR) AS doc_id, sha256(p) AS prompt_key, p AS prompt
+    FROM (SELECT doc_id, {O.prompt_sql()} AS p FROM documents) t""")
+def q1(spark, sf):
+    """The question-generation prompt for every document (whole texts)."""
+    return Q.render_prompts(_docs(spark, sf))
+
+
+@register("Q2_distinct_prompts", f"""
+    WITH p AS (SELECT CAST(doc_id AS VARCHAR) AS doc_id, {O.prompt_sql()} AS prompt FROM documents),
+         k AS (SELECT doc_id, sha256(prompt) AS prompt_key, prompt FROM p),
+         done AS (SELECT DISTINCT k.prompt_key FROM k JOIN labels l ON CAST(l.doc_id AS VARCHAR) = k.doc_id)
+    SELECT min(doc_id) AS doc_id, prompt_key, min(prompt) AS prompt FROM k
+    WHERE prompt_key NOT IN (SELECT prompt_key FROM done) GROUP BY prompt_key""")
+def q2(spark, sf):
+    """Prompts still to send: distinct texts, minus those already answered
+    (responses exist for the labelled documents)."""
+    prompts = Q.render_prompts(_docs(spark, sf))
+    lab = testdata.table(spark, sf, "labels").select(F.col("doc_id").cast("string").alias("doc_id"))
+    done = prompts.join(lab, "doc_id", "left_semi")
+    return Q.distinct_prompts(prompts, done)
+
+
+@register("Q3_parse_qa", O.with_(O.PARSED, "SELECT * FROM parsed"))
+def q3(spark, sf):
+    """Fenced JSON responses (one per conversation) parsed to question / answer lists."""
+    return Q.parse_qa(testdata.qa_responses(spark, sf))
+
+
+@register("Q4_explode_qa", O.with_(O.PARSED, "SELECT query_id, corpus_id, question, answer FROM qa"))
+def q4(spark, sf):
+    return Q.explode_qa(Q.parse_qa(testdata.qa_responses(spark, sf)))
+
+
+@register("Q6_responses_roundtrip", O.with_(O.PARSED, "SELECT * FROM parsed"))
+def q6(spark, sf):
+    """Responses saved as JSON Lines in the shared folder, loaded back, parsed."""
+    import uuid
+
+    from retrievalkit.session import checkpoint_dir
+
+    path = f"{checkpoint_dir(spark)}/responses-{uuid.uuid4().hex}"
+    ST.save_responses(testdata.qa_responses(spark, sf), path, mode="errorifexists")
+    return Q.parse_qa(ST.load_responses(spark, path))
+
+
+def _synthetic(spark, sf):
+    qa = Q.explode_qa(Q.parse_qa(testdata.qa_responses(spark, sf)))
+    return Q.append_synthetic(judged_dataset(spark, sf), qa)
+
+
+@register("Q5_append_synthetic_qrels", O.with_(O.JUDGED + "," + O.PARSED, """
+    SELECT * FROM jqrels WHERE query_id NOT IN (SELECT query_id FROM qa)
+    UNION ALL SELECT query_id, corpus_id AS doc_id, 1 AS relevance FROM qa"""))
+def q5_qrels(spark, sf):
+    """Judged dataset plus synthetic questions, each relevant to its source document."""
+    return _synthetic(spark, sf).qrels
+
+
+@register("Q5_append_synthetic_splits", O.with_(O.JUDGED + "," + O.PARSED, """
+    SELECT query_id, 'train' AS split, row_number() OVER (ORDER BY corpus_id, i) - 1 AS ord FROM qa"""))
+def q5_splits(spark, sf):
+    return _synthetic(spark, sf).splits
+
+
+@register("Q5_append_synthetic_queries", O.with_(O.JUDGED + "," + O.PARSED, """
+    SELECT query_id, text, ord FROM jqueries
+    UNION ALL
+    SELECT query_id, question AS text,
+           (SELECT count(*) FROM jqueries) + row_number() OVER (ORDER BY corpus_id, i) - 1 AS ord FROM qa"""))
+def q5_queries(spark, sf):
+    return _synthetic(spark, sf).queries

@@ -65,3 +65,20 @@ def judgments(spark: SparkSession, sf_dir: str):
               .select(qid.alias("qid"), F.col("doc_id").cast("string").alias("docid"),
                       F.col("quality").cast("int").alias("relevance")))
     return corpus, queries, judged
+
+
+def qa_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """a model response per document id = conv_id: the conversation's
+    (question, answer) pairs as a JSON array inside a markdown json fence.
+    One group per conversation (bounded by its turns)."""
+    from retrievalkit.operators.synth import ANSWER_KEY, QUESTION_KEY
+
+    p = conversation_pairs(spark, sf_dir)
+    arr = F.transform(
+        F.array_sort(F.collect_list(F.struct("turn", F.struct(
+            F.col("query").alias(QUESTION_KEY), F.col("positive").alias(ANSWER_KEY)).alias("qa")))),
+        lambda s: s["qa"])
+    return (p.groupBy("conv_id").agg(arr.alias("qa"))
+            .select(F.col("conv_id").cast("string").alias("corpus_id"),
+                    F.sha2(F.col("conv_id").cast("string"), 256).alias("prompt_key"),
+                    F.concat(F.lit("```json\n"), F.to_json("qa"), F.lit("\n```")).alias("response")))
