@@ -250,3 +250,73 @@ PARSED = PAIRS + """,
                 CAST(conv_id AS VARCHAR) AS corpus_id, query AS question, positive AS answer, i
          FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS i FROM okp) t
          WHERE length(query) > 5 AND length(positive) > 5)"""
+
+
+# ---- NUDGE (N*) over the conversation dataset's hash vectors -----------------------------
+
+def _dbl(x: float) -> str:
+    return f"CAST('{float(x)!r}' AS DOUBLE)"
+
+
+def nudge_base(dim: int = 64, doc_filter: str | None = None) -> str:
+    """CTEs: qv (all queries), cv (corpus), tsplits, tgt(doc_id, g), ut(doc_id, u);
+    ``doc_filter`` limits which documents get targets (N6: the new ones)."""
+    extra = f" AND ({doc_filter})" if doc_filter else ""
+    return TEXT_BASE + text_vectors(None, dim) + f""",
+  trpos AS (SELECT DISTINCT r.query_id, r.doc_id FROM tqrels r JOIN tsplits s USING (query_id)
+            WHERE r.relevance = 1 AND s.split = 'train'{extra}),
+  tgt AS (SELECT doc_id, list(s ORDER BY i) AS g FROM (
+            SELECT p.doc_id, r.i, sum(q.vec[r.i]::DOUBLE) AS s
+            FROM trpos p JOIN qv q ON q.id = p.query_id, range(1, {dim + 1}) r(i)
+            GROUP BY p.doc_id, r.i) t GROUP BY doc_id),
+  ut AS (SELECT doc_id, CASE WHEN sqrt(list_dot_product(g, g)) > 0
+                        THEN list_transform(g, lambda x: x / sqrt(list_dot_product(g, g))) ELSE g END AS u
+         FROM tgt)"""
+
+
+def nudge_m_sql(gm: str, src: str = "cv") -> str:
+    """Tuned vectors (id, vec DOUBLE[]) for gamma expression ``gm``."""
+    return f"""SELECT d.id, CASE WHEN ut.u IS NOT NULL AND {gm} <> 0
+                    THEN list_transform(list_zip(ut.u, d.vec::DOUBLE[]), lambda p: {gm} * p[1] + p[2])
+                    ELSE d.vec::DOUBLE[] END AS vec
+             FROM {src} d LEFT JOIN ut ON ut.doc_id = d.id"""
+
+
+def nudge_n_sql(gamma: float, src: str = "cv") -> str:
+    import math
+
+    g = float(gamma)
+    c = 1.0 - g * g / 2.0
+    s = g * math.sqrt(1.0 - g * g / 4.0) if g <= 2.0 else 0.0
+    return f"""SELECT id, CASE WHEN u IS NULL OR {_dbl(g)} = 0 THEN vec
+                       WHEN t >= {_dbl(c)} THEN u
+                       WHEN zn > 0 THEN list_transform(list_zip(vec, zr), lambda p: {_dbl(c)} * p[1] + {_dbl(s)} * (p[2] / zn))
+                       ELSE vec END AS vec
+             FROM (SELECT *, sqrt(list_reduce(list_transform(zr, lambda x: x * x), lambda a, b: a + b)) AS zn
+                   FROM (SELECT *, list_transform(list_zip(u, vec), lambda p: p[1] - t * p[2]) AS zr
+                         FROM (SELECT d.id, d.vec::DOUBLE[] AS vec, ut.u,
+                                      CASE WHEN ut.u IS NOT NULL THEN list_dot_product(ut.u, d.vec::DOUBLE[]) END AS t
+                               FROM {src} d LEFT JOIN ut ON ut.doc_id = d.id) a) b) c"""
+
+
+def nudge_accuracy_sql(grid, kind: str = "nudge-n", split: str = "val") -> str:
+    """Rows (gamma, accuracy, n_queries) over CTEs of ``nudge_base``."""
+    metric = "cosine" if kind == "nudge-n" else "dot"
+    parts = []
+    for g in sorted(set(float(x) for x in grid) | {0.0}):
+        tuned = nudge_n_sql(g) if kind == "nudge-n" else nudge_m_sql(_dbl(g))
+        parts.append(f"""
+      SELECT {_dbl(g)} AS gamma, query_id, doc_id FROM (
+        SELECT q.id AS query_id, d.id AS doc_id,
+               row_number() OVER (PARTITION BY q.id ORDER BY
+                 round({score_sql(metric, 'q.vec::DOUBLE[]', 'd.vec')}, 6) DESC NULLS LAST, d.id) AS r
+        FROM vq q, ({tuned}) d) t WHERE r = 1""")
+    return f"""
+      vrel AS (SELECT DISTINCT r.query_id, r.doc_id FROM tqrels r JOIN tsplits s USING (query_id)
+               WHERE r.relevance = 1 AND s.split = '{split}'),
+      vq AS (SELECT * FROM qv WHERE id IN (SELECT query_id FROM vrel)),
+      top1 AS ({" UNION ALL ".join(parts)}),
+      acc AS (SELECT gamma, avg(CASE WHEN v.doc_id IS NULL THEN 0.0 ELSE 1.0 END) AS accuracy,
+                     count(*) AS n_queries
+              FROM top1 LEFT JOIN vrel v USING (query_id, doc_id) GROUP BY gamma),
+      acc_best AS (SELECT *, row_number() OVER (ORDER BY accuracy DESC, gamma ASC) = 1 AS best FROM acc)"""

@@ -516,3 +516,167 @@ def q5_splits(spark, sf):
            (SELECT count(*) FROM jqueries) + row_number() OVER (ORDER BY corpus_id, i) - 1 AS ord FROM qa"""))
 def q5_queries(spark, sf):
     return _synthetic(spark, sf).queries
+
+
+# ---- NUDGE corpus-vector tuning (conversation dataset, hash vectors) ---------------------
+
+from retrievalkit.operators import nudge as N  # noqa: E402
+
+NUDGE_GAMMA = 0.5
+NUDGE_GRID = (0.0, 0.25, 0.5, 1.0)
+
+
+def _round_vec(df, col="vec", digits=9):
+    return df.withColumn(col, F.transform(col, lambda x: F.round(x, digits)))
+
+
+def _nudge_inputs(spark, sf):
+    t = TX.dataset(spark, sf)
+    qv = TX.query_vectors(t)
+    cv = TX.corpus_vectors(t)
+    return t, qv, cv
+
+
+def _rv(sql_vec_select: str) -> str:
+    return f"SELECT id, list_transform(vec, lambda x: round(x, 9)) AS vec FROM ({sql_vec_select}) v"
+
+
+@register("N1_nudge_targets", O.with_(O.nudge_base(),
+          "SELECT doc_id, list_transform(g, lambda x: round(x, 9)) AS g FROM tgt"))
+def n1(spark, sf):
+    """Per answer document: the sum of its training queries' vectors."""
+    t, qv, _ = _nudge_inputs(spark, sf)
+    train = t.splits.where("split = 'train'")
+    return _round_vec(N.nudge_targets(qv, t.qrels, train), "g")
+
+
+@register("N2_nudge_m", O.with_(O.nudge_base(), _rv(O.nudge_m_sql(O._dbl(NUDGE_GAMMA)))))
+def n2(spark, sf):
+    """Corpus vectors moved by gamma = 0.5 toward their training queries (NUDGE-M)."""
+    t, qv, cv = _nudge_inputs(spark, sf)
+    tg = N.nudge_targets(qv, t.qrels, t.splits.where("split = 'train'"))
+    return _round_vec(N.nudge_m(cv, tg, NUDGE_GAMMA))
+
+
+@register("N3_nudge_n", O.with_(O.nudge_base(), _rv(O.nudge_n_sql(NUDGE_GAMMA))))
+def n3(spark, sf):
+    """Unit-sphere move with chord <= 0.5 (NUDGE-N)."""
+    t, qv, cv = _nudge_inputs(spark, sf)
+    tg = N.nudge_targets(qv, t.qrels, t.splits.where("split = 'train'"))
+    return _round_vec(N.nudge_n(cv, tg, NUDGE_GAMMA))
+
+
+@register("N4_choose_gamma", O.with_(O.nudge_base() + "," + O.nudge_accuracy_sql(NUDGE_GRID),
+                                     "SELECT gamma, accuracy, n_queries, best FROM acc_best"))
+def n4(spark, sf):
+    """Validation top-1 accuracy of every gamma of the grid; the best one flagged."""
+    t, qv, cv = _nudge_inputs(spark, sf)
+    train = t.splits.where("split = 'train'").select("query_id")
+    val = t.splits.where("split = 'val'").select("query_id")
+    tg = N.nudge_targets(qv, t.qrels, train)
+    vq = qv.join(val.select(F.col("query_id").alias("id")), "id", "left_semi")
+    return N.choose_gamma(cv, tg, vq, t.qrels.join(val, "query_id", "left_semi"),
+                          "nudge-n", NUDGE_GRID)
+
+
+@register("N5_nudge_finetune", O.with_(
+    O.nudge_base() + "," + O.nudge_accuracy_sql(NUDGE_GRID) + ",\n" + ",\n".join(
+        f"tn{i} AS (SELECT {O._dbl(g)} AS gamma, * FROM ({O.nudge_n_sql(g)}) x)"
+        for i, g in enumerate(sorted(set(NUDGE_GRID) | {0.0}))),
+    "SELECT id, list_transform(vec, lambda x: round(x, 9)) AS vec FROM ("
+    + " UNION ALL ".join(f"SELECT * FROM tn{i}" for i in range(len(set(NUDGE_GRID) | {0.0})))
+    + ") u WHERE gamma = (SELECT gamma FROM acc_best WHERE best) "))
+def n5(spark, sf):
+    """Tuned corpus: targets from train, gamma chosen on val, NUDGE-N applied."""
+    t, qv, cv = _nudge_inputs(spark, sf)
+    tuned, _, _ = N.nudge_finetune(cv, qv, t.qrels, t.splits, "nudge-n", grid=NUDGE_GRID)
+    return _round_vec(tuned.select("id", "vec"))
+
+
+@register("N7_changed_vectors", O.with_(O.nudge_base() + f""",
+    tn AS ({O.nudge_n_sql(NUDGE_GAMMA)})""", """
+    SELECT b.id, round(sqrt(list_reduce(list_transform(list_zip(b.vec::DOUBLE[], a.vec),
+             lambda p: (p[1] - p[2]) * (p[1] - p[2])), lambda x, y: x + y)), 9) AS moved_by
+    FROM cv b JOIN tn a USING (id)
+    WHERE sqrt(list_reduce(list_transform(list_zip(b.vec::DOUBLE[], a.vec),
+             lambda p: (p[1] - p[2]) * (p[1] - p[2])), lambda x, y: x + y)) > 0"""))
+def n7(spark, sf):
+    """Which corpus vectors NUDGE-N (gamma 0.5) moved, and how far."""
+    t, qv, cv = _nudge_inputs(spark, sf)
+    tg = N.nudge_targets(qv, t.qrels, t.splits.where("split = 'train'"))
+    return round_doubles(N.changed_vectors(cv, N.nudge_n(cv, tg, NUDGE_GAMMA)), 9)
+
+
+_NEW_DOC = "md5('42:insert:' || {c}) < '8'"   # hash halves: old corpus vs inserted batch
+
+
+def _n6_sql():
+    grid = sorted(set(NUDGE_GRID) | {0.0})
+    base = O.nudge_base(doc_filter=_NEW_DOC.format(c="r.doc_id"))
+    tuned = ",\n".join(f"tn{i} AS (SELECT {O._dbl(g)} AS gamma, * FROM ({O.nudge_n_sql(g)}) x)"
+                       for i, g in enumerate(grid))
+    body = ("SELECT id, list_transform(vec, lambda x: round(x, 9)) AS vec FROM ("
+            + " UNION ALL ".join(f"SELECT * FROM tn{i}" for i in range(len(grid)))
+            + ") u WHERE gamma = (SELECT gamma FROM acc_best WHERE best)")
+    return O.with_(base + "," + O.nudge_accuracy_sql(NUDGE_GRID) + ",\n" + tuned, body)
+
+
+@register("N6_nudge_insert", _n6_sql())
+def n6(spark, sf):
+    """Insert half of the corpus (hash halves) into the other half and tune only
+    the inserted documents; the old vectors compete but stay as they are."""
+    t, qv, cv = _nudge_inputs(spark, sf)
+    is_new = F.md5(F.concat(F.lit("42:insert:"), F.col("id"))) < "8"
+    old, new = cv.where(~is_new), cv.where(is_new)
+    out, _ = N.nudge_insert(old, new, qv, t.qrels, t.splits, "nudge-n", grid=NUDGE_GRID)
+    return _round_vec(out)
+
+
+# ---- stores: dataset JSON (D1/D2), Parquet tables (D3), runs (D7) ------------------------
+
+
+def _scratch(spark, name):
+    import uuid
+
+    from retrievalkit.session import checkpoint_dir
+
+    return f"{checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def _json_roundtrip(spark, sf):
+    path = _scratch(spark, "ragjson")
+    ST.write_rag_json(TX.dataset(spark, sf), path)
+    return ST.read_rag_json(spark, path)
+
+
+@register("D1_read_rag_json_corpus", O.with_(O.TEXT_BASE, "SELECT doc_id, text, ord FROM tc"))
+def d1_corpus(spark, sf):
+    """Conversation dataset written as one dataset JSON object (D2) and read back."""
+    return _json_roundtrip(spark, sf).corpus
+
+
+@register("D2_write_rag_json_splits", O.with_(O.TEXT_BASE, "SELECT * FROM tsplits"))
+def d2_splits(spark, sf):
+    """Split lists survive the JSON round trip in order."""
+    return _json_roundtrip(spark, sf).splits
+
+
+@register("D1_read_rag_json_qrels", O.with_(O.TEXT_BASE, "SELECT * FROM tqrels"))
+def d1_qrels(spark, sf):
+    return _json_roundtrip(spark, sf).qrels
+
+
+@register("D3_save_load_tables", O.with_(O.TEXT_BASE, "SELECT * FROM tqrels"))
+def d3(spark, sf):
+    """Native Parquet store round trip of the conversation dataset."""
+    path = _scratch(spark, "tables")
+    ST.save_tables(TX.dataset(spark, sf), path)
+    return ST.load_tables(spark, path).qrels
+
+
+@register("D7_write_read_run", O.with_(_TX, "SELECT * FROM trun"))
+def d7(spark, sf):
+    """A run persisted partitioned by run_id and read back."""
+    path = _scratch(spark, "runs")
+    ST.write_run(TX.run(TX.dataset(spark, sf)), path)
+    return ST.read_run(spark, path)
