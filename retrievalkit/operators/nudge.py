@@ -103,10 +103,15 @@ def choose_gamma(doc_vecs: DataFrame, targets: DataFrame, val_query_vecs: DataFr
     """
     metric = search_metric(kind)
     grid = sorted(set(float(x) for x in grid) | {0.0})
-    rel = val_qrels.where("relevance = 1").select("query_id", "doc_id").dropDuplicates()
-    vq = val_query_vecs.join(rel.select(F.col("query_id").alias("id")).distinct(), "id",
-                             "left_semi")
-    touched = doc_vecs.join(targets.select(F.col("doc_id").alias("id")), "id", "left_semi")
+    rel = (val_qrels.where("relevance = 1").select("query_id", "doc_id").dropDuplicates()
+           .checkpoint(eager=True))
+    # Inputs reused by every grid value are materialised once (lineage cut in
+    # the shared checkpoint folder), so each gamma only re-tunes and searches.
+    vq = (val_query_vecs.join(rel.select(F.col("query_id").alias("id")).distinct(), "id",
+                              "left_semi").checkpoint(eager=True))
+    targets = targets.checkpoint(eager=True)
+    touched = (doc_vecs.join(targets.select(F.col("doc_id").alias("id")), "id", "left_semi")
+               .checkpoint(eager=True))
     fixed = doc_vecs.join(targets.select(F.col("doc_id").alias("id")), "id", "left_anti")
     if competitors is not None:
         fixed = fixed.select("id", "vec").unionByName(competitors.select("id", "vec"))

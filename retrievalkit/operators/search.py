@@ -67,13 +67,19 @@ def knn(queries: DataFrame, corpus: DataFrame, k: int, metric: str = "cosine", *
     ship_package(spark)
     qv = queries.select(F.col(q_id).cast("string").alias("id"), F.col(q_vec).alias("vec"))
     cv = corpus.select(F.col(c_id).cast("string").alias("id"), F.col(c_vec).alias("vec"))
-    if strategy == "auto":
-        nq = qv.count()
-        dim = _dim(qv, "vec")
-        strategy = "broadcast" if nq * max(dim, 1) * 8 <= broadcast_limit_bytes else "grid"
+    if strategy in ("auto", "broadcast"):
+        # the query side is read three times (size, dimension, collect): cache it
+        qv = qv.persist()
+        st = qv.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("vec")).alias("d")).first()
+        nq, dim = int(st["n"]), int(st["d"] or 0)
+        if strategy == "auto":
+            strategy = "broadcast" if nq * max(dim, 1) * 8 <= broadcast_limit_bytes else "grid"
     if strategy == "broadcast":
-        cands = _knn_broadcast(spark, qv, cv, k, metric, exclude_self, broadcast_limit_bytes)
+        cands = _knn_broadcast(spark, qv, cv, k, metric, exclude_self, broadcast_limit_bytes,
+                               nq, dim)
     elif strategy == "grid":
+        if qv.is_cached:
+            qv.unpersist()
         cands = _knn_grid(spark, qv, cv, k, metric, exclude_self, q_block_rows, c_block_rows)
     else:
         raise ValueError("strategy must be auto, broadcast or grid")
@@ -84,12 +90,12 @@ def knn(queries: DataFrame, corpus: DataFrame, k: int, metric: str = "cosine", *
             .where(F.col("rank") <= k))
 
 
-def _knn_broadcast(spark, qv, cv, k, metric, exclude_self, limit_bytes) -> DataFrame:
-    nq = qv.count()
-    dim = _dim(qv, "vec")
+def _knn_broadcast(spark, qv, cv, k, metric, exclude_self, limit_bytes, nq, dim) -> DataFrame:
     if nq * max(dim, 1) * 8 > limit_bytes:
+        qv.unpersist()
         raise ValueError(f"query side of {nq} x {dim} exceeds the broadcast limit; use grid")
     tbl = qv.where(F.col("vec").isNotNull()).toArrow()   # bounded by the check above
+    qv.unpersist()
     q_ids = np.asarray(tbl.column("id").to_pylist(), dtype=object)
     Q = _kernel.arrow_matrix(tbl.column("vec"))
     bq = spark.sparkContext.broadcast((q_ids, Q))
@@ -203,10 +209,14 @@ def mine_hard_negatives(run: DataFrame, qrels: DataFrame, *, start: int = 50, st
               .withColumn("slot", F.row_number().over(w))
               .where(F.col("slot") <= n))
     if on_short == "error":
-        picked = picked.withColumn(
-            "n_cand", F.when(F.col("n_cand") >= n, F.col("n_cand")).otherwise(
-                F.raise_error(F.concat(F.lit("fewer than n hard-negative candidates for query "),
-                                       F.col("query_id")))))
+        # in a filter (not a pruned column) so it is always evaluated
+        msg = F.concat(F.lit("fewer than n hard-negative candidates for query "), F.col("query_id"))
+        picked = picked.where(F.when(F.col("n_cand") >= n, F.lit(True)).otherwise(F.raise_error(msg)))
+        mined_q = run.select("query_id").distinct().join(
+            pos.select("query_id").distinct(), "query_id", "left_semi")
+        empty = mined_q.join(window.select("query_id").distinct(), "query_id", "left_anti")
+        picked = picked.select("query_id", "doc_id").unionByName(
+            empty.select("query_id", F.raise_error(msg).cast("string").alias("doc_id")))
     elif on_short != "take_all":
         raise ValueError("on_short must be 'error' or 'take_all'")
     return picked.select("query_id", "doc_id", F.lit(0).cast("int").alias("relevance"))

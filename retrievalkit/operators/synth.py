@@ -146,8 +146,7 @@ def append_synthetic(tables: RagTables, qa: DataFrame, split: str = "train") ->
     if absent; ids already in it are not added twice). New queries and list
     entries are numbered after the existing ones, in (corpus_id, i) order."""
     new = qa.select("query_id", "corpus_id", "question", "answer",
-                    F.split("query_id", "-").getItem(F.size(F.split("query_id", "-")) - 1)
-                    .cast("long").alias("_i"))
+                    F.element_at(F.split("query_id", "-"), -1).cast("long").alias("_i"))
     ids = new.select("query_id")
     base_q = _next_ord(tables.queries)
     fresh_q = new.join(tables.queries.select("query_id"), "query_id", "left_anti")

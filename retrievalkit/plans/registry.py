@@ -680,3 +680,18 @@ def d7(spark, sf):
     path = _scratch(spark, "runs")
     ST.write_run(TX.run(TX.dataset(spark, sf)), path)
     return ST.read_run(spark, path)
+
+
+@register("E3_l2_normalize", """
+    SELECT CAST(vec_id AS VARCHAR) AS id,
+           CASE WHEN sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])) > 0
+                THEN list_transform(embedding::DOUBLE[],
+                       lambda x: x / sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])))
+                ELSE embedding::DOUBLE[] END AS vec
+    FROM embeddings""")
+def e3(spark, sf):
+    """Every embedding scaled to unit length in double (zero stays zero)."""
+    from retrievalkit.functions.vectors import l2_normalize
+
+    v = testdata.vectors(spark, sf)
+    return v.select("id", l2_normalize("vec").alias("vec"))
