@@ -69,15 +69,28 @@ def round_half_up(x: np.ndarray, digits: int = DIGITS) -> np.ndarray:
     return np.sign(x) * m / p + 0.0  # + 0.0 turns -0.0 into 0.0, as BigDecimal does
 
 
-def screen(S: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+def _margin(x: np.ndarray) -> np.ndarray:
+    return MARGIN + 1e-9 * np.abs(np.where(np.isfinite(x), x, 0.0))
+
+
+def screen(S: np.ndarray, k: int, running: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Pairs (row, col) of S (higher is better; -inf = excluded) that may be in
-    the top k of their row."""
+    the top k of their row. ``running`` holds, per row, the k-th best exact
+    score found so far in screening units (-inf while fewer than k): once
+    known it replaces the per-block k-th, so later blocks admit only pairs
+    that can still enter the top k."""
     n = S.shape[1]
     valid = S > -np.inf
-    if n <= k:
-        return np.nonzero(valid)
-    kth = np.partition(S, n - k, axis=1)[:, n - k]
-    thr = kth - (MARGIN + 1e-9 * np.abs(np.where(np.isfinite(kth), kth, 0.0)))
+    thr = np.full(S.shape[0], -np.inf)
+    if running is not None:
+        known = np.isfinite(running)
+        thr[known] = running[known] - _margin(running[known])
+    else:
+        known = np.zeros(S.shape[0], dtype=bool)
+    todo = ~known
+    if n > k and todo.any():
+        kth = np.partition(S[todo], n - k, axis=1)[:, n - k]
+        thr[todo] = kth - _margin(kth)
     return np.nonzero((S >= thr[:, None]) & valid)
 
 
@@ -106,6 +119,8 @@ class BlockSearcher:
         self.chunk_bytes = chunk_bytes
         self.higher_better = metric != "sq_l2"
         self.best: pd.DataFrame | None = None
+        # k-th best so far per query, in screening units (higher is better)
+        self.running = np.full(len(q_ids), -np.inf)
 
     def add(self, d_ids: np.ndarray, C: np.ndarray) -> None:
         if len(d_ids) == 0 or len(self.q_ids) == 0:
@@ -113,7 +128,7 @@ class BlockSearcher:
         cn = seq_sq_norms(C)
         rows = max(1, self.chunk_bytes // (8 * max(1, len(d_ids))))
         self_pos = self.q_index.get_indexer(d_ids) if self.exclude_self else None
-        parts = []
+        new = []
         for s in range(0, len(self.q_ids), rows):
             e = min(len(self.q_ids), s + rows)
             G = self.Q[s:e] @ C.T
@@ -128,18 +143,32 @@ class BlockSearcher:
             if self_pos is not None:
                 hit = np.nonzero((self_pos >= s) & (self_pos < e))[0]
                 S[self_pos[hit] - s, hit] = -np.inf
-            qi, ci = screen(S, self.k)
+            qi, ci = screen(S, self.k, self.running[s:e])
+            if len(qi) == 0:
+                continue
             qi = qi + s
             ex = exact_scores(self.Q, C, qi, ci, self.metric, self.qn, cn)
-            parts.append(topk_frame(self.q_ids[qi], d_ids[ci], round_half_up(ex),
-                                    self.k, self.higher_better))
-        if self.best is not None:
-            parts.append(self.best)
-        parts = [p for p in parts if len(p)]
-        if parts:
-            merged = pd.concat(parts, ignore_index=True)
-            self.best = topk_frame(merged["query_id"].to_numpy(), merged["doc_id"].to_numpy(),
-                                   merged["score"].to_numpy(), self.k, self.higher_better)
+            part = topk_frame(self.q_ids[qi], d_ids[ci], round_half_up(ex), self.k,
+                              self.higher_better)
+            if len(part):
+                new.append(part)
+        if not new:
+            return
+        if self.best is not None and len(self.best):
+            new.append(self.best)
+        merged = pd.concat(new, ignore_index=True)
+        self.best = topk_frame(merged["query_id"].to_numpy(), merged["doc_id"].to_numpy(),
+                               merged["score"].to_numpy(), self.k, self.higher_better)
+        self._update_running()
+
+    def _update_running(self) -> None:
+        g = self.best.groupby("query_id", sort=False)
+        kth = g.nth(self.k - 1)
+        if len(kth) == 0:
+            return
+        pos = self.q_index.get_indexer(kth["query_id"].to_numpy())
+        sc = kth["score"].to_numpy()
+        self.running[pos] = sc if self.higher_better else -sc
 
     def result(self) -> pd.DataFrame:
         if self.best is None:

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import math
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -40,11 +41,15 @@ def dense_index(df: DataFrame, order_cols, out: str = "ord", partition_cols=(),
     n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     pcols = list(partition_cols)
     okeys = [f"__di_o{i}" for i in range(len(order_cols))]
-    keyed = df.select("*", *[c.alias(k) for c, k in zip(_cols(order_cols), okeys)])
+    src = df.select("*", *[c.alias(k) for c, k in zip(_cols(order_cols), okeys)])
     sort = [*pcols, *okeys]
-    keyed = (keyed.repartitionByRange(n, *sort).sortWithinPartitions(*sort)
+    # The range bounds are sampled in one pass and the shuffle reads the input
+    # in another: cache it so the upstream plan runs once.
+    src = src.persist(StorageLevel.MEMORY_AND_DISK)
+    keyed = (src.repartitionByRange(n, *sort).sortWithinPartitions(*sort)
              .withColumn("__di_mid", F.monotonically_increasing_id())
              .checkpoint(eager=True))
+    src.unpersist()
     pid = F.shiftright("__di_mid", _POS_BITS).alias("__di_pid")
     pos = F.col("__di_mid").bitwiseAND(F.lit((1 << _POS_BITS) - 1))
     keyed = keyed.withColumn("__di_pid", pid).withColumn("__di_pos", pos)
@@ -55,7 +60,10 @@ def dense_index(df: DataFrame, order_cols, out: str = "ord", partition_cols=(),
         Window.orderBy("__di_pid").rowsBetween(Window.unboundedPreceding, -1))
     # one row per (partition, group): the window over it is tiny
     offsets = counts.withColumn("__di_off", F.coalesce(F.sum("__di_cnt").over(w), F.lit(0)))
-    res = keyed.join(offsets.select("__di_pid", *pcols, "__di_off", "__di_first"), ["__di_pid", *pcols])
+    offsets = offsets.select("__di_pid", *pcols, "__di_off", "__di_first")
+    if not pcols:   # one row per range partition: a proven size bound
+        offsets = F.broadcast(offsets)
+    res = keyed.join(offsets, ["__di_pid", *pcols])
     res = res.withColumn(out, (F.col("__di_off") + F.col("__di_pos") - F.col("__di_first")).cast("long"))
     return res.drop("__di_mid", "__di_pid", "__di_pos", "__di_off", "__di_first", "__di_cnt", *okeys)
 

@@ -35,9 +35,10 @@ KNN_SCHEMA = T.StructType([
     T.StructField("score", T.DoubleType()),
 ])
 
-BROADCAST_LIMIT_BYTES = 64 << 20   # float64 query matrix shipped to executors
-Q_BLOCK_ROWS = 8192                # grid: queries per block
-C_BLOCK_ROWS = 65536               # grid: corpus vectors per block
+BROADCAST_LIMIT_BYTES = 32 << 20   # float64 query matrix shipped to every executor
+Q_BLOCK_BYTES = 64 << 20           # grid: float64 bytes of one query block
+C_BLOCK_BYTES = 128 << 20          # grid: float64 bytes of one corpus block
+MAX_STATE_ROWS = 2_000_000         # per task: at most (queries x k) candidate rows kept
 
 
 def _dim(df: DataFrame, vec: str) -> int:
@@ -49,9 +50,14 @@ def knn(queries: DataFrame, corpus: DataFrame, k: int, metric: str = "cosine", *
         q_id: str = "id", q_vec: str = "vec", c_id: str = "id", c_vec: str = "vec",
         exclude_self: bool = False, strategy: str = "auto",
         broadcast_limit_bytes: int = BROADCAST_LIMIT_BYTES,
-        q_block_rows: int = Q_BLOCK_ROWS, c_block_rows: int = C_BLOCK_ROWS) -> DataFrame:
+        q_block_rows: int | None = None, c_block_rows: int | None = None) -> DataFrame:
     """Exact top-k of every query vector over every corpus vector.
 
+    Block sizes default to byte budgets (``Q_BLOCK_BYTES``, ``C_BLOCK_BYTES``)
+    and to at most ``MAX_STATE_ROWS / k`` queries per block, so a task's
+    memory is bounded whatever the table sizes; the grid's shuffle volume is
+    ``|C| x query_blocks + |Q| x corpus_blocks`` vectors.
+
     Output ``(query_id, doc_id, score, rank)``; ``score`` is cosine, dot or
     squared L2 rounded to 6 decimals; rank 1 is the best (highest similarity,
     lowest distance), ties by ``doc_id`` ascending. Fewer than k corpus
@@ -73,7 +79,8 @@ def knn(queries: DataFrame, corpus: DataFrame, k: int, metric: str = "cosine", *
         st = qv.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("vec")).alias("d")).first()
         nq, dim = int(st["n"]), int(st["d"] or 0)
         if strategy == "auto":
-            strategy = "broadcast" if nq * max(dim, 1) * 8 <= broadcast_limit_bytes else "grid"
+            small = nq * max(dim, 1) * 8 <= broadcast_limit_bytes and nq * k <= MAX_STATE_ROWS
+            strategy = "broadcast" if small else "grid"
     if strategy == "broadcast":
         cands = _knn_broadcast(spark, qv, cv, k, metric, exclude_self, broadcast_limit_bytes,
                                nq, dim)
@@ -91,7 +98,7 @@ def knn(queries: DataFrame, corpus: DataFrame, k: int, metric: str = "cosine", *
 
 
 def _knn_broadcast(spark, qv, cv, k, metric, exclude_self, limit_bytes, nq, dim) -> DataFrame:
-    if nq * max(dim, 1) * 8 > limit_bytes:
+    if nq * max(dim, 1) * 8 > limit_bytes or nq * k > MAX_STATE_ROWS:
         qv.unpersist()
         raise ValueError(f"query side of {nq} x {dim} exceeds the broadcast limit; use grid")
     tbl = qv.where(F.col("vec").isNotNull()).toArrow()   # bounded by the check above
@@ -121,6 +128,11 @@ def _knn_broadcast(spark, qv, cv, k, metric, exclude_self, limit_bytes, nq, dim)
 
 def _knn_grid(spark, qv, cv, k, metric, exclude_self, q_rows, c_rows) -> DataFrame:
     nq, nc = qv.count(), cv.count()
+    dim = max(_dim(cv, "vec"), 1)
+    if q_rows is None:
+        q_rows = max(1, min(Q_BLOCK_BYTES // (8 * dim), MAX_STATE_ROWS // k))
+    if c_rows is None:
+        c_rows = max(1, C_BLOCK_BYTES // (8 * dim))
     par = spark.sparkContext.defaultParallelism
     n_qb = max(1, math.ceil(nq / q_rows))
     n_cb = max(1, math.ceil(nc / c_rows), min(par, max(1, nc // 64)))
