@@ -39,8 +39,15 @@ def sample_negatives(tables: RagTables, n: int, split: str | None = None,
     """
     qs = select_split(tables, split).select("query_id")
     neg = tables.negatives().join(qs, "query_id", "left_semi").dropDuplicates()
+    # 1) the n smallest copy-1 keys per query: a partial WindowGroupLimit runs
+    #    before the shuffle, so a query with millions of negatives sends <= n
+    #    rows per task; a query with m < n negatives keeps all of them here.
+    k1 = sample_key(seed, "neg", "query_id", "doc_id", F.lit(1))
+    w1 = Window.partitionBy("query_id").orderBy(k1, F.col("doc_id"))
+    top = neg.withColumn("r1", F.row_number().over(w1)).where(F.col("r1") <= n).drop("r1")
+    # 2) m per query is an aggregate (map-side combine), joined to <= n rows.
     m = neg.groupBy("query_id").agg(F.count(F.lit(1)).alias("m"))
-    copies = (neg.join(m, "query_id")
+    copies = (top.join(m, "query_id")
               .withColumn("copy", F.explode(F.sequence(
                   F.lit(1), F.greatest(F.lit(1), F.ceil(F.lit(float(n)) / F.col("m")).cast("int"))))))
     key = sample_key(seed, "neg", "query_id", "doc_id", "copy")
