@@ -38,7 +38,6 @@ def dense_index(df: DataFrame, order_cols, out: str = "ord", partition_cols=(),
     """
     spark = df.sparkSession
     ensure_checkpoint_dir(spark)
-    n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     pcols = list(partition_cols)
     okeys = [f"__di_o{i}" for i in range(len(order_cols))]
     src = df.select("*", *[c.alias(k) for c, k in zip(_cols(order_cols), okeys)])
@@ -46,7 +45,11 @@ def dense_index(df: DataFrame, order_cols, out: str = "ord", partition_cols=(),
     # The range bounds are sampled in one pass and the shuffle reads the input
     # in another: cache it so the upstream plan runs once.
     src = src.persist(StorageLevel.MEMORY_AND_DISK)
-    keyed = (src.repartitionByRange(n, *sort).sortWithinPartitions(*sort)
+    # Without an explicit count AQE may coalesce adjacent ranges (order kept);
+    # positions are taken after that, so they stay consistent.
+    ranged = (src.repartitionByRange(num_partitions, *sort) if num_partitions
+              else src.repartitionByRange(*sort))
+    keyed = (ranged.sortWithinPartitions(*sort)
              .withColumn("__di_mid", F.monotonically_increasing_id())
              .checkpoint(eager=True))
     src.unpersist()
