@@ -210,19 +210,19 @@ _TXV = O.text_ctes("val")    # validation queries, k = 100
 @register("E2_hash_embed_corpus", O.with_(_TX, "SELECT id, vec FROM cv"))
 def e2(spark, sf):
     """Stand-in encoder over the whole conversation corpus (64 buckets, unit length)."""
-    return TX.corpus_vectors(TX.dataset(spark, sf))
+    return TX.corpus_vectors(TX.dataset(spark, sf, splits=False))
 
 
 @register("E5_instruction_query_vectors", O.with_(_TX, "SELECT id, vec FROM qv"))
 def e5(spark, sf):
     """Query vectors of texts prefixed with the query instruction."""
-    return TX.query_vectors(TX.dataset(spark, sf))
+    return TX.query_vectors(TX.dataset(spark, sf, splits=False))
 
 
 @register("E1_embed_encoder_hook", O.with_(_TX, "SELECT id, vec FROM cv"))
 def e1(spark, sf):
     """The generic encoder hook (mapInPandas, per-task encoder) with the same rule in Python."""
-    t = TX.dataset(spark, sf)
+    t = TX.dataset(spark, sf, splits=False)
     return E.embed(t.corpus.select(F.col("doc_id").alias("id"), "text"),
                    E.hashing_encoder_factory(TX.DIM), role="corpus", batch_size=64)
 
@@ -234,7 +234,7 @@ def e4(spark, sf):
 
     from retrievalkit.session import checkpoint_dir
 
-    t = TX.dataset(spark, sf)
+    t = TX.dataset(spark, sf, splits=False)
     store = f"{checkpoint_dir(spark)}/embed-store-{uuid.uuid4().hex}"
     docs = t.corpus.select(F.col("doc_id").alias("id"), "text")
     fn = lambda df: E.hash_embed(df, TX.DIM)
@@ -247,14 +247,14 @@ def e4(spark, sf):
 @register("E6_prepare_corpus", O.with_(_TX, """
     SELECT tc.doc_id, tc.text, cv.vec FROM tc JOIN cv ON cv.id = tc.doc_id"""))
 def e6(spark, sf):
-    t = TX.dataset(spark, sf)
+    t = TX.dataset(spark, sf, splits=False)
     return E.prepare_corpus(t.corpus, lambda df: E.hash_embed(df, TX.DIM))
 
 
 @register("R2_retrieve", O.with_(_TX, "SELECT * FROM trun"))
 def r2(spark, sf):
     """Top-100 of every conversation query, score = 1 / (1 + squared L2)."""
-    return TX.run(TX.dataset(spark, sf))
+    return TX.run(TX.dataset(spark, sf, splits=False))
 
 
 @register("R3_check_scores", O.with_(_TX, """
@@ -262,7 +262,7 @@ def r2(spark, sf):
     HAVING NOT bool_or(score BETWEEN 0.0 AND 1.0)"""))
 def r3(spark, sf):
     """Queries none of whose raw distances lies in [0, 1]."""
-    return R.check_scores(TX.distance_run(TX.dataset(spark, sf)))
+    return R.check_scores(TX.distance_run(TX.dataset(spark, sf, splits=False)))
 
 
 @register("R4_mine_hard_negatives", O.with_(_TX + """,
@@ -287,7 +287,7 @@ def r4(spark, sf):
     FROM trun r JOIN tq q USING (query_id) JOIN tc c USING (doc_id) WHERE r.rank <= 10"""))
 def r6(spark, sf):
     """(query text, document text) pairs of the first 10 candidates per query."""
-    t = TX.dataset(spark, sf)
+    t = TX.dataset(spark, sf, splits=False)
     return R.rerank_pairs(TX.run(t), t.queries, t.corpus, 10)
 
 
@@ -304,7 +304,7 @@ _PAIR128 = (O.text_vectors(None, 128, "qv128", "cv128") + """,
     WHERE rank <= 10"""))
 def r5(spark, sf):
     """First 10 candidates re-scored by a 128-bucket cosine pair scorer and re-sorted."""
-    t = TX.dataset(spark, sf)
+    t = TX.dataset(spark, sf, splits=False)
     run = TX.run(t)
     ps = TX.pair_scores(R.rerank_pairs(run, t.queries, t.corpus, 10), t)
     return R.rerank(run, ps, 10)
@@ -312,7 +312,7 @@ def r5(spark, sf):
 
 @register("M1_build_qrels", O.with_(O.TRIPLES, "SELECT DISTINCT query_id, doc_id, 1 AS relevance FROM tqrels WHERE relevance = 1"))
 def m1(spark, sf):
-    return M.build_qrels(TX.dataset(spark, sf).qrels)
+    return M.build_qrels(TX.dataset(spark, sf, splits=False).qrels)
 
 
 _TXPQ = O.per_query_from(
@@ -322,7 +322,8 @@ _TXPQ = O.per_query_from(
 
 
 def _text_per_query(spark, sf, split):
-    return round_doubles(TX.run_benchmark(TX.dataset(spark, sf), split, per_query=True))
+    return round_doubles(TX.run_benchmark(TX.dataset(spark, sf, splits=split is not None), split,
+                                          per_query=True))
 
 
 for _name, _metric in (("M2_ndcg_at_k", "ndcg"), ("M3_map_at_k", "map"),
@@ -367,7 +368,7 @@ def m10(spark, sf):
     SELECT query_id, arg_min(doc_id, md5('42:pos:' || query_id || ':' || doc_id) || doc_id) AS doc_id
     FROM tqrels WHERE relevance = 1 GROUP BY query_id"""))
 def t1(spark, sf):
-    return T.choose_positive(TX.dataset(spark, sf), None, 42)
+    return T.choose_positive(TX.dataset(spark, sf, splits=False), None, 42)
 
 
 _NEG = """,
@@ -384,7 +385,7 @@ _NEG = """,
 @register("T2_sample_negatives", O.with_(O.TRIPLES + _NEG, "SELECT * FROM tneg"))
 def t2(spark, sf):
     """3 negatives per query from a list of 1: oversampled, each id at most ceil(3/1) times."""
-    return T.sample_negatives(TX.dataset(spark, sf), 3, None, 42)
+    return T.sample_negatives(TX.dataset(spark, sf, splits=False), 3, None, 42)
 
 
 @register("T3_training_rows", O.with_(O.TRIPLES + _NEG + """,
@@ -399,7 +400,7 @@ def t2(spark, sf):
     GROUP BY q.query_id, q.text, pc.text"""))
 def t3(spark, sf):
     """Rows query, pos, neg_0..neg_2 (query instruction on the query side)."""
-    rows, _ = T.training_rows(TX.dataset(spark, sf), None, 3, TX.QUERY_INSTRUCTION, None, 42)
+    rows, _ = T.training_rows(TX.dataset(spark, sf, splits=False), None, 3, TX.QUERY_INSTRUCTION, None, 42)
     return rows
 
 
@@ -409,7 +410,7 @@ def t3(spark, sf):
     SELECT q.query_id, q.text AS query, pc.text AS pos
     FROM tq q JOIN tpos p USING (query_id) JOIN tc pc ON pc.doc_id = p.doc_id"""))
 def t4(spark, sf):
-    rows, _ = T.training_pairs(TX.dataset(spark, sf))
+    rows, _ = T.training_pairs(TX.dataset(spark, sf, splits=False))
     return rows
 
 
@@ -417,7 +418,7 @@ def t4(spark, sf):
     SELECT r.query_id, r.doc_id, q.text AS sentence_A, c.text AS sentence_B, r.score
     FROM trun r JOIN tq q USING (query_id) JOIN tc c USING (doc_id)"""))
 def t5(spark, sf):
-    t = TX.dataset(spark, sf)
+    t = TX.dataset(spark, sf, splits=False)
     return T.scored_pairs(TX.run(t), t)
 
 

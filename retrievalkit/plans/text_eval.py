@@ -23,9 +23,13 @@ K = 100
 KS = (1, 3, 5, 10)
 
 
-def dataset(spark: SparkSession, sf: str) -> RagTables:
+def dataset(spark: SparkSession, sf: str, splits: bool = True) -> RagTables:
+    """The conversation dataset; ``splits=False`` skips the train/val split
+    for pipelines that evaluate every query."""
     t = D.import_triples(spark, testdata.conversation_pairs(spark, sf).select(
         "query", "positive", "negative", "ord"))
+    if not splits:
+        return t
     return t.with_(splits=U.split_train_val(t.queries, RATIO, SEED))
 
 
