@@ -17,7 +17,7 @@ from retrievalkit.session import ensure_checkpoint_dir
 from retrievalkit.tables import RagTables
 
 _POS_BITS = 33
-TAKE_ORDERED_MAX = 100_000   # above this, U4 ranks with U1 instead of TakeOrdered
+TAKE_ORDERED_MAX = 10_000    # above this, U4 ranks with U1 instead of TakeOrdered
 
 
 def _cols(cols) -> list[Column]:
@@ -121,9 +121,13 @@ def sample_docs(corpus: DataFrame, k: int, seed: int = 42, id_col: str = "doc_id
         raise ValueError(f"sample larger than population: {k} > {n}")
     key = sample_key(seed, "sample", id_col)
     if k <= TAKE_ORDERED_MAX:
-        return corpus.orderBy(key, F.col(id_col)).limit(k)   # TakeOrdered: k rows per task
-    ranked = dense_index(corpus, [key, F.col(id_col)], out="_rk")
-    return ranked.where(F.col("_rk") < k).drop("_rk")
+        # TakeOrdered on (key, id) only: at most k small rows per task reach the
+        # final merge; the chosen ids are then semi-joined back to the rows.
+        ids = corpus.select(key.alias("_k"), F.col(id_col)).orderBy("_k", id_col).limit(k)
+        return corpus.join(ids.select(id_col), id_col, "left_semi")
+    ranked = dense_index(corpus.select(F.col(id_col), key.alias("_k")), [F.col("_k"), F.col(id_col)],
+                         out="_rk")
+    return corpus.join(ranked.where(F.col("_rk") < k).select(id_col), id_col, "left_semi")
 
 
 def subset_corpus(tables: RagTables, first_n: int) -> RagTables:

@@ -84,8 +84,6 @@ def read_rag_json(spark: SparkSession, path: str) -> RagTables:
             F.raise_error(F.concat(F.lit("unexpected keyword argument(s): "),
                                    F.array_join(unknown, ", ")))).alias("o"))
         .select("o.*"))
-    # The whole object is one row; cache it so each table does not re-parse it.
-    obj = obj.persist()
 
     def ordered(col, k, v):
         return obj.select(F.posexplode(F.map_entries(col)).alias("ord", "e")).select(
