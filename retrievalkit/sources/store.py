@@ -108,42 +108,51 @@ def read_rag_json(spark: SparkSession, path: str) -> RagTables:
 
 def to_rag_json(tables: RagTables) -> DataFrame:
     """D2 as a DataFrame: one row, one column ``json`` holding the dataset
-    object (non-ASCII kept raw). Map entries are ordered by ``ord``."""
-    def ordered_map(df, k, v, name):
-        return df.agg(F.map_from_entries(F.transform(
-            F.array_sort(F.collect_list(F.struct(
-                F.col("ord"), F.struct(F.col(k).alias("key"), F.col(v).alias("value")).alias("kv")))),
-            lambda s: s["kv"])).alias(name))
-
-    def list_map(df, k, name, order=None):
-        item = F.struct(order, "doc_id") if order is not None else F.col("doc_id")
-        inner = df.groupBy(k).agg(F.array_sort(F.collect_list(item)).alias("ids"))
-        if order is not None:
-            inner = inner.withColumn("ids", F.transform("ids", lambda s: s["doc_id"]))
-        return inner.agg(F.map_from_entries(F.collect_list(F.struct(k, "ids"))).alias(name))
-
-    q = tables.queries.select("query_id", "text", "ord")
-    parts = [
-        ordered_map(q, "query_id", "text", "queries"),
-        ordered_map(tables.corpus, "doc_id", "text", "corpus"),
-        list_map(tables.qrels.where("relevance = 1"), "query_id", "relevant_docs"),
-        list_map(tables.qrels.where("relevance = 0"), "query_id", "negative_docs"),
-        tables.answers.agg(F.map_from_entries(F.collect_list(F.struct("query_id", "answer")))
-                           .alias("reference_answers")),
-        list_map(tables.splits.withColumnRenamed("query_id", "doc_id"), "split",
-                 "queries_split", order=F.col("ord")),
-    ]
-    # Six one-row aggregates side by side: zip them by a constant key.
-    row = parts[0].withColumn("_k", F.lit(1))
-    for p in parts[1:]:
-        row = row.join(p.withColumn("_k", F.lit(1)), "_k")
-    empty = {"queries": "map<string,string>", "corpus": "map<string,string>",
-             "relevant_docs": "map<string,array<string>>",
-             "negative_docs": "map<string,array<string>>",
-             "reference_answers": "map<string,string>",
-             "queries_split": "map<string,array<string>>"}
-    cols = [F.coalesce(F.col(n), F.expr(f"cast(map() as {t})")).alias(n) for n, t in empty.items()]
-    return row.select(F.to_json(F.struct(*cols)).alias("json"))
+    object (non-ASCII kept raw). Map entries of queries / corpus / splits are
+    ordered by ``ord``; relevant and negative id lists are sorted.
+
+    One aggregate over a tagged union (no joins): the object is one value by
+    the nature of the format, so this is interop for datasets that fit in one
+    row; D3 is the scalable store.
+    """
+    arr = T.ArrayType(T.StringType())
+
+    def rows(df, tag, k, v=None, a=None, ord_col=None):
+        return df.select(F.lit(tag).alias("t"),
+                         (F.col(ord_col) if ord_col else F.lit(None)).cast("long").alias("o"),
+                         F.col(k).alias("k"),
+                         (F.col(v) if v else F.lit(None)).cast("string").alias("v"),
+                         (F.col(a) if a else F.lit(None)).cast(arr).alias("a"))
+
+    def lists(df, key, item, tag, by_ord=False):
+        elem = F.struct("ord", item) if by_ord else F.col(item)
+        g = df.groupBy(key).agg(F.array_sort(F.collect_list(elem)).alias("ids"))
+        if by_ord:
+            g = g.withColumn("ids", F.transform("ids", lambda x: x[item]))
+        return rows(g, tag, key, a="ids")
+
+    u = (rows(tables.queries, "queries", "query_id", v="text", ord_col="ord")
+         .unionByName(rows(tables.corpus, "corpus", "doc_id", v="text", ord_col="ord"))
+         .unionByName(lists(tables.qrels.where("relevance = 1"), "query_id", "doc_id", "rel"))
+         .unionByName(lists(tables.qrels.where("relevance = 0"), "query_id", "doc_id", "neg"))
+         .unionByName(rows(tables.answers, "answers", "query_id", v="answer"))
+         .unionByName(lists(tables.splits, "split", "query_id", "splits", by_ord=True)))
+
+    kv = F.struct(F.col("k").alias("key"), F.col("v").alias("value"))
+    ka = F.struct(F.col("k").alias("key"), F.col("a").alias("value"))
+
+    def ordered(tag):
+        picked = F.collect_list(F.when(F.col("t") == tag, F.struct(F.col("o"), kv.alias("kv"))))
+        return F.map_from_entries(F.transform(F.array_sort(picked), lambda x: x["kv"]))
+
+    def plain(tag, entry):
+        return F.map_from_entries(F.collect_list(F.when(F.col("t") == tag, entry)))
+
+    obj = u.agg(ordered("queries").alias("queries"), ordered("corpus").alias("corpus"),
+                plain("rel", ka).alias("relevant_docs"), plain("neg", ka).alias("negative_docs"),
+                plain("answers", kv).alias("reference_answers"),
+                plain("splits", ka).alias("queries_split"))
+    return obj.select(F.to_json(F.struct(*RAG_KEYS)).alias("json"))
 
 
 def write_rag_json(tables: RagTables, path: str) -> None:

@@ -50,3 +50,4 @@ def test_negatives_limit_before_shuffle(spark):
     t = TX.dataset(spark, SF01, splits=False)
     p = plan(T.sample_negatives(t, 3))
     assert "WindowGroupLimit" in p
+
