@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from retrievalkit.functions.vectors import axpy, dot, l2_normalize, scale, sq_l2, to_double
-from retrievalkit.operators.search import knn
+from retrievalkit.operators.search import broadcast_queries, knn, search_broadcast
 
 KINDS = ("nudge-n", "nudge-m")
 DEFAULT_GRID = tuple(round(0.1 * i, 1) for i in range(0, 21))   # 0.0 .. 2.0
@@ -115,11 +115,22 @@ def choose_gamma(doc_vecs: DataFrame, targets: DataFrame, val_query_vecs: DataFr
     fixed = doc_vecs.join(targets.select(F.col("doc_id").alias("id")), "id", "left_anti")
     if competitors is not None:
         fixed = fixed.select("id", "vec").unionByName(competitors.select("id", "vec"))
-    base = knn(vq, fixed, 1, metric).select("query_id", "doc_id", "score").checkpoint(eager=True)
+    # the validation queries are collected and broadcast once when small
+    # (size-checked); otherwise every search takes the grid path
+    try:
+        bq = broadcast_queries(vq, 1)
+    except ValueError:
+        bq = None
+
+    def top1(corpus):
+        r = search_broadcast(bq, corpus, 1, metric) if bq is not None else knn(vq, corpus, 1, metric)
+        return r.select("query_id", "doc_id", "score")
+
+    base = top1(fixed).checkpoint(eager=True)
     per_gamma = None
     for g in grid:
         tuned = apply_nudge(touched, targets, g, kind)
-        top = knn(vq, tuned, 1, metric).select("query_id", "doc_id", "score")
+        top = top1(tuned)
         both = top.unionByName(base).withColumn("gamma", F.lit(g))
         per_gamma = both if per_gamma is None else per_gamma.unionByName(both)
     order = F.col("score").desc() if metric != "sq_l2" else F.col("score").asc()

@@ -19,6 +19,7 @@ plans as a partial ``WindowGroupLimit`` before the exchange.
 from __future__ import annotations
 
 import math
+from dataclasses import dataclass
 
 import numpy as np
 from pyspark.sql import DataFrame, Window
@@ -82,14 +83,21 @@ def knn(queries: DataFrame, corpus: DataFrame, k: int, metric: str = "cosine", *
             small = nq * max(dim, 1) * 8 <= broadcast_limit_bytes and nq * k <= MAX_STATE_ROWS
             strategy = "broadcast" if small else "grid"
     if strategy == "broadcast":
-        cands = _knn_broadcast(spark, qv, cv, k, metric, exclude_self, broadcast_limit_bytes,
-                               nq, dim)
+        try:
+            bq = _broadcast(spark, qv, k, broadcast_limit_bytes, nq, dim)
+        finally:
+            qv.unpersist()
+        cands = _scan_corpus(bq, cv, k, metric, exclude_self)
     elif strategy == "grid":
         if qv.is_cached:
             qv.unpersist()
         cands = _knn_grid(spark, qv, cv, k, metric, exclude_self, q_block_rows, c_block_rows)
     else:
         raise ValueError("strategy must be auto, broadcast or grid")
+    return _rank(cands, k, metric)
+
+
+def _rank(cands: DataFrame, k: int, metric: str) -> DataFrame:
     order = F.col("score").desc() if metric != "sq_l2" else F.col("score").asc()
     w = Window.partitionBy("query_id").orderBy(order, F.col("doc_id").asc())
     return (cands.withColumn("score", F.round("score", _kernel.DIGITS))
@@ -97,20 +105,56 @@ def knn(queries: DataFrame, corpus: DataFrame, k: int, metric: str = "cosine", *
             .where(F.col("rank") <= k))
 
 
-def _knn_broadcast(spark, qv, cv, k, metric, exclude_self, limit_bytes, nq, dim) -> DataFrame:
-    if nq * max(dim, 1) * 8 > limit_bytes or nq * k > MAX_STATE_ROWS:
+@dataclass(frozen=True)
+class BroadcastQueries:
+    """A query matrix shipped once to every executor (size checked first)."""
+
+    handle: object      # pyspark Broadcast of (ids ndarray, float64 matrix)
+    n: int
+    dim: int
+
+    def destroy(self) -> None:
+        self.handle.unpersist()
+
+
+def broadcast_queries(queries: DataFrame, k: int, *, q_id: str = "id", q_vec: str = "vec",
+                      broadcast_limit_bytes: int = BROADCAST_LIMIT_BYTES) -> BroadcastQueries:
+    """Collect and broadcast a query side once for several searches (N4 runs
+    one per gamma). Raises when it exceeds the broadcast bounds."""
+    spark = queries.sparkSession
+    ship_package(spark)
+    qv = queries.select(F.col(q_id).cast("string").alias("id"), F.col(q_vec).alias("vec")).persist()
+    try:
+        st = qv.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("vec")).alias("d")).first()
+        return _broadcast(spark, qv, k, broadcast_limit_bytes, int(st["n"]), int(st["d"] or 0))
+    finally:
         qv.unpersist()
+
+
+def search_broadcast(bq: BroadcastQueries, corpus: DataFrame, k: int, metric: str = "cosine", *,
+                     c_id: str = "id", c_vec: str = "vec",
+                     exclude_self: bool = False) -> DataFrame:
+    """R1 against an already broadcast query side; same output as ``knn``."""
+    cv = corpus.select(F.col(c_id).cast("string").alias("id"), F.col(c_vec).alias("vec"))
+    return _rank(_scan_corpus(bq, cv, k, metric, exclude_self), k, metric)
+
+
+def _broadcast(spark, qv, k, limit_bytes, nq, dim) -> BroadcastQueries:
+    if nq * max(dim, 1) * 8 > limit_bytes or nq * k > MAX_STATE_ROWS:
         raise ValueError(f"query side of {nq} x {dim} exceeds the broadcast limit; use grid")
     tbl = qv.where(F.col("vec").isNotNull()).toArrow()   # bounded by the check above
-    qv.unpersist()
     q_ids = np.asarray(tbl.column("id").to_pylist(), dtype=object)
     Q = _kernel.arrow_matrix(tbl.column("vec"))
-    bq = spark.sparkContext.broadcast((q_ids, Q))
+    return BroadcastQueries(spark.sparkContext.broadcast((q_ids, Q)), nq, dim)
+
+
+def _scan_corpus(bq: BroadcastQueries, cv: DataFrame, k, metric, exclude_self) -> DataFrame:
+    handle = bq.handle
 
     def run(batches):
         import pyarrow as pa
 
-        ids, mat = bq.value
+        ids, mat = handle.value
         searcher = _kernel.BlockSearcher(ids, mat, k, metric, exclude_self)
         for b in batches:
             b = b.filter(pa.compute.is_valid(b.column("vec")))
