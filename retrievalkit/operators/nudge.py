@@ -20,7 +20,7 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from retrievalkit.functions.vectors import axpy, dot, l2_normalize, scale, sq_l2, to_double
+from retrievalkit.functions.vectors import axpy, dot, l2_normalize, sq_l2, to_double
 from retrievalkit.operators.search import broadcast_queries, knn, search_broadcast
 
 KINDS = ("nudge-n", "nudge-m")
@@ -198,4 +198,4 @@ def changed_vectors(before: DataFrame, after: DataFrame) -> DataFrame:
 
 
 __all__ = ["nudge_targets", "nudge_m", "nudge_n", "apply_nudge", "choose_gamma",
-           "best_gamma", "nudge_finetune", "nudge_insert", "changed_vectors", "scale"]
+           "best_gamma", "nudge_finetune", "nudge_insert", "changed_vectors"]

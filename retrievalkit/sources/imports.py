@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from retrievalkit import tables as S
 from retrievalkit.operators.sampling import dense_index
 from retrievalkit.tables import RagTables
 
@@ -25,7 +24,7 @@ def import_judged(spark: SparkSession, corpus: DataFrame, queries: DataFrame,
     position (dict assignment); ``order_col`` gives the input order (default:
     the id itself).
     """
-    def last_wins(df: DataFrame, out_id: str, out_schema) -> DataFrame:
+    def last_wins(df: DataFrame, out_id: str) -> DataFrame:
         o = F.col(order_col) if order_col else F.col("id")
         agg = (df.select(F.col("id").cast("string").alias("id"), "text", o.alias("_o"))
                .groupBy("id")
@@ -42,8 +41,8 @@ def import_judged(spark: SparkSession, corpus: DataFrame, queries: DataFrame,
     qrels = checked.dropDuplicates(["query_id", "doc_id", "relevance"])
     return RagTables.create(
         spark,
-        corpus=last_wins(corpus, "doc_id", S.CORPUS),
-        queries=last_wins(queries, "query_id", S.QUERIES),
+        corpus=last_wins(corpus, "doc_id"),
+        queries=last_wins(queries, "query_id"),
         qrels=qrels)
 
 
