@@ -174,3 +174,11 @@ def compare_runs(metrics: DataFrame, base_run: str, ks=DEFAULT_KS) -> DataFrame:
             .select("metric", "k", F.col("value").alias("base_value")))
     return (long.join(F.broadcast(base), ["metric", "k"], "left")   # base: one run, <= 5*|ks| rows
             .withColumn("delta", F.round(F.col("value") - F.col("base_value"), 5)))
+
+
+def compare_runs_wide(metrics: DataFrame, run_ids, ks=DEFAULT_KS) -> DataFrame:
+    """M10, wide: one row per (metric, k), one column per run (explicit
+    ``run_ids``, so the pivot needs no extra distinct job)."""
+    long = long_metrics(metrics, ks)
+    return (long.groupBy("metric", "k").pivot("run_id", list(run_ids))
+            .agg(F.first("value")))

@@ -78,6 +78,7 @@ def evaluate_model(tables: RagTables, encoder_factory: Callable, split: str | No
     qv = embed_queries(tables, encoder_factory, split, query_instruction=query_instruction,
                        store_path=store_path, model_name=model_name)
     run = R.retrieve(qv, cv, k, run_id=run_id)
+    run = R.check_scores(run, drop=True)   # R3: queries with no score in [0, 1] leave the run
     qrels = M.build_qrels(tables.qrels)
     pq = M.per_query_metrics(M.judge_run(run, qrels), M.num_relevant(qrels), ks)
     return pq if per_query else M.compute_metrics(pq, ks)

@@ -190,3 +190,14 @@ def test_rerank_drops_unscored_and_resorts(spark):
     ps = spark.createDataFrame([("q", "a", 0.1), ("q", "c", 0.5)], "query_id string, doc_id string, score double")
     got = [(r.doc_id, r.rank) for r in rerank(run, ps, 3).orderBy("rank").collect()]
     assert got == [("c", 1), ("a", 2)]
+
+
+def test_compare_runs_long_and_wide(spark):
+    m = spark.createDataFrame([("a", 0.5, 0.25), ("b", 0.75, 0.5)],
+                              "run_id string, ndcg_at_1 double, map_at_1 double")
+    m = m.select("run_id", "ndcg_at_1", "map_at_1", *[F.lit(0.0).alias(f"{x}_at_1")
+                                                    for x in ("recall", "precision", "mrr")])
+    long = {(r.run_id, r.metric): r.delta for r in M.compare_runs(m, "a", (1,)).collect()}
+    assert long[("b", "ndcg")] == 0.25 and long[("a", "map")] == 0.0
+    wide = {r.metric: (r.a, r.b) for r in M.compare_runs_wide(m, ["a", "b"], (1,)).collect()}
+    assert wide["ndcg"] == (0.5, 0.75)
