@@ -50,23 +50,24 @@ def _unit_targets(targets: DataFrame) -> DataFrame:
     return targets.select("doc_id", l2_normalize("g").alias("u"))
 
 
-def nudge_m(doc_vecs: DataFrame, targets: DataFrame, gamma: float) -> DataFrame:
-    """``(id, vec array<double>)`` with D' = D + gamma u for targeted docs."""
+def with_unit_targets(doc_vecs: DataFrame, targets: DataFrame) -> DataFrame:
+    """``(id, vec array<double>, u)``: each document with its unit target
+    (NULL when it has no training query)."""
     t = _unit_targets(targets).withColumnRenamed("doc_id", "id")
-    j = doc_vecs.select("id", "vec").join(t, "id", "left")
+    return doc_vecs.select("id", to_double("vec").alias("vec")).join(t, "id", "left")
+
+
+def _moved_m(j: DataFrame, gamma: float) -> DataFrame:
     new = F.when(F.col("u").isNotNull() & (F.lit(gamma) != 0.0),
-                 axpy(F.lit(float(gamma)), F.col("u"), F.col("vec"))).otherwise(to_double("vec"))
+                 axpy(F.lit(float(gamma)), F.col("u"), F.col("vec"))).otherwise(F.col("vec"))
     return j.select("id", new.alias("vec"))
 
 
-def nudge_n(doc_vecs: DataFrame, targets: DataFrame, gamma: float) -> DataFrame:
-    """``(id, vec array<double>)`` on the unit sphere, chord <= gamma."""
+def _moved_n(j: DataFrame, gamma: float) -> DataFrame:
     g = float(gamma)
     c = 1.0 - g * g / 2.0
     s = g * math.sqrt(1.0 - g * g / 4.0) if g <= 2.0 else 0.0
-    tt = _unit_targets(targets).withColumnRenamed("doc_id", "id")
-    j = (doc_vecs.select("id", to_double("vec").alias("vec")).join(tt, "id", "left")
-         .withColumn("t", F.when(F.col("u").isNotNull(), dot("u", "vec"))))
+    j = j.withColumn("t", F.when(F.col("u").isNotNull(), dot("u", "vec")))
     w = F.zip_with("u", "vec", lambda a, b: a - F.col("t") * b)   # u - t D
     j = j.withColumn("zr", F.when(F.col("u").isNotNull(), w))
     zn = F.sqrt(F.aggregate(F.transform("zr", lambda x: x * x), F.lit(0.0), lambda a, x: a + x))
@@ -79,12 +80,26 @@ def nudge_n(doc_vecs: DataFrame, targets: DataFrame, gamma: float) -> DataFrame:
     return j.select("id", new.alias("vec"))
 
 
+def nudge_m(doc_vecs: DataFrame, targets: DataFrame, gamma: float) -> DataFrame:
+    """``(id, vec array<double>)`` with D' = D + gamma u for targeted docs."""
+    return _moved_m(with_unit_targets(doc_vecs, targets), gamma)
+
+
+def nudge_n(doc_vecs: DataFrame, targets: DataFrame, gamma: float) -> DataFrame:
+    """``(id, vec array<double>)`` on the unit sphere, chord <= gamma."""
+    return _moved_n(with_unit_targets(doc_vecs, targets), gamma)
+
+
 def apply_nudge(doc_vecs: DataFrame, targets: DataFrame, gamma: float, kind: str) -> DataFrame:
     if kind not in KINDS:
         raise ValueError(f"kind must be one of {KINDS}")
     return (nudge_n if kind == "nudge-n" else nudge_m)(doc_vecs, targets, gamma)
 
 
+def _apply_joined(j: DataFrame, gamma: float, kind: str) -> DataFrame:
+    return (_moved_n if kind == "nudge-n" else _moved_m)(j, gamma)
+
+
 def search_metric(kind: str) -> str:
     return "cosine" if kind == "nudge-n" else "dot"
 
@@ -103,16 +118,16 @@ def choose_gamma(doc_vecs: DataFrame, targets: DataFrame, val_query_vecs: DataFr
     """
     metric = search_metric(kind)
     grid = sorted(set(float(x) for x in grid) | {0.0})
-    rel = (val_qrels.where("relevance = 1").select("query_id", "doc_id").dropDuplicates()
-           .checkpoint(eager=True))
-    # Inputs reused by every grid value are materialised once (lineage cut in
-    # the shared checkpoint folder), so each gamma only re-tunes and searches.
-    vq = (val_query_vecs.join(rel.select(F.col("query_id").alias("id")).distinct(), "id",
-                              "left_semi").checkpoint(eager=True))
-    targets = targets.checkpoint(eager=True)
-    touched = (doc_vecs.join(targets.select(F.col("doc_id").alias("id")), "id", "left_semi")
-               .checkpoint(eager=True))
-    fixed = doc_vecs.join(targets.select(F.col("doc_id").alias("id")), "id", "left_anti")
+    rel = val_qrels.where("relevance = 1").select("query_id", "doc_id").dropDuplicates()
+    vq = val_query_vecs.join(rel.select(F.col("query_id").alias("id")).distinct(), "id",
+                             "left_semi")
+    # Touched documents joined with their unit targets once and materialised
+    # (lineage cut in the shared checkpoint folder): every gamma only applies
+    # the closed form to these columns and searches.
+    tids = targets.select(F.col("doc_id").alias("id"))
+    touched = with_unit_targets(doc_vecs.join(tids, "id", "left_semi"), targets).checkpoint(
+        eager=True)
+    fixed = doc_vecs.join(tids, "id", "left_anti")
     if competitors is not None:
         fixed = fixed.select("id", "vec").unionByName(competitors.select("id", "vec"))
     # the validation queries are collected and broadcast once when small
@@ -121,6 +136,7 @@ def choose_gamma(doc_vecs: DataFrame, targets: DataFrame, val_query_vecs: DataFr
         bq = broadcast_queries(vq, 1)
     except ValueError:
         bq = None
+        vq = vq.checkpoint(eager=True)
 
     def top1(corpus):
         r = search_broadcast(bq, corpus, 1, metric) if bq is not None else knn(vq, corpus, 1, metric)
@@ -129,14 +145,13 @@ def choose_gamma(doc_vecs: DataFrame, targets: DataFrame, val_query_vecs: DataFr
     base = top1(fixed).checkpoint(eager=True)
     per_gamma = None
     for g in grid:
-        tuned = apply_nudge(touched, targets, g, kind)
-        top = top1(tuned)
+        top = top1(_apply_joined(touched, g, kind))
         both = top.unionByName(base).withColumn("gamma", F.lit(g))
         per_gamma = both if per_gamma is None else per_gamma.unionByName(both)
     order = F.col("score").desc() if metric != "sq_l2" else F.col("score").asc()
     w = Window.partitionBy("gamma", "query_id").orderBy(order, F.col("doc_id"))
-    top1 = per_gamma.withColumn("r", F.row_number().over(w)).where("r = 1")
-    hit = top1.join(rel.withColumn("hit", F.lit(1)), ["query_id", "doc_id"], "left")
+    best1 = per_gamma.withColumn("r", F.row_number().over(w)).where("r = 1")
+    hit = best1.join(rel.withColumn("hit", F.lit(1)), ["query_id", "doc_id"], "left")
     acc = hit.groupBy("gamma").agg(
         F.avg(F.coalesce("hit", F.lit(0)).cast("double")).alias("accuracy"),
         F.count(F.lit(1)).alias("n_queries"))
