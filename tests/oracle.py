@@ -22,7 +22,7 @@ def _norm(v):
     if isinstance(v, float):
         if math.isnan(v):
             return "nan"
-        return round(v, 9) + 0.0
+        return v + 0.0   # exact: both engines use the same sums and rounding points
     if isinstance(v, (list, tuple)):
         return tuple(_norm(x) for x in v)
     if hasattr(v, "asDict"):
