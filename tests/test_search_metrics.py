@@ -201,3 +201,35 @@ def test_compare_runs_long_and_wide(spark):
     assert long[("b", "ndcg")] == 0.25 and long[("a", "map")] == 0.0
     wide = {r.metric: (r.a, r.b) for r in M.compare_runs_wide(m, ["a", "b"], (1,)).collect()}
     assert wide["ndcg"] == (0.5, 0.75)
+
+
+from hypothesis import HealthCheck, given, settings  # noqa: E402
+from hypothesis import strategies as st  # noqa: E402
+
+
+@settings(max_examples=12, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(st.lists(st.tuples(st.integers(0, 4), st.integers(0, 9), st.sampled_from([0.1, 0.5, 0.5, 0.9])),
+                min_size=1, max_size=40),
+       st.lists(st.tuples(st.integers(0, 5), st.integers(0, 9)), max_size=25))
+def test_metrics_property_against_brute_force(spark, run_rows, qrel_rows):
+    seen, run = set(), []
+    for q, d, s in run_rows:                      # one score per (query, doc)
+        if (q, d) not in seen:
+            seen.add((q, d))
+            run.append((f"q{q}", str(d), s))
+    ranked = []
+    for q in sorted({r[0] for r in run}):         # retrieval order: score desc, then doc id
+        docs = sorted([r for r in run if r[0] == q], key=lambda r: (-r[2], r[1]))
+        ranked += [(q, d, s, i + 1) for i, (_, d, s) in enumerate(docs)]
+    qrels = sorted({(f"q{q}", str(d)) for q, d in qrel_rows})
+    ks = (1, 3, 5)
+    want = py_metrics(ranked, qrels, ks)
+    rdf = spark.createDataFrame(ranked, "query_id string, doc_id string, score double, rank int")
+    qdf = spark.createDataFrame([(q, d, 1) for q, d in qrels] or [("none", "none", 0)],
+                                "query_id string, doc_id string, relevance int")
+    got = M.evaluate(rdf, qdf, ks).first().asDict()
+    for name, v in want.items():
+        if v is None:
+            assert got[name] is None, name
+        else:
+            assert got[name] == pytest.approx(v, abs=1e-9), name
