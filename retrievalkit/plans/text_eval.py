@@ -92,9 +92,13 @@ def run_benchmark(tables: RagTables, split: str | None = "val", ks=KS, k: int =
 def pair_scores(pairs: DataFrame, tables: RagTables, dim: int = 128) -> DataFrame:
     """A second scorer for R5: cosine of 128-bucket hash vectors of each
     candidate pair (computed only for the candidate pairs, by join)."""
-    qv = query_vectors(tables, None, dim).select(F.col("id").alias("query_id"),
-                                                 F.col("vec").alias("qv"))
-    cv = corpus_vectors(tables, dim).select(F.col("id").alias("doc_id"), F.col("vec").alias("cv"))
+    # only the texts that occur in candidate pairs are embedded
+    cand = tables.with_(
+        queries=tables.queries.join(pairs.select("query_id").distinct(), "query_id", "left_semi"),
+        corpus=tables.corpus.join(pairs.select("doc_id").distinct(), "doc_id", "left_semi"))
+    qv = query_vectors(cand, None, dim).select(F.col("id").alias("query_id"),
+                                               F.col("vec").alias("qv"))
+    cv = corpus_vectors(cand, dim).select(F.col("id").alias("doc_id"), F.col("vec").alias("cv"))
     from retrievalkit.functions.vectors import cosine
 
     return (pairs.select("query_id", "doc_id").join(qv, "query_id").join(cv, "doc_id")
