@@ -95,11 +95,15 @@ class Words:
 
     def hashes(self, lower: bool) -> np.ndarray:
         """A 64-bit hash of each word; ``lower`` folds A-Z."""
+        return self.span_hashes(self.start, self.end, lower)
+
+    def span_hashes(self, start: np.ndarray, end: np.ndarray, lower: bool) -> np.ndarray:
+        """A 64-bit hash of each byte span."""
         n = len(self.buf)
         p, inv = _powers(n + 1)
         acc = np.zeros(n + 1, U64)
         np.cumsum((_BYTE_LOWER if lower else _BYTE)[self.buf] * p[:n], out=acc[1:])
-        return mix((acc[self.end] - acc[self.start]) * inv[self.start])
+        return mix((acc[end] - acc[start]) * inv[start])
 
 
 def shingles(words: np.ndarray, first: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:

@@ -39,3 +39,30 @@ def op1(spark, sf):
     out = near_duplicates(table(spark, sf, "documents"), k=3, percent=85)
     return out.select(F.col("id").alias("doc_id"), "n_shingles", F.col("component").alias("component_id"),
                       F.coalesce(F.expr("id = component"), F.lit(True)).alias("kept"))
+
+
+@register("op10_decontaminate")
+def op10(spark, sf):
+    """Documents that hold a benchmark item: pairs with their exact shingle containment."""
+    from retrievalkit.llm.decontaminate import contained_items
+
+    return contained_items(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
+
+
+@register("op2_repetition_quality")
+def op2(spark, sf):
+    """Repetition rules over whole texts: base counts, covered part, longest repeat, verdict."""
+    from retrievalkit.llm.repetition import repetition_quality
+
+    return repetition_quality(table(spark, sf, "documents")).withColumnRenamed("id", "doc_id")
+
+
+@register("op3_toxicity")
+def op3(spark, sf):
+    """Toxicity score of every document by the weighted pattern grammar."""
+    from retrievalkit.llm.toxicity import fit, toxicity
+
+    docs = table(spark, sf, "documents")
+    return toxicity(docs, fit(docs, table(spark, sf, "labels"))).select(
+        F.col("id").alias("doc_id"), F.expr("coalesce(crc32(cast(id as string)) % 5 = 0, false)").alias("held_out"),
+        "score", F.expr("if(score >= 0.5, 1, 0)").alias("predicted"), "matches")
