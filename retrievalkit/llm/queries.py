@@ -66,3 +66,19 @@ def op3(spark, sf):
     return toxicity(docs, fit(docs, table(spark, sf, "labels"))).select(
         F.col("id").alias("doc_id"), F.expr("coalesce(crc32(cast(id as string)) % 5 = 0, false)").alias("held_out"),
         "score", F.expr("if(score >= 0.5, 1, 0)").alias("predicted"), "matches")
+
+
+@register("op8_packing")
+def op8(spark, sf):
+    """Sum-of-squares packing of all documents into sequences of 4096 ids."""
+    from retrievalkit.llm.packing import pack
+
+    return pack(table(spark, sf, "documents")).withColumnRenamed("id", "doc_id")
+
+
+@register("op9_token_counts")
+def op9(spark, sf):
+    """Suffix sums of the token-length histogram: one row per length as context limit."""
+    from retrievalkit.llm.token_counts import length_histogram, suffix_sums
+
+    return suffix_sums(length_histogram(table(spark, sf, "documents")))
