@@ -82,3 +82,49 @@ def op9(spark, sf):
     from retrievalkit.llm.token_counts import length_histogram, suffix_sums
 
     return suffix_sums(length_histogram(table(spark, sf, "documents")))
+
+
+@register("op4_warc_round_trip")
+def op4(spark, sf):
+    """Write all pages as sharded WARC files, read them back and report each record."""
+    from retrievalkit.llm._spark import shared_folder
+    from retrievalkit.llm.warc import read_warc, write_warc
+
+    folder = shared_folder(spark, "warc")
+    write_warc(table(spark, sf, "pages"), folder)
+    return read_warc(spark, folder, payloads=False).select(
+        F.col("key").alias("page_id"), "payload_bytes", "payload_digest", F.col("kind").alias("record_type"),
+        "refers_to", "uri", "intact", "file")
+
+
+URL_RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"),
+             ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
+
+_OP5_SQL = """
+WITH cut AS (
+  SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
+parts AS (
+  SELECT page_id, rest, regexp_extract(coalesce(rest, ''), '^[^/?#]*') AS raw FROM cut),
+urls AS (
+  SELECT page_id, translate(raw, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+         regexp_extract(substr(coalesce(rest, ''), length(raw) + 1), '^[^?#]*') AS path FROM parts),
+rules(rule_host, rule_path, rule_verdict) AS (
+  VALUES ('net', '/', 'block'), ('example.net', '/en/', 'allow'), ('example.com', '/de/', 'block'), ('org', '/fr/', 'allow')),
+best AS (
+  SELECT host, path, arg_max(rule_host || rule_path, length(rule_host || rule_path)) AS rule,
+         arg_max(rule_verdict, length(rule_host || rule_path)) AS verdict
+  FROM (SELECT DISTINCT host, path FROM urls) JOIN rules
+    ON (host = rule_host OR ends_with(host, '.' || rule_host)) AND starts_with(path, rule_path)
+  GROUP BY host, path)
+SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM urls LEFT JOIN best USING (host, path)
+"""
+
+
+@register("op5_url_rules", _OP5_SQL)
+def op5(spark, sf):
+    """Verdict of every page url by the nested host and path rules."""
+    from retrievalkit.llm.url_rules import judge_urls
+
+    rules = spark.createDataFrame(URL_RULES, "host string, path string, verdict string")
+    return judge_urls(table(spark, sf, "pages").select("page_id", "url"), rules).select(
+        "page_id", "host", "path", "rule", "verdict")
