@@ -128,3 +128,12 @@ def op5(spark, sf):
     rules = spark.createDataFrame(URL_RULES, "host string, path string, verdict string")
     return judge_urls(table(spark, sf, "pages").select("page_id", "url"), rules).select(
         "page_id", "host", "path", "rule", "verdict")
+
+
+@register("op6_html_text")
+def op6(spark, sf):
+    """Main text of every page."""
+    from retrievalkit.llm.html_text import extract_text
+
+    return extract_text(table(spark, sf, "pages")).select(
+        F.col("id").alias("page_id"), "url", "text", F.length("text").cast("long").alias("n_chars"))
