@@ -137,3 +137,13 @@ def op6(spark, sf):
 
     return extract_text(table(spark, sf, "pages")).select(
         F.col("id").alias("page_id"), "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
+@register("op7_secret_scan")
+def op7(spark, sf):
+    """Secrets in every document: base patterns and randomness tests, as spans."""
+    from retrievalkit.llm.secret_scan import joined, scan_secrets
+
+    return scan_secrets(table(spark, sf, "documents")).select(
+        F.col("id").alias("doc_id"), "n_assign", "n_access", "n_hex", "n_random",
+        F.sha2(joined("base").cast("binary"), 256).alias("base_sha256"), joined("spans").alias("spans"))
