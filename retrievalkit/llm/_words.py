@@ -114,7 +114,7 @@ def shingles(words: np.ndarray, first: np.ndarray, k: int) -> tuple[np.ndarray,
         return np.zeros(0, U64), np.zeros(len(first), np.int64)
     q = [U64(pow(0xD6E8FEB86659FD93, j + 1, 1 << 64)) for j in range(k)]
     out = np.zeros(n, U64)
-    for j in range(k):
+    for j in range(min(k, n)):
         out[:n - j] += words[j:] * q[j]
     keep = np.zeros(n, bool)
     last = first[1:] - k                     # last window that fits

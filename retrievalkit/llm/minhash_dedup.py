@@ -9,8 +9,8 @@ of each collection, with probability ``(1 - (1 - s**rows)**m)**2``; ``m`` is the
 least that misses a pair at the threshold with probability ``miss`` or less.
 
 Candidates are verified on full shingle sets. Buckets are never expanded into
-all pairs: each bucket first links its members to one pivot, in hash order, so
-that different tables take different pivots. Only where the members of a
+all pairs: each bucket first links its members to one pivot, the least by one of
+a few orders of ids, so that different tables try different pivots. Only where the members of a
 bucket still lie in different components are members compared block against
 block, across components, with a union-find that emits at most one link per
 member and block pair.
@@ -33,6 +33,7 @@ from retrievalkit.llm.components import components
 
 BLOCK = 256          # members of one side of a block comparison
 _SEED = 0x2545F4914F6CDD1D
+_ORDERS = [0, 0x2AAAAAAAAAAAAAAA, 0x1F83D9ABFB41BD6B, 0x5BE0CD19137E2179]   # ids are ordered by id ^ order
 
 
 def bands(threshold: float, rows: int, miss: float) -> int:
@@ -196,10 +197,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     cell = F.explode(F.expr(
         f"flatten(transform(slice(band, 1, {m}), (x, i) -> transform(slice(band, {m + 1}, {m}), "
         f"(y, j) -> struct(int(i * {m} + j) as t, xxhash64(x, y, i * {m} + j) as key))))")).alias("c")
+    # the pivot is the least id in one of a few orders, so copies of one text meet few pivots in all tables
+    order = f"element_at(array({', '.join(f'{o}L' for o in _ORDERS)}), t % {len(_ORDERS)} + 1)"
     keys = reps.select("id", cell).select("id", F.col("c.t").alias("t"), F.col("c.key").alias("key"))
-    # the pivot is the least id in an order that differs from bucket to bucket
-    bucket = keys.groupBy("key").agg(F.min(F.expr("id ^ key")).alias("low"), F.count("*").alias("size"))
-    bucket = bucket.filter("size > 1").select("key", "size", F.expr("low ^ key").alias("pivot"))
+    bucket = keys.groupBy("key").agg(F.min(F.expr(f"id ^ {order}")).alias("low"), F.min("t").alias("t"),
+                                     F.count("*").alias("size"))
+    bucket = bucket.filter("size > 1").select("key", "size", F.expr(f"low ^ {order}").alias("pivot"))
     inside = stored(keys.join(bucket, "key"), "buckets")
 
     pairs = inside.filter("id != pivot").select(
