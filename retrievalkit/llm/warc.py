@@ -1,7 +1,7 @@
 """Deterministic sharded WARC writer, and its reader.
 
-Records are range-sorted by key and each shard is written by one task, which
-rolls files by compressed size. Every record is its own gzip member; HTTP and
+Records are range-sorted by key: exact byte counts by key range set where shards
+begin. Each shard is written by one task, which rolls files by compressed size. Every record is its own gzip member; HTTP and
 WARC headers and the digests of payload and block are made anew from the
 payload. Files are written under temporary names and renamed when complete;
 their names and content follow from the rows alone, so a task that runs again
@@ -17,6 +17,7 @@ import uuid
 import zlib
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
@@ -91,10 +92,13 @@ def _writer(folder: str, limit: int, date: str, key_header: str, level: int):
     """Rows of a sorted partition: first the row that decides a record's kind,
     then the row with its payload."""
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        roller, kinds, seen, at = None, {}, {}, object()
+        roller, kinds, seen, at, done = None, {}, {}, object(), []
         for batch in batches:
             for row in batch.to_pylist():
-                if roller is None:
+                if roller is None or roller.shard != row["shard"]:
+                    if roller is not None:
+                        roller.close()
+                        done += roller.done
                     roller = _Roller(folder, row["shard"], limit)
                 if row["key"] != at:
                     at, kinds, seen = row["key"], {}, {}
@@ -109,8 +113,9 @@ def _writer(folder: str, limit: int, date: str, key_header: str, level: int):
                 roller.add(gzip.compress(_record(row, date, key_header), level, mtime=0), at)
         if roller is not None:
             roller.close()
+            done += roller.done
             yield pa.RecordBatch.from_pylist([dict(zip(
-                ("file", "shard", "records", "bytes", "sha256", "first_key", "last_key"), d)) for d in roller.done],
+                ("file", "shard", "records", "bytes", "sha256", "first_key", "last_key"), d)) for d in done],
                 schema=pa.schema([("file", pa.string()), ("shard", pa.int64()), ("records", pa.int64()),
                                   ("bytes", pa.int64()), ("sha256", pa.string()), ("first_key", pa.int64()),
                                   ("last_key", pa.int64())]))
@@ -118,8 +123,58 @@ def _writer(folder: str, limit: int, date: str, key_header: str, level: int):
     return write
 
 
+def _cuts(rows: DataFrame, shard_bytes: int) -> list[int]:
+    """Keys at which a new shard begins: found from exact byte counts by key
+    range, so they depend on the rows alone. Ranges too large for a shard are
+    counted again in finer steps; about four counts a shard reach the driver."""
+    r = rows.agg(F.min("key"), F.max("key"), F.sum("bytes")).first()
+    if r[0] is None or r[2] <= shard_bytes:
+        return []
+    done, heavy = [], [(r[0], r[1], r[2])]              # (first key, last key, bytes)
+    for _ in range(64):
+        if not heavy:
+            break
+        starts = np.array([a for a, _, _ in heavy], np.int64)
+        ends = np.array([b for _, b, _ in heavy], np.int64)
+        steps = np.array([max(1, -(-(b - a + 1) // max(2, 4 * n // shard_bytes))) for a, b, n in heavy], np.int64)
+
+        def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                keys, size = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
+                at = np.searchsorted(starts, keys, "right") - 1
+                ok = (at >= 0) & (keys <= ends[at])
+                at, keys, size = at[ok], keys[ok], size[ok]
+                begin, back = np.unique(starts[at] + (keys - starts[at]) // steps[at] * steps[at], return_inverse=True)
+                total = np.bincount(back, size, len(begin)).astype(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(begin), pa.array(total)], names=["first", "bytes"])
+
+        found = rows.filter("key is not null").select("key", "bytes").mapInArrow(
+            count, "first long, bytes long").groupBy("first").agg(F.sum("bytes").alias("bytes")).orderBy("first").collect()
+        heavy = []
+        for first, size in found:
+            at = int(np.searchsorted(starts, first, "right")) - 1
+            last = min(int(ends[at]), first + int(steps[at]) - 1)
+            (heavy if size > shard_bytes and last > first else done).append((first, last, size))
+    cuts, size = [], 0
+    for first, _, n in sorted(done + heavy):
+        if size and size + n > shard_bytes:
+            cuts.append(first)
+            size = 0
+        size += n
+    return cuts
+
+
+def _dealer(cuts: list[int], at: int):
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            key = batch.column(at).fill_null(np.iinfo(np.int64).min).to_numpy()
+            yield batch.append_column("shard", pa.array(np.searchsorted(np.array(cuts, np.int64), key, "right")))
+
+    return deal
+
+
 def write_warc(pages: DataFrame, folder: str, key_col: str = "page_id", uri_col: str = "url",
-               payload_col: str = "html", *, shard_bytes: int = 256 << 20, roll_bytes: int = 16 << 20,
+               payload_col: str = "html", *, shard_bytes: int = 32 << 20, roll_bytes: int = 16 << 20,
                least_bytes: int = 100, date: str = "2000-01-01T00:00:00Z", key_header: str = "X-Page-Id",
                level: int = 6) -> DataFrame:
     """Write a record per row of ``pages`` below ``folder``, a URI that all
@@ -131,7 +186,8 @@ def write_warc(pages: DataFrame, folder: str, key_col: str = "page_id", uri_col:
     payloads are always responses. A null payload is empty, a null URI is blank.
     Rows that repeat key and payload: the first is the response. Rows with a
     null key refer to the smallest key with their payload, if any, and else are
-    responses. Other columns are not written. An empty table gives no files and
+    responses. Shards begin at keys that leave each at most ``shard_bytes`` of
+    payload, if its keys allow. Other columns are not written. An empty table gives no files and
     an empty manifest. A folder with a manifest is refused.
     """
     spark = pages.sparkSession
@@ -150,14 +206,17 @@ def write_warc(pages: DataFrame, folder: str, key_col: str = "page_id", uri_col:
     kinds = narrow.distinct().join(first, "digest").select(
         "key", F.lit(None).cast("string").alias("uri"), F.lit(None).cast("binary").alias("payload"), "digest",
         F.lit(0).alias("size"), F.expr("if(key <=> least, null, least)").alias("refers_to"))
-    size = rows.agg(F.sum("size").alias("n")).first()["n"] or 0
-    shards = max(1, -(-size // shard_bytes), spark.sparkContext.defaultParallelism if size > roll_bytes else 1)
     both = rows.withColumn("refers_to", F.lit(None).cast("long")).withColumn(
-        "size", F.expr(f"int(size >= {least_bytes})")).unionByName(kinds)
-    # kinds before payloads, rows that repeat a key in an order of their own
-    dealt = both.repartitionByRange(shards, "key").sortWithinPartitions(
-        "key", F.col("payload").isNotNull(), "digest", "uri").withColumn("shard", F.spark_partition_id().cast("long"))
-    manifest = dealt.select("key", "uri", "payload", "digest", "size", "refers_to", "shard").mapInArrow(
+        "size", F.expr(f"int(size >= {least_bytes})")).unionByName(kinds).select(
+        "key", "uri", "payload", "digest", "size", "refers_to")
+    cuts = _cuts(rows.select("key", F.col("size").cast("long").alias("bytes")), shard_bytes)
+    shards = len(cuts) + 1
+    # the range exchange samples at random, but only places whole shards; kinds come
+    # before payloads, and rows that repeat a key in an order of their own
+    dealt = both.mapInArrow(_dealer(cuts, 0), "key long, uri string, payload binary, digest string, size int, "
+                                              "refers_to long, shard long")
+    manifest = dealt.repartitionByRange(shards, "shard").sortWithinPartitions(
+        "shard", "key", F.col("payload").isNotNull(), "digest", "uri").mapInArrow(
         _writer(folder, roll_bytes, date, key_header, level), _MANIFEST)
     manifest.write.parquet(f"{folder}/_manifest")
     return spark.read.schema(_MANIFEST).parquet(f"{folder}/_manifest")

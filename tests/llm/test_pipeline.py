@@ -43,7 +43,7 @@ def test_messy_rows_pass_every_stage(spark):
     for name, stage in P.STAGES[:-1]:
         docs = stored(stage(spark, docs, SF001), name)
     assert sorted(str(r["doc_id"]) for r in docs.collect()) == ["1", "2", "3", "None", "None"]
-    assert P.packing(spark, docs, SF001).count() == 5
+    assert P.packing(spark, docs, SF001).filter("start = 0").count() == 5
     empty = docs.limit(0)
     for _, stage in P.STAGES:
         empty_out = stage(spark, empty, SF001)

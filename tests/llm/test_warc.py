@@ -52,8 +52,9 @@ def test_same_rows_same_files(spark):
     df = spark.range(300).selectExpr("id as page_id", "concat('http://h/', id) as url",
                                      "repeat(cast(id % 40 as string), 120) as html")
     a, b = shared_folder(spark, "w1"), shared_folder(spark, "w2")
-    one = write_warc(df, a, roll_bytes=4000).collect()
-    two = write_warc(df, b, roll_bytes=4000).collect()
+    one = write_warc(df, a, roll_bytes=4000, shard_bytes=9000).collect()
+    two = write_warc(df.repartition(5, "html"), b, roll_bytes=4000, shard_bytes=9000).collect()
+    assert len({m["shard"] for m in one}) >= 5
     assert sorted(one) == sorted(two) and len(one) > 1
     assert got(spark, a)[1] == got(spark, b)[1]
     # files outside the manifest do not count
