@@ -19,6 +19,7 @@ from decimal import ROUND_HALF_UP, Decimal
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 
 MARGIN = 2e-6
 DIGITS = 6
@@ -80,6 +81,7 @@ def screen(S: np.ndarray, k: int, running: np.ndarray | None = None) -> tuple[np
     known it replaces the per-block k-th, so later blocks admit only pairs
     that can still enter the top k."""
     n = S.shape[1]
+    S[~np.isfinite(S)] = -np.inf
     valid = S > -np.inf
     thr = np.full(S.shape[0], -np.inf)
     if running is not None:
@@ -94,19 +96,12 @@ def screen(S: np.ndarray, k: int, running: np.ndarray | None = None) -> tuple[np
     return np.nonzero((S >= thr[:, None]) & valid)
 
 
-def topk_frame(q_ids, d_ids, score, k: int, higher_better: bool) -> pd.DataFrame:
-    """Exactly k rows per query by (score better-first, doc id ascending)."""
-    df = pd.DataFrame({"query_id": q_ids, "doc_id": d_ids, "score": score})
-    df = df[~np.isnan(df["score"].to_numpy())]
-    if df.empty:
-        return df
-    df = df.sort_values(["query_id", "score", "doc_id"],
-                        ascending=[True, not higher_better, True], kind="mergesort")
-    return df.groupby("query_id", sort=False).head(k)
-
-
 class BlockSearcher:
-    """Top-k of a fixed query matrix against a stream of corpus blocks."""
+    """Top-k of a fixed query matrix against a stream of corpus blocks.
+
+    The state is two ``(queries, k)`` arrays (score in screening units, -inf
+    where empty, and document id); a block only touches the rows of queries
+    that gained a candidate."""
 
     def __init__(self, q_ids: np.ndarray, Q: np.ndarray, k: int, metric: str,
                  exclude_self: bool, chunk_bytes: int = 64 << 20):
@@ -117,10 +112,9 @@ class BlockSearcher:
         self.qn = seq_sq_norms(Q)
         self.q_index = pd.Index(q_ids)
         self.chunk_bytes = chunk_bytes
-        self.higher_better = metric != "sq_l2"
-        self.best: pd.DataFrame | None = None
-        # k-th best so far per query, in screening units (higher is better)
-        self.running = np.full(len(q_ids), -np.inf)
+        self.sign = -1.0 if metric == "sq_l2" else 1.0
+        self.score = np.full((len(q_ids), k), -np.inf)
+        self.doc = np.full((len(q_ids), k), None, dtype=object)
 
     def add(self, d_ids: np.ndarray, C: np.ndarray) -> None:
         if len(d_ids) == 0 or len(self.q_ids) == 0:
@@ -128,7 +122,6 @@ class BlockSearcher:
         cn = seq_sq_norms(C)
         rows = max(1, self.chunk_bytes // (8 * max(1, len(d_ids))))
         self_pos = self.q_index.get_indexer(d_ids) if self.exclude_self else None
-        new = []
         for s in range(0, len(self.q_ids), rows):
             e = min(len(self.q_ids), s + rows)
             G = self.Q[s:e] @ C.T
@@ -137,62 +130,53 @@ class BlockSearcher:
             elif self.metric == "cosine":
                 with np.errstate(divide="ignore", invalid="ignore"):
                     S = G / (np.sqrt(self.qn[s:e])[:, None] * np.sqrt(cn)[None, :])
-                S[~np.isfinite(S)] = -np.inf
             else:
                 S = -(self.qn[s:e][:, None] + cn[None, :] - 2.0 * G)
             if self_pos is not None:
                 hit = np.nonzero((self_pos >= s) & (self_pos < e))[0]
                 S[self_pos[hit] - s, hit] = -np.inf
-            qi, ci = screen(S, self.k, self.running[s:e])
+            qi, ci = screen(S, self.k, self.score[s:e, -1])
             if len(qi) == 0:
                 continue
             qi = qi + s
-            ex = exact_scores(self.Q, C, qi, ci, self.metric, self.qn, cn)
-            part = topk_frame(self.q_ids[qi], d_ids[ci], round_half_up(ex), self.k,
-                              self.higher_better)
-            if len(part):
-                new.append(part)
-        if not new:
-            return
-        if self.best is not None and len(self.best):
-            new.append(self.best)
-        merged = pd.concat(new, ignore_index=True)
-        self.best = topk_frame(merged["query_id"].to_numpy(), merged["doc_id"].to_numpy(),
-                               merged["score"].to_numpy(), self.k, self.higher_better)
-        self._update_running()
-
-    def _update_running(self) -> None:
-        g = self.best.groupby("query_id", sort=False)
-        kth = g.nth(self.k - 1)
-        if len(kth) == 0:
+            ex = round_half_up(exact_scores(self.Q, C, qi, ci, self.metric, self.qn, cn))
+            ok = ~np.isnan(ex)
+            self._merge(qi[ok], self.sign * ex[ok], d_ids[ci[ok]])
+
+    def _merge(self, qi: np.ndarray, sc: np.ndarray, ids: np.ndarray) -> None:
+        touched = np.unique(qi)
+        at, slot = np.nonzero(self.score[touched] > -np.inf)
+        old = touched[at]
+        q = np.concatenate([qi, old])
+        v = np.concatenate([sc, self.score[old, slot]])
+        d = np.concatenate([ids, self.doc[old, slot]])
+        if len(q) == 0:
             return
-        pos = self.q_index.get_indexer(kth["query_id"].to_numpy())
-        sc = kth["score"].to_numpy()
-        self.running[pos] = sc if self.higher_better else -sc
+        order = np.lexsort((d.astype(str), -v, q))
+        q, v, d = q[order], v[order], d[order]
+        rank = np.arange(len(q)) - np.searchsorted(q, q)
+        keep = rank < self.k
+        self.score[touched], self.doc[touched] = -np.inf, None
+        self.score[q[keep], rank[keep]], self.doc[q[keep], rank[keep]] = v[keep], d[keep]
 
     def result(self) -> pd.DataFrame:
-        if self.best is None:
-            return pd.DataFrame({"query_id": pd.Series([], dtype=object),
-                                 "doc_id": pd.Series([], dtype=object),
-                                 "score": pd.Series([], dtype="float64")})
-        return self.best.reset_index(drop=True)
-
-
-def stack_vectors(values) -> np.ndarray:
-    """Object series of float arrays -> float64 matrix (exact widening)."""
-    if len(values) == 0:
-        return np.zeros((0, 0))
-    return np.stack([np.asarray(v, dtype=np.float64) for v in values])
-
-
-def arrow_matrix(col) -> np.ndarray:
-    """Arrow list<float> column (no nulls, one dimension) -> float64 matrix."""
-    import pyarrow as pa
-
-    if isinstance(col, pa.ChunkedArray):
-        col = col.combine_chunks()
-    n = len(col)
-    if n == 0:
-        return np.zeros((0, 0))
-    flat = col.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
-    return flat.reshape(n, len(flat) // n)
+        qi, slot = np.nonzero(self.score > -np.inf)
+        return pd.DataFrame({"query_id": self.q_ids[qi].astype(object),
+                             "doc_id": self.doc[qi, slot].astype(object),
+                             "score": self.sign * self.score[qi, slot] + 0.0})
+
+
+def usable(ids, vecs, dim: int) -> tuple[np.ndarray, np.ndarray]:
+    """Ids and float64 matrix of the vectors that take part in a search: not
+    null, of length ``dim``, and every component a finite number. One rule for
+    both sides and all strategies."""
+    import pyarrow.compute as pc
+
+    if isinstance(vecs, pa.ChunkedArray):
+        vecs = vecs.combine_chunks()
+    ids = np.asarray(ids.to_pylist(), dtype=object)
+    keep = pc.fill_null(pc.equal(pc.list_value_length(vecs), dim), False)
+    m = vecs.filter(keep).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dim)
+    ids = ids[keep.to_numpy(zero_copy_only=False)]
+    ok = np.isfinite(m).all(axis=1)
+    return ids[ok], m[ok]

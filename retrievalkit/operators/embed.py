@@ -22,7 +22,7 @@ from pyspark.sql import types as T
 
 from retrievalkit.functions.text import with_prefix
 from retrievalkit.functions.vectors import l2_normalize
-from retrievalkit.session import ship_package
+from retrievalkit.session import materialised, path_exists, ship_package
 
 VEC_SCHEMA = T.StructType([
     T.StructField("id", T.StringType()),
@@ -143,44 +143,49 @@ STORE_SCHEMA = T.StructType([
 ])
 
 
-def _read_store(spark, path):
-    try:
-        return spark.read.schema(STORE_SCHEMA).parquet(path)
-    except Exception:  # no store yet
-        return spark.createDataFrame([], STORE_SCHEMA)
-
-
 def embed_incremental(df: DataFrame, store_path: str, model: str, *,
                       embed_fn: Callable[[DataFrame], DataFrame], id_col: str = "id",
                       text_col: str = "text", role: str = "none",
                       instruction: str | None = None, normalize: bool = True) -> DataFrame:
     """Vectors for ``df`` reusing the store; texts not yet stored under
     this (model, role, instruction, normalize) are encoded by ``embed_fn``
-    (a DataFrame ``(id, text) -> (id, vec)`` function, e.g. E1 or E2), appended
-    to the store, and joined back. Changed text -> new key, never stale.
+    (a DataFrame ``(id, text) -> (id, vec)`` function, e.g. E1 or E2) and
+    appended to the store. Changed text -> new key, never stale; a null text
+    counts as the empty one, as in E1.
+
+    The store is partitioned by model and role and read once per call: rows are
+    joined with it, the misses are encoded, and the fresh vectors are united
+    with the hits. Only a store that does not exist counts as empty; any other
+    error is raised.
     """
     spark = df.sparkSession
     instr = instruction or ""
     src = df.select(F.col(id_col).cast("string").alias("id"),
-                    with_prefix(text_col, instruction).alias("text"))
+                    with_prefix(F.coalesce(F.col(text_col), F.lit("")), instruction).alias("text"))
     src = src.withColumn("text_md5", F.md5("text"))
-    key = ((F.col("model") == model) & (F.col("role") == role)
-           & (F.col("instruction") == instr) & (F.col("normalize") == F.lit(normalize)))
-    stored = _read_store(spark, store_path).where(key).select("text_md5", "vec")
-    missing = (src.join(stored.select("text_md5"), "text_md5", "left_anti")
-               .dropDuplicates(["text_md5"]))
-    fresh = embed_fn(missing.select(F.col("text_md5").alias("id"), "text"))
+    if path_exists(spark, store_path):
+        key = ((F.col("model") == model) & (F.col("role") == role)
+               & (F.col("instruction") == instr) & (F.col("normalize") == F.lit(normalize)))
+        known = spark.read.schema(STORE_SCHEMA).parquet(store_path).where(key).select(
+            "text_md5", "vec").dropDuplicates(["text_md5"])
+        src = src.join(known, "text_md5", "left")
+    else:
+        src = src.withColumn("vec", F.lit(None).cast("array<float>"))
+    looked = materialised(src.select("id", "text_md5", "vec", F.when(F.col("vec").isNull(), F.col("text")).alias("text")),
+                          "embed-lookup")
+    missing = looked.where("vec is null").groupBy("text_md5").agg(F.first("text").alias("text"))
+    fresh = materialised(embed_fn(missing.select(F.col("text_md5").alias("id"), "text")).select(
+        F.col("id").alias("text_md5"), "vec"), "embed-fresh")
     (fresh.select(F.lit(model).alias("model"), F.lit(role).alias("role"),
-                  F.lit(instr).alias("instruction"), F.lit(normalize).alias("normalize"),
-                  F.col("id").alias("text_md5"), "vec")
-     .write.mode("append").parquet(store_path))
-    stored = _read_store(spark, store_path).where(key).select("text_md5", "vec") \
-        .dropDuplicates(["text_md5"])
-    return src.join(stored, "text_md5").select("id", "vec")
+                  F.lit(instr).alias("instruction"), F.lit(normalize).alias("normalize"), "text_md5", "vec")
+     .write.mode("append").partitionBy("model", "role").parquet(store_path))
+    hits = looked.where("vec is not null").select("id", "vec")
+    return hits.unionByName(looked.where("vec is null").select("id", "text_md5").join(fresh, "text_md5").select("id", "vec"))
 
 
 def prepare_corpus(corpus: DataFrame, embed_fn: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """Vectors of the whole corpus joined with id and text, ready for R1."""
-    vecs = embed_fn(corpus.select(F.col("doc_id").alias("id"), "text"))
+    """Vectors of the whole corpus joined with id and text, ready for R1.
+    The vectors are written once, so later steps never encode again."""
+    vecs = materialised(embed_fn(corpus.select(F.col("doc_id").alias("id"), "text")), "corpus-vectors")
     return corpus.select("doc_id", "text").join(
         vecs.select(F.col("id").alias("doc_id"), "vec"), "doc_id")

@@ -16,12 +16,16 @@ answer it is, u = G / |G|, t = u.D.
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from retrievalkit.functions.vectors import axpy, dot, l2_normalize, sq_l2, to_double
-from retrievalkit.operators.search import broadcast_queries, knn, search_broadcast
+from retrievalkit.operators import _kernel
+from retrievalkit.operators.search import query_blocks, search_blocks
 
 KINDS = ("nudge-n", "nudge-m")
 DEFAULT_GRID = tuple(round(0.1 * i, 1) for i in range(0, 21))   # 0.0 .. 2.0
@@ -96,8 +100,115 @@ def apply_nudge(doc_vecs: DataFrame, targets: DataFrame, gamma: float, kind: str
     return (nudge_n if kind == "nudge-n" else nudge_m)(doc_vecs, targets, gamma)
 
 
-def _apply_joined(j: DataFrame, gamma: float, kind: str) -> DataFrame:
-    return (_moved_n if kind == "nudge-n" else _moved_m)(j, gamma)
+def _seq_dot(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Row-wise sequential double sums, as Spark's ``aggregate`` adds them."""
+    acc = np.zeros(len(a))
+    for j in range(a.shape[1]):
+        acc += a[:, j] * b[:, j]
+    return acc
+
+
+def _chord(gamma: float) -> tuple[float, float]:
+    g = float(gamma)
+    return 1.0 - g * g / 2.0, g * math.sqrt(1.0 - g * g / 4.0) if g <= 2.0 else 0.0
+
+
+def _moved_rows(D: np.ndarray, U: np.ndarray, gamma: np.ndarray, kind: str) -> np.ndarray:
+    """The closed forms of ``_moved_m`` / ``_moved_n`` for rows of matrices,
+    one gamma per row."""
+    if kind == "nudge-m":
+        return np.where((gamma != 0.0)[:, None], gamma[:, None] * U + D, D)
+    cs = np.array([_chord(g) for g in gamma]).reshape(-1, 2)
+    c, s = cs[:, 0], cs[:, 1]
+    t = _seq_dot(U, D)
+    zr = U - t[:, None] * D
+    zn = np.sqrt(_seq_dot(zr, zr))
+    with np.errstate(divide="ignore", invalid="ignore"):
+        moved = c[:, None] * D + s[:, None] * (zr / zn[:, None])
+    out = np.where((zn > 0)[:, None], moved, D)
+    out = np.where((t >= c)[:, None], U, out)
+    return np.where((gamma == 0.0)[:, None], D, out)
+
+
+class _GammaScan:
+    """Best touched document per (gamma, query) over a stream of documents.
+
+    A document enters by three numbers per query and document only (q.D, q.u
+    and t = u.D): the score for every gamma follows from them. Pairs within the
+    kernel's margin of the best are scored again on the moved vector with the
+    exact sums, so ranks are those of a search per gamma."""
+
+    def __init__(self, q_ids: np.ndarray, Q: np.ndarray, grid: list[float], kind: str):
+        self.q_ids, self.Q, self.grid, self.kind = q_ids, Q, grid, kind
+        self.qn = _kernel.seq_sq_norms(Q)
+        self.score = np.full((len(grid), len(q_ids)), -np.inf)
+        self.doc = np.full((len(grid), len(q_ids)), None, dtype=object)
+
+    def _screen(self, gamma: float, G0, G1, t, dn, un) -> np.ndarray:
+        if self.kind == "nudge-m":
+            return G0 + gamma * G1 if gamma else G0
+        c, s = _chord(gamma)
+        zn = np.sqrt(np.maximum(un - 2 * t * t + t * t * dn, 0.0))
+        with np.errstate(divide="ignore", invalid="ignore"):
+            dot = c * G0 + s * (G1 - t * G0) / zn
+            norm = np.sqrt(c * c * dn + s * s + 2 * c * s * (t - t * dn) / zn)
+            moved = np.where(zn > 1e-7, dot / norm, np.nan)   # too close to tell: scored exactly below
+            own = G0 / np.sqrt(dn)
+            S = np.where(gamma == 0.0, own, np.where(t >= c, G1 / np.sqrt(un), moved))
+            return S / np.sqrt(self.qn)[:, None]
+
+    def add(self, d_ids: np.ndarray, D: np.ndarray, U: np.ndarray) -> None:
+        if not len(d_ids) or not len(self.q_ids):
+            return
+        G0, G1 = self.Q @ D.T, self.Q @ U.T
+        t, dn, un = _seq_dot(U, D), _seq_dot(D, D), _seq_dot(U, U)
+        for n, gamma in enumerate(self.grid):
+            S = self._screen(gamma, G0, G1, t, dn, un)
+            open_ = np.isnan(S) & (self.qn > 0)[:, None] & (dn > 0)[None, :]
+            S = np.where(np.isfinite(S), S, -np.inf)
+            best = np.maximum(S.max(axis=1), self.score[n])
+            qi, di = np.nonzero(((S >= (best - _kernel._margin(best))[:, None]) & (S > -np.inf)) | open_)
+            if not len(qi):
+                continue
+            rows, back = np.unique(di, return_inverse=True)
+            M = _moved_rows(D[rows], U[rows], np.full(len(rows), gamma), self.kind)
+            metric = search_metric(self.kind)
+            exact = _kernel.round_half_up(_kernel.exact_scores(
+                self.Q, M, qi, back, metric, self.qn, _kernel.seq_sq_norms(M)))
+            ok = ~np.isnan(exact)
+            qi, ids, exact = qi[ok], d_ids[di[ok]].astype(str), exact[ok]
+            order = np.lexsort((ids, -exact, qi))
+            qi, ids, exact = qi[order], ids[order], exact[order]
+            one = np.append(True, qi[1:] != qi[:-1])[:len(qi)]
+            for q, i, v in zip(qi[one], ids[one], exact[one]):
+                if v > self.score[n, q] or (v == self.score[n, q] and i < self.doc[n, q]):
+                    self.score[n, q], self.doc[n, q] = v, i
+
+    def result(self) -> pa.RecordBatch:
+        g, q = np.nonzero(self.score > -np.inf)
+        return pa.RecordBatch.from_arrays([
+            pa.array(np.array(self.grid)[g], pa.float64()), pa.array(self.q_ids[q].tolist(), pa.string()),
+            pa.array(self.doc[g, q].tolist(), pa.string()), pa.array(self.score[g, q])],
+            names=["gamma", "query_id", "doc_id", "score"])
+
+
+def _scan_gammas(touched: DataFrame, block, grid: list[float], kind: str) -> DataFrame:
+    handle, dim = block.handle, block.dim
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, Q = handle.value
+        scan = _GammaScan(ids, Q, grid, kind)
+        for b in batches:
+            names, D = _kernel.usable(b.column("id"), b.column("vec"), dim)
+            same, U = _kernel.usable(b.column("id"), b.column("u"), dim)
+            at = {i: n for n, i in enumerate(same)}
+            both = [(n, at[i]) for n, i in enumerate(names) if i in at]
+            if both:
+                x, y = map(list, zip(*both))
+                scan.add(names[x], D[x], U[y])
+        yield scan.result()
+
+    return touched.mapInArrow(run, "gamma double, query_id string, doc_id string, score double")
 
 
 def search_metric(kind: str) -> str:
@@ -110,51 +221,39 @@ def choose_gamma(doc_vecs: DataFrame, targets: DataFrame, val_query_vecs: DataFr
     """Accuracy of every grid value -> ``(gamma, accuracy, n_queries,
     best)`` (``best`` marks the chosen one).
 
-    Top-1 accuracy of the validation queries (with a relevant document) over
-    the tuned corpus. Untouched documents do not depend on gamma: their best
-    match per query is searched once and checkpointed; per gamma only the
-    touched documents are re-tuned and searched. ``competitors`` are extra
-    fixed vectors (N6: the existing corpus).
+    Top-1 accuracy over the tuned corpus of all judged validation queries; a
+    query that finds nothing counts as a miss. Untouched documents do not
+    depend on gamma: their best match per query is searched once. The touched
+    documents are read once for the whole grid (``_GammaScan``).
+    ``competitors`` are extra fixed vectors (N6: the existing corpus).
     """
+    if kind not in KINDS:
+        raise ValueError(f"kind must be one of {KINDS}")
+    spark = doc_vecs.sparkSession
     metric = search_metric(kind)
     grid = sorted(set(float(x) for x in grid) | {0.0})
     rel = val_qrels.where("relevance = 1").select("query_id", "doc_id").dropDuplicates()
-    vq = val_query_vecs.join(rel.select(F.col("query_id").alias("id")).distinct(), "id",
-                             "left_semi")
-    # Touched documents joined with their unit targets once and materialised
-    # (lineage cut in the shared checkpoint folder): every gamma only applies
-    # the closed form to these columns and searches.
+    asked = rel.select("query_id").distinct()
+    vq = val_query_vecs.join(asked.select(F.col("query_id").alias("id")), "id", "left_semi")
     tids = targets.select(F.col("doc_id").alias("id"))
-    touched = with_unit_targets(doc_vecs.join(tids, "id", "left_semi"), targets).checkpoint(
-        eager=True)
+    touched = with_unit_targets(doc_vecs.join(tids, "id", "left_semi"), targets)
     fixed = doc_vecs.join(tids, "id", "left_anti")
     if competitors is not None:
-        fixed = fixed.select("id", "vec").unionByName(competitors.select("id", "vec"))
-    # the validation queries are collected and broadcast once when small
-    # (size-checked); otherwise every search takes the grid path
-    try:
-        bq = broadcast_queries(vq, 1)
-    except ValueError:
-        bq = None
-        vq = vq.checkpoint(eager=True)
-
-    def top1(corpus):
-        r = search_broadcast(bq, corpus, 1, metric) if bq is not None else knn(vq, corpus, 1, metric)
-        return r.select("query_id", "doc_id", "score")
-
-    base = top1(fixed).checkpoint(eager=True)
-    per_gamma = None
-    for g in grid:
-        top = top1(_apply_joined(touched, g, kind))
-        both = top.unionByName(base).withColumn("gamma", F.lit(g))
-        per_gamma = both if per_gamma is None else per_gamma.unionByName(both)
-    order = F.col("score").desc() if metric != "sq_l2" else F.col("score").asc()
-    w = Window.partitionBy("gamma", "query_id").orderBy(order, F.col("doc_id"))
-    best1 = per_gamma.withColumn("r", F.row_number().over(w)).where("r = 1")
-    hit = best1.join(rel.withColumn("hit", F.lit(1)), ["query_id", "doc_id"], "left")
-    acc = hit.groupBy("gamma").agg(
-        F.avg(F.coalesce("hit", F.lit(0)).cast("double")).alias("accuracy"),
-        F.count(F.lit(1)).alias("n_queries"))
+        fixed = fixed.select("id", to_double("vec").alias("vec")).unionByName(
+            competitors.select("id", to_double("vec").alias("vec")))
+    blocks = query_blocks(vq, len(grid))
+    gammas = F.explode(F.array(*[F.lit(g) for g in grid])).alias("gamma")
+    found = search_blocks(blocks, fixed, 1, metric).select(gammas, "query_id", "doc_id", "score")
+    for block in blocks:
+        found = found.unionByName(_scan_gammas(touched, block, grid, kind))
+    best1 = found.groupBy("gamma", "query_id").agg(
+        F.min(F.struct((-F.col("score")).alias("s"), "doc_id")).alias("top")).select("gamma", "query_id", "top.doc_id")
+    hits = best1.join(rel, ["query_id", "doc_id"], "left_semi").groupBy("gamma").agg(F.count("*").alias("hits"))
+    asked_n = asked.agg(F.count("*").alias("n_queries"))
+    whole = spark.createDataFrame([(g,) for g in grid], "gamma double").join(hits, "gamma", "left")
+    # one row with the denominator, brought in by a constant key
+    acc = whole.withColumn("_k", F.lit(1)).join(F.broadcast(asked_n.withColumn("_k", F.lit(1))), "_k").where(
+        "n_queries > 0").select("gamma", (F.coalesce("hits", F.lit(0)) / F.col("n_queries")).alias("accuracy"), "n_queries")
     wb = Window.orderBy(F.col("accuracy").desc(), F.col("gamma").asc())   # |grid| rows
     return acc.withColumn("best", F.row_number().over(wb) == 1)
 
@@ -188,15 +287,15 @@ def nudge_insert(existing_vecs: DataFrame, new_doc_vecs: DataFrame, query_vecs:
     clash = new_doc_vecs.select("id").join(existing_vecs.select("id"), "id", "left_semi")
     first = clash.limit(1).collect()
     if first:
-        raise ValueError(f"ID {first[0]['id']} already exists in the existing corpus. "
-                         "New IDs must be unique.")
+        raise ValueError(f"document {first[0]['id']!r} is in both the old and the new corpus")
     new_ids = new_doc_vecs.select(F.col("id").alias("doc_id"))
     q_new = qrels.join(new_ids, "doc_id", "left_semi")
     train = splits.where(F.col("split") == train_split).select("query_id")
     val = splits.where(F.col("split") == val_split).select("query_id")
     targets = nudge_targets(query_vecs, q_new, train).checkpoint(eager=True)
     vq = query_vecs.join(val.select(F.col("query_id").alias("id")), "id", "left_semi")
-    report = choose_gamma(new_doc_vecs, targets, vq, qrels.join(val, "query_id", "left_semi"),
+    # validated on queries that the new documents answer
+    report = choose_gamma(new_doc_vecs, targets, vq, q_new.join(val, "query_id", "left_semi"),
                           kind, grid, competitors=existing_vecs).checkpoint(eager=True)
     gamma = best_gamma(report)
     tuned = apply_nudge(new_doc_vecs, targets, gamma, kind)

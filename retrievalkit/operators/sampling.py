@@ -88,7 +88,7 @@ def split_train_val(queries: DataFrame, ratio: float, seed: int = 42) -> DataFra
     drawn without replacement; both lists keep dataset order (``ord`` =
     position in the list). The seed is always applied."""
     if not 0 <= ratio <= 1:
-        raise ValueError("ratio must be between 0 and 1.")
+        raise ValueError(f"validation share {ratio} is outside [0, 1]")
     n = queries.count()
     val_size = int(n * ratio)
     ranked = dense_index(queries.select("query_id", "ord"),

@@ -1,18 +1,18 @@
 """Retrieval: exact top-k search (R1), scored runs (R2), run checks (R3),
 hard-negative mining (R4) and reranking from pair-score tables (R5, R6).
 
-R1 has two physical strategies with one output contract (see ``_kernel``):
-
-* ``broadcast`` - the query matrix is small (its size is checked from a count
-  before anything is collected): it is shipped once to every executor and the
-  corpus is scanned in place by ``mapInArrow``; no corpus shuffle at all. Each
-  task keeps only its k best per query, so the shuffle that follows carries
-  ``k x |Q| x partitions`` rows instead of ``|Q| x |C|``.
-* ``grid`` - any size: queries and corpus are hashed into blocks and each
-  (query block, corpus block) cell is one ``cogroup`` group of bounded size,
-  so no task ever holds more than one block of each side.
-
-Both end in ``row_number() <= k`` over the per-task winners, which Catalyst
+R1 has one physical form: a block of queries is broadcast (its size is checked
+before anything is collected) and the corpus is scanned in place by
+``mapInArrow``, so the corpus is never shuffled. Each task keeps only its k best
+per query, so the shuffle that follows carries ``k x |Q| x partitions`` rows
+instead of ``|Q| x |C|``. A query side beyond the bound is cut by a hash of its
+ids into several blocks, one scan each.
+
+Vectors that are null, hold a null or non-finite component, or differ in length
+from the queries (their most frequent length) take no part: such a query has no
+rows and such a document is never returned, and neither changes any other row.
+
+The result is ``row_number() <= k`` over the per-task winners, which Catalyst
 plans as a partial ``WindowGroupLimit`` before the exchange.
 """
 
@@ -21,7 +21,6 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass
 
-import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -36,29 +35,17 @@ KNN_SCHEMA = T.StructType([
     T.StructField("score", T.DoubleType()),
 ])
 
-BROADCAST_LIMIT_BYTES = 32 << 20   # float64 query matrix shipped to every executor
-Q_BLOCK_BYTES = 64 << 20           # grid: float64 bytes of one query block
-C_BLOCK_BYTES = 128 << 20          # grid: float64 bytes of one corpus block
+BROADCAST_LIMIT_BYTES = 32 << 20   # float64 bytes of one block of queries
 MAX_STATE_ROWS = 2_000_000         # per task: at most (queries x k) candidate rows kept
-
-
-def _dim(df: DataFrame, vec: str) -> int:
-    row = df.select(F.size(vec).alias("d")).where("d > 0").limit(1).collect()
-    return int(row[0]["d"]) if row else 0
+_FILL = 0.8                        # hash blocks are filled to this share of the bounds on average
 
 
 def knn(queries: DataFrame, corpus: DataFrame, k: int, metric: str = "cosine", *,
         q_id: str = "id", q_vec: str = "vec", c_id: str = "id", c_vec: str = "vec",
-        exclude_self: bool = False, strategy: str = "auto",
-        broadcast_limit_bytes: int = BROADCAST_LIMIT_BYTES,
-        q_block_rows: int | None = None, c_block_rows: int | None = None) -> DataFrame:
+        exclude_self: bool = False,
+        broadcast_limit_bytes: int = BROADCAST_LIMIT_BYTES) -> DataFrame:
     """Exact top-k of every query vector over every corpus vector.
 
-    Block sizes default to byte budgets (``Q_BLOCK_BYTES``, ``C_BLOCK_BYTES``)
-    and to at most ``MAX_STATE_ROWS / k`` queries per block, so a task's
-    memory is bounded whatever the table sizes; the grid's shuffle volume is
-    ``|C| x query_blocks + |Q| x corpus_blocks`` vectors.
-
     Output ``(query_id, doc_id, score, rank)``; ``score`` is cosine, dot or
     squared L2 rounded to 6 decimals; rank 1 is the best (highest similarity,
     lowest distance), ties by ``doc_id`` ascending. Fewer than k corpus
@@ -68,33 +55,10 @@ def knn(queries: DataFrame, corpus: DataFrame, k: int, metric: str = "cosine", *
     """
     if metric not in _kernel.METRICS:
         raise ValueError(f"metric must be one of {_kernel.METRICS}")
-    if k <= 0:
-        raise ValueError("k must be positive")
-    spark = queries.sparkSession
-    ship_package(spark)
-    qv = queries.select(F.col(q_id).cast("string").alias("id"), F.col(q_vec).alias("vec"))
-    cv = corpus.select(F.col(c_id).cast("string").alias("id"), F.col(c_vec).alias("vec"))
-    if strategy in ("auto", "broadcast"):
-        # the query side is read three times (size, dimension, collect): cache it
-        qv = qv.persist()
-        st = qv.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("vec")).alias("d")).first()
-        nq, dim = int(st["n"]), int(st["d"] or 0)
-        if strategy == "auto":
-            small = nq * max(dim, 1) * 8 <= broadcast_limit_bytes and nq * k <= MAX_STATE_ROWS
-            strategy = "broadcast" if small else "grid"
-    if strategy == "broadcast":
-        try:
-            bq = _broadcast(spark, qv, k, broadcast_limit_bytes, nq, dim)
-        finally:
-            qv.unpersist()
-        cands = _scan_corpus(bq, cv, k, metric, exclude_self)
-    elif strategy == "grid":
-        if qv.is_cached:
-            qv.unpersist()
-        cands = _knn_grid(spark, qv, cv, k, metric, exclude_self, q_block_rows, c_block_rows)
-    else:
-        raise ValueError("strategy must be auto, broadcast or grid")
-    return _rank(cands, k, metric)
+    blocks = query_blocks(queries, k, q_id=q_id, q_vec=q_vec,
+                          broadcast_limit_bytes=broadcast_limit_bytes)
+    return search_blocks(blocks, corpus, k, metric, c_id=c_id, c_vec=c_vec,
+                         exclude_self=exclude_self)
 
 
 def _rank(cands: DataFrame, k: int, metric: str) -> DataFrame:
@@ -107,49 +71,55 @@ def _rank(cands: DataFrame, k: int, metric: str) -> DataFrame:
 
 @dataclass(frozen=True)
 class BroadcastQueries:
-    """A query matrix shipped once to every executor (size checked first)."""
+    """A block of query vectors shipped once to every executor."""
 
     handle: object      # pyspark Broadcast of (ids ndarray, float64 matrix)
-    n: int
     dim: int
 
-    def destroy(self) -> None:
-        self.handle.unpersist()
 
-
-def broadcast_queries(queries: DataFrame, k: int, *, q_id: str = "id", q_vec: str = "vec",
-                      broadcast_limit_bytes: int = BROADCAST_LIMIT_BYTES) -> BroadcastQueries:
-    """Collect and broadcast a query side once for several searches (N4 runs
-    one per gamma). Raises when it exceeds the broadcast bounds."""
+def query_blocks(queries: DataFrame, k: int, *, q_id: str = "id", q_vec: str = "vec",
+                 broadcast_limit_bytes: int = BROADCAST_LIMIT_BYTES) -> list[BroadcastQueries]:
+    """The query side as broadcast blocks, ready for several searches. One
+    aggregate gives size and dimension; the driver holds one block at a time."""
+    if k <= 0:
+        raise ValueError("k must be positive")
     spark = queries.sparkSession
     ship_package(spark)
-    qv = queries.select(F.col(q_id).cast("string").alias("id"), F.col(q_vec).alias("vec")).persist()
+    qv = queries.select(F.col(q_id).cast("string").alias("id"), F.col(q_vec).alias("vec")).where(
+        "vec is not null and size(vec) > 0").persist()
     try:
-        st = qv.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("vec")).alias("d")).first()
-        return _broadcast(spark, qv, k, broadcast_limit_bytes, int(st["n"]), int(st["d"] or 0))
+        sizes = qv.groupBy(F.size("vec").alias("d")).count().orderBy(F.desc("count"), F.desc("d")).first()
+        if sizes is None:
+            return []
+        dim, n = int(sizes["d"]), int(sizes["count"])
+        parts = max(1, math.ceil(n * dim * 8 / (_FILL * broadcast_limit_bytes)),
+                    math.ceil(n * k / (_FILL * MAX_STATE_ROWS)))
+        if n * dim * 8 <= broadcast_limit_bytes and n * k <= MAX_STATE_ROWS:
+            parts = 1
+        out = []
+        for b in range(parts):
+            tbl = qv.where(f"size(vec) = {dim} and pmod(xxhash64(id), {parts}) = {b}").toArrow()
+            out.append(BroadcastQueries(spark.sparkContext.broadcast(
+                _kernel.usable(tbl.column("id"), tbl.column("vec"), dim)), dim))
+        return out
     finally:
         qv.unpersist()
 
 
-def search_broadcast(bq: BroadcastQueries, corpus: DataFrame, k: int, metric: str = "cosine", *,
-                     c_id: str = "id", c_vec: str = "vec",
-                     exclude_self: bool = False) -> DataFrame:
-    """R1 against an already broadcast query side; same output as ``knn``."""
+def search_blocks(blocks: list[BroadcastQueries], corpus: DataFrame, k: int, metric: str = "cosine", *,
+                  c_id: str = "id", c_vec: str = "vec", exclude_self: bool = False) -> DataFrame:
+    """R1 against query blocks already broadcast; same output as ``knn``. The
+    corpus is scanned once per block."""
     cv = corpus.select(F.col(c_id).cast("string").alias("id"), F.col(c_vec).alias("vec"))
-    return _rank(_scan_corpus(bq, cv, k, metric, exclude_self), k, metric)
-
-
-def _broadcast(spark, qv, k, limit_bytes, nq, dim) -> BroadcastQueries:
-    if nq * max(dim, 1) * 8 > limit_bytes or nq * k > MAX_STATE_ROWS:
-        raise ValueError(f"query side of {nq} x {dim} exceeds the broadcast limit; use grid")
-    tbl = qv.where(F.col("vec").isNotNull()).toArrow()   # bounded by the check above
-    q_ids = np.asarray(tbl.column("id").to_pylist(), dtype=object)
-    Q = _kernel.arrow_matrix(tbl.column("vec"))
-    return BroadcastQueries(spark.sparkContext.broadcast((q_ids, Q)), nq, dim)
+    cands = corpus.sparkSession.createDataFrame([], KNN_SCHEMA)
+    for n, block in enumerate(blocks):
+        found = _scan_corpus(block, cv, k, metric, exclude_self)
+        cands = cands.unionByName(found) if n else found
+    return _rank(cands, k, metric)
 
 
-def _scan_corpus(bq: BroadcastQueries, cv: DataFrame, k, metric, exclude_self) -> DataFrame:
-    handle = bq.handle
+def _scan_corpus(block: BroadcastQueries, cv: DataFrame, k, metric, exclude_self) -> DataFrame:
+    handle, dim = block.handle, block.dim
 
     def run(batches):
         import pyarrow as pa
@@ -157,10 +127,7 @@ def _scan_corpus(bq: BroadcastQueries, cv: DataFrame, k, metric, exclude_self) -
         ids, mat = handle.value
         searcher = _kernel.BlockSearcher(ids, mat, k, metric, exclude_self)
         for b in batches:
-            b = b.filter(pa.compute.is_valid(b.column("vec")))
-            if b.num_rows:
-                searcher.add(np.asarray(b.column("id").to_pylist(), dtype=object),
-                             _kernel.arrow_matrix(b.column("vec")))
+            searcher.add(*_kernel.usable(b.column("id"), b.column("vec"), dim))
         out = searcher.result()
         if len(out):
             yield pa.RecordBatch.from_pandas(out, schema=pa.schema([
@@ -170,37 +137,6 @@ def _scan_corpus(bq: BroadcastQueries, cv: DataFrame, k, metric, exclude_self) -
     return cv.mapInArrow(run, KNN_SCHEMA)
 
 
-def _knn_grid(spark, qv, cv, k, metric, exclude_self, q_rows, c_rows) -> DataFrame:
-    nq, nc = qv.count(), cv.count()
-    dim = max(_dim(cv, "vec"), 1)
-    if q_rows is None:
-        q_rows = max(1, min(Q_BLOCK_BYTES // (8 * dim), MAX_STATE_ROWS // k))
-    if c_rows is None:
-        c_rows = max(1, C_BLOCK_BYTES // (8 * dim))
-    par = spark.sparkContext.defaultParallelism
-    n_qb = max(1, math.ceil(nq / q_rows))
-    n_cb = max(1, math.ceil(nc / c_rows), min(par, max(1, nc // 64)))
-    qx = (qv.where(F.col("vec").isNotNull())
-          .withColumn("qb", F.pmod(F.xxhash64("id"), F.lit(n_qb)))
-          .withColumn("cb", F.explode(F.sequence(F.lit(0), F.lit(n_cb - 1)))))
-    cx = (cv.where(F.col("vec").isNotNull())
-          .withColumn("cb", F.pmod(F.xxhash64("id"), F.lit(n_cb)))
-          .withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(n_qb - 1)))))
-
-    def cell(qp, cp):
-        import pandas as pd
-
-        if len(qp) == 0 or len(cp) == 0:
-            return pd.DataFrame({"query_id": [], "doc_id": [], "score": []})
-        s = _kernel.BlockSearcher(qp["id"].to_numpy(dtype=object),
-                                  _kernel.stack_vectors(qp["vec"]), k, metric, exclude_self)
-        s.add(cp["id"].to_numpy(dtype=object), _kernel.stack_vectors(cp["vec"]))
-        return s.result()
-
-    return (qx.groupBy("qb", "cb").cogroup(cx.groupBy("qb", "cb"))
-            .applyInPandas(cell, KNN_SCHEMA))
-
-
 def similarity_from_distance(run: DataFrame, col: str = "score") -> DataFrame:
     """R2 score: ``1 / (1 + d)`` of a squared-L2 distance, in (0, 1]."""
     return run.withColumn(col, F.lit(1.0) / (F.lit(1.0) + F.col(col)))

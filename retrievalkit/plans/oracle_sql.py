@@ -121,7 +121,7 @@ PAIRS = """
   ft_ AS (SELECT conv_id, min(turn) AS turn FROM pr_ GROUP BY conv_id),
   fp_ AS (SELECT pr_.conv_id, pr_.positive AS first_pos FROM pr_ JOIN ft_ USING (conv_id, turn)),
   pairs AS (SELECT query, positive, coalesce(next_pos, first_pos) AS negative,
-                   conv_id * 100 + turn AS ord, conv_id, turn
+                   row_number() OVER (ORDER BY conv_id, turn) - 1 AS ord, conv_id, turn
             FROM pr_ LEFT JOIN nx_ USING (conv_id, turn) LEFT JOIN fp_ USING (conv_id))"""
 
 TRIPLES = PAIRS + """,
@@ -167,13 +167,20 @@ def dev_sql(seed: int = 42, frac: float = 0.5) -> str:
 
 JUDGED = """
   jd_ AS (SELECT doc_id, text, lang, source FROM documents),
-  jcorpus AS (SELECT CAST(doc_id AS VARCHAR) AS doc_id, text,
-                     row_number() OVER (ORDER BY CAST(doc_id AS VARCHAR)) - 1 AS ord FROM jd_),
-  jq_ AS (SELECT DISTINCT lang || '-' || source AS query_id FROM jd_),
-  jqueries AS (SELECT query_id, query_id AS text, row_number() OVER (ORDER BY query_id) - 1 AS ord FROM jq_),
+  jc_ AS (SELECT CAST(doc_id AS VARCHAR) AS doc_id, text, -doc_id AS o FROM jd_
+          UNION ALL SELECT CAST(doc_id AS VARCHAR), text || ' (second version)', doc_id + 1 FROM jd_
+          WHERE doc_id IN (SELECT doc_id FROM labels WHERE toxic = 1)),
+  jcorpus AS (SELECT doc_id, text, row_number() OVER (ORDER BY first, doc_id) - 1 AS ord
+              FROM (SELECT doc_id, arg_max(text, o) AS text, min(o) AS first FROM jc_ GROUP BY doc_id) t),
+  jq_ AS (SELECT lang || '-' || source AS query_id, lang || '-' || source || ' as of ' || CAST(doc_id AS VARCHAR) AS text,
+                 doc_id AS o FROM jd_),
+  jqueries AS (SELECT query_id, text, row_number() OVER (ORDER BY first, query_id) - 1 AS ord
+               FROM (SELECT query_id, arg_max(text, o) AS text, min(o) AS first FROM jq_ GROUP BY query_id) t),
   jqrels AS (SELECT DISTINCT d.lang || '-' || d.source AS query_id, CAST(l.doc_id AS VARCHAR) AS doc_id,
-                    CAST(l.quality AS INTEGER) AS relevance
-             FROM labels l JOIN jd_ d ON d.doc_id = l.doc_id)"""
+                    CAST(l.relevance AS INTEGER) AS relevance
+             FROM (SELECT doc_id, quality AS relevance FROM labels
+                   UNION ALL SELECT doc_id, 1 - quality FROM labels WHERE toxic = 1) l
+             JOIN jd_ d ON d.doc_id = l.doc_id)"""
 
 
 def with_(ctes: str, body: str) -> str:
@@ -245,10 +252,14 @@ PARSED = PAIRS + """,
   parsed AS (SELECT CAST(conv_id AS VARCHAR) AS corpus_id,
                     list(query ORDER BY turn) AS questions, list(positive ORDER BY turn) AS answer,
                     false AS is_malformed
-             FROM okp GROUP BY conv_id),
+             FROM okp WHERE conv_id % 7 NOT IN (3, 4) GROUP BY conv_id
+             UNION ALL
+             SELECT DISTINCT CAST(conv_id AS VARCHAR), CAST([] AS VARCHAR[]), CAST([] AS VARCHAR[]), true
+             FROM pairs WHERE conv_id % 7 IN (3, 4)),
   qa AS (SELECT 'q-' || CAST(conv_id AS VARCHAR) || '-' || CAST(i AS VARCHAR) AS query_id,
                 CAST(conv_id AS VARCHAR) AS corpus_id, query AS question, positive AS answer, i
-         FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS i FROM okp) t
+         FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS i FROM okp
+               WHERE conv_id % 7 NOT IN (3, 4)) t
          WHERE length(query) > 5 AND length(positive) > 5)"""
 
 
@@ -299,21 +310,24 @@ def nudge_n_sql(gamma: float, src: str = "cv") -> str:
                                FROM {src} d LEFT JOIN ut ON ut.doc_id = d.id) a) b) c"""
 
 
-def nudge_accuracy_sql(grid, kind: str = "nudge-n", split: str = "val") -> str:
-    """Rows (gamma, accuracy, n_queries) over CTEs of ``nudge_base``."""
+def nudge_accuracy_sql(grid, kind: str = "nudge-n", split: str = "val",
+                       doc_filter: str | None = None) -> str:
+    """Rows (gamma, accuracy, n_queries) over CTEs of ``nudge_base``; a query
+    without any score is a miss, not left out. ``doc_filter`` as there."""
+    extra = f" AND ({doc_filter})" if doc_filter else ""
     metric = "cosine" if kind == "nudge-n" else "dot"
     parts = []
     for g in sorted(set(float(x) for x in grid) | {0.0}):
         tuned = nudge_n_sql(g) if kind == "nudge-n" else nudge_m_sql(_dbl(g))
         parts.append(f"""
-      SELECT {_dbl(g)} AS gamma, query_id, doc_id FROM (
-        SELECT q.id AS query_id, d.id AS doc_id,
+      SELECT {_dbl(g)} AS gamma, query_id, CASE WHEN s IS NOT NULL THEN doc_id END AS doc_id FROM (
+        SELECT q.id AS query_id, d.id AS doc_id, round({score_sql(metric, 'q.vec::DOUBLE[]', 'd.vec')}, 6) AS s,
                row_number() OVER (PARTITION BY q.id ORDER BY
                  round({score_sql(metric, 'q.vec::DOUBLE[]', 'd.vec')}, 6) DESC NULLS LAST, d.id) AS r
         FROM vq q, ({tuned}) d) t WHERE r = 1""")
     return f"""
       vrel AS (SELECT DISTINCT r.query_id, r.doc_id FROM tqrels r JOIN tsplits s USING (query_id)
-               WHERE r.relevance = 1 AND s.split = '{split}'),
+               WHERE r.relevance = 1 AND s.split = '{split}'{extra}),
       vq AS (SELECT * FROM qv WHERE id IN (SELECT query_id FROM vrel)),
       top1 AS ({" UNION ALL ".join(parts)}),
       acc AS (SELECT gamma, avg(CASE WHEN v.doc_id IS NULL THEN 0.0 ELSE 1.0 END) AS accuracy,

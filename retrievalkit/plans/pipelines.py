@@ -26,6 +26,7 @@ from retrievalkit.operators import sampling as U
 from retrievalkit.operators import search as R
 from retrievalkit.operators import synth as Q
 from retrievalkit.operators import training as T
+from retrievalkit.session import materialised
 from retrievalkit.tables import RagTables
 
 KS = (1, 3, 5, 10)
@@ -38,18 +39,22 @@ def _embedder(encoder_factory, role: str, instruction: str | None, store_path: s
                        normalize=normalize)
 
     def run(df: DataFrame) -> DataFrame:
+        """Vectors written once: every text meets the encoder a single time."""
         if store_path:
-            return E.embed_incremental(df, store_path, model_name or "model", embed_fn=plain,
-                                       role=role, instruction=instruction, normalize=normalize)
-        return plain(df.withColumn("text", E.with_prefix("text", instruction)))
+            out = E.embed_incremental(df, store_path, model_name or "model", embed_fn=plain,
+                                      role=role, instruction=instruction, normalize=normalize)
+        else:
+            out = plain(df.withColumn("text", E.with_prefix("text", instruction)))
+        return materialised(out, f"{role}-vectors")
     return run
 
 
 def embed_corpus(tables: RagTables, encoder_factory, *, passage_instruction=None,
-                 store_path=None, model_name=None, batch_size=256, normalize=True) -> DataFrame:
-    """``(id, vec)`` of the whole corpus."""
+                 store_path=None, model_name=None, batch_size=256, corpus_batch_size=0,
+                 normalize=True) -> DataFrame:
+    """``(id, vec)`` of the whole corpus (``corpus_batch_size`` 0: ``batch_size``)."""
     fn = _embedder(encoder_factory, "corpus", passage_instruction, store_path, model_name,
-                   batch_size, normalize)
+                   corpus_batch_size or batch_size, normalize)
     return fn(tables.corpus.select(F.col("doc_id").alias("id"), "text"))
 
 
@@ -65,7 +70,9 @@ def evaluate_model(tables: RagTables, encoder_factory: Callable, split: str | No
                    k: int = 100, ks=KS, query_instruction: str | None = None,
                    passage_instruction: str | None = None, store_path: str | None = None,
                    model_name: str | None = None, run_id: str = "run",
-                   judged_pool_only: bool = False, per_query: bool = False) -> DataFrame:
+                   judged_pool_only: bool = False, per_query: bool = False,
+                   batch_size: int = 256, corpus_batch_size: int = 0,
+                   normalize: bool = True) -> DataFrame:
     """Entry A (M9): metrics of exact search with the given encoder.
 
     ``judged_pool_only`` restricts the corpus to documents judged for the
@@ -74,10 +81,12 @@ def evaluate_model(tables: RagTables, encoder_factory: Callable, split: str | No
     if judged_pool_only:
         corpus = tables.with_(corpus=U.judged_pool(tables, split))
     cv = embed_corpus(corpus, encoder_factory, passage_instruction=passage_instruction,
-                      store_path=store_path, model_name=model_name)
+                      store_path=store_path, model_name=model_name, batch_size=batch_size,
+                      corpus_batch_size=corpus_batch_size, normalize=normalize)
     qv = embed_queries(tables, encoder_factory, split, query_instruction=query_instruction,
-                       store_path=store_path, model_name=model_name)
-    run = R.retrieve(qv, cv, k, run_id=run_id)
+                       store_path=store_path, model_name=model_name, batch_size=batch_size,
+                       normalize=normalize)
+    run = materialised(R.retrieve(qv, cv, k, run_id=run_id), "run")
     run = R.check_scores(run, drop=True)   # R3: queries with no score in [0, 1] leave the run
     qrels = M.build_qrels(tables.qrels)
     pq = M.per_query_metrics(M.judge_run(run, qrels), M.num_relevant(qrels), ks)
@@ -87,12 +96,14 @@ def evaluate_model(tables: RagTables, encoder_factory: Callable, split: str | No
 def mine_and_replace(tables: RagTables, encoder_factory: Callable, split: str = "train", *,
                      k: int = 100, start: int = 50, n: int = 15, seed: int = 42,
                      query_instruction: str | None = None, exclude_positives: bool = False,
-                     on_short: str = "error") -> RagTables:
+                     on_short: str = "error", store_path: str | None = None,
+                     model_name: str | None = None) -> RagTables:
     """Entry B, mining: search top-k for the split's queries, sample ``n``
     negatives from ranks ``start+1..k``, replace those queries' negatives."""
-    cv = embed_corpus(tables, encoder_factory)
-    qv = embed_queries(tables, encoder_factory, split, query_instruction=query_instruction)
-    run = R.retrieve(qv, cv, k)
+    cv = embed_corpus(tables, encoder_factory, store_path=store_path, model_name=model_name)
+    qv = embed_queries(tables, encoder_factory, split, query_instruction=query_instruction,
+                       store_path=store_path, model_name=model_name)
+    run = materialised(R.retrieve(qv, cv, k), "run")
     mined = R.mine_hard_negatives(run, tables.qrels, start=start, stop=k, n=n, seed=seed,
                                   exclude_positives=exclude_positives, on_short=on_short)
     return tables.with_(qrels=R.replace_negatives(tables.qrels, mined))
@@ -126,18 +137,25 @@ def synthesize(tables: RagTables, responses: DataFrame, split: str = "train") ->
 def tune_and_evaluate(tables: RagTables, encoder_factory: Callable, kind: str = "nudge-n", *,
                       train_split: str = "train", val_split: str = "val",
                       test_split: str | None = None, grid=N.DEFAULT_GRID, k: int = 10,
-                      ks=KS, query_instruction: str | None = None):
+                      ks=KS, query_instruction: str | None = None, store_path: str | None = None,
+                      model_name: str | None = None, metric: str = "sq_l2"):
     """Entry C: NUDGE-tuned corpus (gamma chosen on ``val_split``) and the
     metrics of a search with it on ``test_split`` (default: the validation
-    split, as the reference evaluates). Returns ``(metrics, tuned vectors, gamma)``."""
-    cv = embed_corpus(tables, encoder_factory)
-    qv = embed_queries(tables, encoder_factory, None, query_instruction=query_instruction)
+    split, as the reference evaluates). Returns ``(metrics, tuned vectors, gamma)``.
+
+    The metrics come from the distance search of entry A (``1 / (1 + d)``) for
+    both kinds; ``metric="dot"`` ranks NUDGE-M, whose vectors are not of unit
+    length, as its gamma was chosen."""
+    cv = embed_corpus(tables, encoder_factory, store_path=store_path, model_name=model_name)
+    qv = embed_queries(tables, encoder_factory, None, query_instruction=query_instruction,
+                       store_path=store_path, model_name=model_name)
     tuned, gamma, _ = N.nudge_finetune(cv, qv, tables.qrels, tables.splits, kind,
                                        train_split, val_split, grid)
+    tuned = materialised(tuned, "tuned")
     ev = test_split or val_split
     eq = qv.join(tables.splits.where(F.col("split") == ev).select(F.col("query_id").alias("id")),
                  "id", "left_semi")
-    run = R.knn(eq, tuned, k, N.search_metric(kind)).withColumn("run_id", F.lit(kind))
+    run = R.retrieve(eq, tuned, k, run_id=kind, metric=metric)
     qrels = M.build_qrels(tables.qrels)
     pq = M.per_query_metrics(M.judge_run(run, qrels), M.num_relevant(qrels), ks)
     return M.compute_metrics(pq, ks), tuned, gamma

@@ -44,6 +44,13 @@ for _m in ("cosine", "dot", "sq_l2"):
         lambda spark, sf, _m=_m: V.label_run(spark, sf, _m))
 
 
+@register("R1_knn_query_blocks", O.knn_label_run("cosine"))
+def r1_blocks(spark, sf):
+    """Cosine search whose query side is beyond the broadcast bound (here 32 kB),
+    so several blocks of queries scan the corpus in place."""
+    return V.label_run(spark, sf, "cosine", broadcast_limit_bytes=32 << 10)
+
+
 @register("M7_per_query_metrics", O.label_per_query())
 def m7(spark, sf):
     """Per-query nDCG/MAP/recall/P/MRR at 1,3,5,10 of leave-one-out cosine search."""
@@ -60,6 +67,7 @@ def m8(spark, sf):
 
 from retrievalkit.operators import sampling as U  # noqa: E402
 from retrievalkit.sources import imports as D  # noqa: E402
+from retrievalkit.operators import training as T  # noqa: E402
 from retrievalkit.sources import testdata  # noqa: E402
 
 RATIO = 0.1   # validation share used by the conversation dataset
@@ -78,7 +86,7 @@ def split_dataset(spark, sf):
 
 def judged_dataset(spark, sf):
     corpus, queries, judged = testdata.judgments(spark, sf)
-    return D.import_judged(spark, corpus, queries, judged)
+    return D.import_judged(spark, corpus, queries, judged, "o")
 
 
 @register("D5_import_triples_queries",
@@ -144,13 +152,14 @@ def u4(spark, sf):
 
 
 @register("U5_subset_corpus_qrels", O.with_(O.TRIPLES + """,
-    kc AS (SELECT doc_id FROM tc WHERE ord < 1000),
+    kc AS (SELECT doc_id FROM tc WHERE ord < (SELECT count(*) // 2 FROM tc)),
     kq AS (SELECT query_id, doc_id, relevance FROM tqrels WHERE doc_id IN (SELECT doc_id FROM kc)),
     live AS (SELECT DISTINCT query_id FROM kq WHERE relevance = 1)""",
     "SELECT * FROM kq WHERE query_id IN (SELECT query_id FROM live)"))
 def u5(spark, sf):
-    """Judgments left after keeping the first 1,000 documents (the operator's n)."""
-    return U.subset_corpus(triples_dataset(spark, sf), 1000).qrels
+    """Judgments left after keeping the first half of the documents (the operator's n)."""
+    t = triples_dataset(spark, sf)
+    return U.subset_corpus(t, t.corpus.count() // 2).qrels
 
 
 @register("U7_judged_pool", O.with_(O.JUDGED, """
@@ -184,15 +193,43 @@ def d6(spark, sf):
     return D.dataset_summary(split_dataset(spark, sf))
 
 
-@register("D8_check_integrity", O.with_(O.JUDGED, """
-    SELECT DISTINCT 'judged_query_missing' AS "check", query_id AS id FROM jqrels
-    WHERE query_id NOT IN (SELECT query_id FROM jqueries)
+@register("D8_check_integrity", O.with_(O.JUDGED + """,
+    kc AS (SELECT doc_id FROM jcorpus WHERE md5(doc_id) >= '4'),
+    kq AS (SELECT query_id FROM jqueries WHERE md5(query_id) >= '4')""", """
+    SELECT 'split_query_missing' AS "check", query_id AS id FROM jqueries WHERE query_id NOT IN (SELECT query_id FROM kq)
+    UNION ALL
+    SELECT DISTINCT 'judged_query_missing', query_id FROM jqrels WHERE query_id NOT IN (SELECT query_id FROM kq)
     UNION ALL
-    SELECT DISTINCT 'relevant_doc_missing', doc_id FROM jqrels
-    WHERE relevance = 1 AND doc_id NOT IN (SELECT doc_id FROM jcorpus)"""))
+    SELECT DISTINCT CASE relevance WHEN 1 THEN 'relevant_doc_missing' ELSE 'negative_doc_missing' END, doc_id
+    FROM jqrels WHERE doc_id NOT IN (SELECT doc_id FROM kc)"""))
 def d8(spark, sf):
-    """Dangling references of the judged dataset (empty when consistent)."""
-    return D.check_integrity(judged_dataset(spark, sf))
+    """Dangling references after a quarter of documents and queries is taken away."""
+    t = judged_dataset(spark, sf)
+    splits = t.queries.select("query_id", F.lit("train").alias("split"), "ord")
+    return D.check_integrity(t.with_(splits=splits, corpus=t.corpus.where("md5(doc_id) >= '4'"),
+                                     queries=t.queries.where("md5(query_id) >= '4'")))
+
+
+@register("T1_choose_positive_judged", O.with_(O.JUDGED, """
+    SELECT query_id, arg_min(doc_id, md5('42:pos:' || query_id || ':' || doc_id) || doc_id) AS doc_id
+    FROM jqrels WHERE relevance = 1 GROUP BY query_id"""))
+def t1_judged(spark, sf):
+    """One of the many positives of each judged query."""
+    return T.choose_positive(judged_dataset(spark, sf), None, 42)
+
+
+@register("T2_sample_negatives_judged", O.with_(O.JUDGED + """,
+    m_ AS (SELECT query_id, count(*) AS m FROM jqrels WHERE relevance = 0 GROUP BY query_id),
+    cp_ AS (SELECT n.query_id, n.doc_id, c.copy FROM jqrels n JOIN m_ USING (query_id),
+            LATERAL (SELECT unnest(range(1, CAST(greatest(1, ceil(5.0 / m_.m)) AS BIGINT) + 1)) AS copy) c
+            WHERE n.relevance = 0)""", """
+    SELECT query_id, CAST(rn - 1 AS INTEGER) AS slot, doc_id FROM (
+      SELECT *, row_number() OVER (PARTITION BY query_id
+          ORDER BY md5('42:neg:' || query_id || ':' || doc_id || ':' || CAST(copy AS VARCHAR)), doc_id, copy) AS rn
+      FROM cp_) t WHERE rn <= 5"""))
+def t2_judged(spark, sf):
+    """5 negatives per judged query: lists of more and of fewer than 5."""
+    return T.sample_negatives(judged_dataset(spark, sf), 5, None, 42)
 
 
 # ---- text path: embeddings, retrieval, metrics, mining, rerank, training rows ------------
@@ -200,7 +237,6 @@ def d8(spark, sf):
 from retrievalkit.operators import embed as E  # noqa: E402
 from retrievalkit.operators import metrics as M  # noqa: E402
 from retrievalkit.operators import search as R  # noqa: E402
-from retrievalkit.operators import training as T  # noqa: E402
 from retrievalkit.plans import text_eval as TX  # noqa: E402
 
 _TX = O.text_ctes()          # all queries, k = 100
@@ -284,15 +320,15 @@ def r4(spark, sf):
 
 @register("R6_rerank_pairs", O.with_(_TX, """
     SELECT r.query_id, r.doc_id, r.rank, q.text AS query_text, c.text AS doc_text
-    FROM trun r JOIN tq q USING (query_id) JOIN tc c USING (doc_id) WHERE r.rank <= 10"""))
+    FROM trun r JOIN tq q USING (query_id) JOIN tc c USING (doc_id)"""))
 def r6(spark, sf):
-    """(query text, document text) pairs of the first 10 candidates per query."""
+    """(query text, document text) pairs of the first 100 candidates per query."""
     t = TX.dataset(spark, sf, splits=False)
-    return R.rerank_pairs(TX.run(t), t.queries, t.corpus, 10)
+    return R.rerank_pairs(TX.run(t), t.queries, t.corpus)
 
 
 _PAIR128 = (O.text_vectors(None, 128, "qv128", "cv128") + """,
-  cand AS (SELECT run_id, query_id, doc_id FROM trun WHERE rank <= 10),
+  cand AS (SELECT run_id, query_id, doc_id FROM trun),
   ps AS (SELECT cand.query_id, cand.doc_id,
                 round(coalesce(""" + O.score_sql("cosine", "q.vec::DOUBLE[]", "c.vec::DOUBLE[]") + """, 0.0), 6) AS score
          FROM cand JOIN qv128 q ON q.id = cand.query_id JOIN cv128 c ON c.id = cand.doc_id)""")
@@ -300,14 +336,13 @@ _PAIR128 = (O.text_vectors(None, 128, "qv128", "cv128") + """,
 
 @register("R5_rerank", O.with_(_TX + _PAIR128, """
     SELECT 'hash64' AS run_id, query_id, doc_id, score, CAST(rank AS INTEGER) AS rank FROM (
-      SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM ps) t
-    WHERE rank <= 10"""))
+      SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM ps) t"""))
 def r5(spark, sf):
-    """First 10 candidates re-scored by a 128-bucket cosine pair scorer and re-sorted."""
+    """First 100 candidates re-scored by a 128-bucket cosine pair scorer and re-sorted."""
     t = TX.dataset(spark, sf, splits=False)
     run = TX.run(t)
-    ps = TX.pair_scores(R.rerank_pairs(run, t.queries, t.corpus, 10), t)
-    return R.rerank(run, ps, 10)
+    ps = TX.pair_scores(R.rerank_pairs(run, t.queries, t.corpus), t)
+    return R.rerank(run, ps)
 
 
 @register("M1_build_qrels", O.with_(O.TRIPLES, "SELECT DISTINCT query_id, doc_id, 1 AS relevance FROM tqrels WHERE relevance = 1"))
@@ -524,7 +559,6 @@ def q5_queries(spark, sf):
 from retrievalkit.operators import nudge as N  # noqa: E402
 
 NUDGE_GAMMA = 0.5
-NUDGE_GRID = (0.0, 0.25, 0.5, 1.0)
 
 
 def _round_vec(df, col="vec", digits=9):
@@ -567,31 +601,41 @@ def n3(spark, sf):
     return _round_vec(N.nudge_n(cv, tg, NUDGE_GAMMA))
 
 
-@register("N4_choose_gamma", O.with_(O.nudge_base() + "," + O.nudge_accuracy_sql(NUDGE_GRID),
-                                     "SELECT gamma, accuracy, n_queries, best FROM acc_best"))
-def n4(spark, sf):
-    """Validation top-1 accuracy of every gamma of the grid; the best one flagged."""
-    t, qv, cv = _nudge_inputs(spark, sf)
-    train = t.splits.where("split = 'train'").select("query_id")
-    val = t.splits.where("split = 'val'").select("query_id")
-    tg = N.nudge_targets(qv, t.qrels, train)
-    vq = qv.join(val.select(F.col("query_id").alias("id")), "id", "left_semi")
-    return N.choose_gamma(cv, tg, vq, t.qrels.join(val, "query_id", "left_semi"),
-                          "nudge-n", NUDGE_GRID)
-
-
-@register("N5_nudge_finetune", O.with_(
-    O.nudge_base() + "," + O.nudge_accuracy_sql(NUDGE_GRID) + ",\n" + ",\n".join(
-        f"tn{i} AS (SELECT {O._dbl(g)} AS gamma, * FROM ({O.nudge_n_sql(g)}) x)"
-        for i, g in enumerate(sorted(set(NUDGE_GRID) | {0.0}))),
-    "SELECT id, list_transform(vec, lambda x: round(x, 9)) AS vec FROM ("
-    + " UNION ALL ".join(f"SELECT * FROM tn{i}" for i in range(len(set(NUDGE_GRID) | {0.0})))
-    + ") u WHERE gamma = (SELECT gamma FROM acc_best WHERE best) "))
-def n5(spark, sf):
-    """Tuned corpus: targets from train, gamma chosen on val, NUDGE-N applied."""
-    t, qv, cv = _nudge_inputs(spark, sf)
-    tuned, _, _ = N.nudge_finetune(cv, qv, t.qrels, t.splits, "nudge-n", grid=NUDGE_GRID)
-    return _round_vec(tuned.select("id", "vec"))
+def _tuned_sql(kind: str) -> str:
+    """Tuned vectors at the chosen gamma, over CTE ``acc_best``."""
+    each = [(g, O.nudge_n_sql(g) if kind == "nudge-n" else O.nudge_m_sql(O._dbl(g))) for g in N.DEFAULT_GRID]
+    return ("SELECT id, list_transform(vec, lambda x: round(x, 9)) AS vec FROM ("
+            + " UNION ALL ".join(f"SELECT {O._dbl(g)} AS gamma, * FROM ({sql}) x" for g, sql in each)
+            + ") u WHERE gamma = (SELECT gamma FROM acc_best WHERE best)")
+
+
+def _choose(kind):
+    def run(spark, sf):
+        t, qv, cv = _nudge_inputs(spark, sf)
+        train = t.splits.where("split = 'train'").select("query_id")
+        val = t.splits.where("split = 'val'").select("query_id")
+        tg = N.nudge_targets(qv, t.qrels, train)
+        vq = qv.join(val.select(F.col("query_id").alias("id")), "id", "left_semi")
+        return N.choose_gamma(cv, tg, vq, t.qrels.join(val, "query_id", "left_semi"), kind)
+    run.__doc__ = f"Validation top-1 accuracy of every gamma of the grid ({kind}); the best one flagged."
+    return run
+
+
+def _finetune(kind):
+    def run(spark, sf):
+        t, qv, cv = _nudge_inputs(spark, sf)
+        tuned, _, _ = N.nudge_finetune(cv, qv, t.qrels, t.splits, kind)
+        return _round_vec(tuned.select("id", "vec"))
+    run.__doc__ = f"Tuned corpus: targets from train, gamma chosen on val, {kind} applied."
+    return run
+
+
+for _kind, _tag in (("nudge-n", ""), ("nudge-m", "_m")):
+    register(f"N4_choose_gamma{_tag}", O.with_(
+        O.nudge_base() + "," + O.nudge_accuracy_sql(N.DEFAULT_GRID, _kind),
+        "SELECT gamma, accuracy, n_queries, best FROM acc_best"))(_choose(_kind))
+    register(f"N5_nudge_finetune{_tag}", O.with_(
+        O.nudge_base() + "," + O.nudge_accuracy_sql(N.DEFAULT_GRID, _kind), _tuned_sql(_kind)))(_finetune(_kind))
 
 
 @register("N7_changed_vectors", O.with_(O.nudge_base() + f""",
@@ -611,26 +655,23 @@ def n7(spark, sf):
 _NEW_DOC = "md5('42:insert:' || {c}) < '8'"   # hash halves: old corpus vs inserted batch
 
 
-def _n6_sql():
-    grid = sorted(set(NUDGE_GRID) | {0.0})
-    base = O.nudge_base(doc_filter=_NEW_DOC.format(c="r.doc_id"))
-    tuned = ",\n".join(f"tn{i} AS (SELECT {O._dbl(g)} AS gamma, * FROM ({O.nudge_n_sql(g)}) x)"
-                       for i, g in enumerate(grid))
-    body = ("SELECT id, list_transform(vec, lambda x: round(x, 9)) AS vec FROM ("
-            + " UNION ALL ".join(f"SELECT * FROM tn{i}" for i in range(len(grid)))
-            + ") u WHERE gamma = (SELECT gamma FROM acc_best WHERE best)")
-    return O.with_(base + "," + O.nudge_accuracy_sql(NUDGE_GRID) + ",\n" + tuned, body)
+def _insert(kind):
+    def run(spark, sf):
+        t, qv, cv = _nudge_inputs(spark, sf)
+        is_new = F.md5(F.concat(F.lit("42:insert:"), F.col("id"))) < "8"
+        old, new = cv.where(~is_new), cv.where(is_new)
+        out, _ = N.nudge_insert(old, new, qv, t.qrels, t.splits, kind)
+        return _round_vec(out)
+    run.__doc__ = (f"Insert half of the corpus (hash halves) into the other half and tune ({kind}) only the "
+                   "inserted documents; the old vectors compete but stay as they are.")
+    return run
 
 
-@register("N6_nudge_insert", _n6_sql())
-def n6(spark, sf):
-    """Insert half of the corpus (hash halves) into the other half and tune only
-    the inserted documents; the old vectors compete but stay as they are."""
-    t, qv, cv = _nudge_inputs(spark, sf)
-    is_new = F.md5(F.concat(F.lit("42:insert:"), F.col("id"))) < "8"
-    old, new = cv.where(~is_new), cv.where(is_new)
-    out, _ = N.nudge_insert(old, new, qv, t.qrels, t.splits, "nudge-n", grid=NUDGE_GRID)
-    return _round_vec(out)
+for _kind, _tag in (("nudge-n", ""), ("nudge-m", "_m")):
+    register(f"N6_nudge_insert{_tag}", O.with_(
+        O.nudge_base(doc_filter=_NEW_DOC.format(c="r.doc_id")) + ","
+        + O.nudge_accuracy_sql(N.DEFAULT_GRID, _kind, doc_filter=_NEW_DOC.format(c="r.doc_id")),
+        _tuned_sql(_kind)))(_insert(_kind))
 
 
 # ---- stores: dataset JSON (D1/D2), Parquet tables (D3), runs (D7) ------------------------
@@ -646,13 +687,13 @@ def _scratch(spark, name):
 
 def _json_roundtrip(spark, sf):
     path = _scratch(spark, "ragjson")
-    ST.write_rag_json(TX.dataset(spark, sf), path)
-    return ST.read_rag_json(spark, path)
+    ST.write_rag_lines(TX.dataset(spark, sf), path)
+    return ST.read_rag_lines(spark, path)
 
 
 @register("D1_read_rag_json_corpus", O.with_(O.TEXT_BASE, "SELECT doc_id, text, ord FROM tc"))
 def d1_corpus(spark, sf):
-    """Conversation dataset written as one dataset JSON object (D2) and read back."""
+    """Conversation dataset written as JSON lines by key (D2) and read back."""
     return _json_roundtrip(spark, sf).corpus
 
 

@@ -67,6 +67,22 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir() or d
 
 
+def materialised(df, name: str):
+    """``df`` written once to the shared folder and read back, so whatever is
+    built on it runs the work behind it a single time."""
+    import uuid
+
+    path = f"{ensure_checkpoint_dir(df.sparkSession).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def path_exists(spark: SparkSession, path: str) -> bool:
+    """Whether a path of any Hadoop file system exists; errors are raised."""
+    jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return jpath.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).exists(jpath)
+
+
 def ship_package(spark: SparkSession) -> None:
     """Make ``retrievalkit`` importable in Python workers (``--py-files``
     equivalent), once per SparkContext."""

@@ -14,19 +14,18 @@ def read_jsonl(spark: SparkSession, path: str, schema) -> DataFrame:
 
 
 def import_judged(spark: SparkSession, corpus: DataFrame, queries: DataFrame,
-                  judged: DataFrame, order_col: str | None = None) -> RagTables:
+                  judged: DataFrame, order_col: str) -> RagTables:
     """Corpus ``(id, text)``, queries ``(id, text)`` and judgments
     ``(qid, docid, relevance)``.
 
     Relevance 1 -> relevant, 0 -> negative, anything else fails the job.
     Pairs are deduplicated per role (a pair judged both ways stays in both).
     A repeated corpus/query id keeps the **last** text at its **first**
-    position (dict assignment); ``order_col`` gives the input order (default:
-    the id itself).
+    position (dict assignment); ``order_col`` of corpus and queries gives the
+    input order and must differ between rows of one id.
     """
     def last_wins(df: DataFrame, out_id: str) -> DataFrame:
-        o = F.col(order_col) if order_col else F.col("id")
-        agg = (df.select(F.col("id").cast("string").alias("id"), "text", o.alias("_o"))
+        agg = (df.select(F.col("id").cast("string").alias("id"), "text", F.col(order_col).alias("_o"))
                .groupBy("id")
                .agg(F.min("_o").alias("_first"), F.max_by("text", "_o").alias("text")))
         ranked = dense_index(agg, [F.col("_first"), F.col("id")])
@@ -36,8 +35,8 @@ def import_judged(spark: SparkSession, corpus: DataFrame, queries: DataFrame,
         F.col("qid").cast("string").alias("query_id"),
         F.col("docid").cast("string").alias("doc_id"),
         F.when(F.col("relevance").isin(0, 1), F.col("relevance").cast("int")).otherwise(
-            F.raise_error(F.concat(F.lit("Invalid relevance value: "),
-                                   F.col("relevance").cast("string")))).alias("relevance"))
+            F.raise_error(F.concat(F.lit("relevance must be 0 or 1, found "),
+                                   F.coalesce(F.col("relevance").cast("string"), F.lit("null"))))).alias("relevance"))
     qrels = checked.dropDuplicates(["query_id", "doc_id", "relevance"])
     return RagTables.create(
         spark,
@@ -47,37 +46,40 @@ def import_judged(spark: SparkSession, corpus: DataFrame, queries: DataFrame,
 
 
 def import_triples(spark: SparkSession, triples: DataFrame) -> RagTables:
-    """Rows ``(query, positive, negative, ord)``.
+    """Rows ``(query, positive, negative, ord)``, ``ord`` any orderable value.
 
     The first row of each query text wins; later rows with the same query are
     dropped whole (their documents are not added). Documents are deduplicated
     by exact text over both roles. Ids ``q-N`` / ``c-N`` number first
     appearances; inside a row the positive comes before the negative.
 
-    "First row per query" is a ``min(struct(ord, ...))`` aggregate, so a hot
+    Numbering and the joins from texts to ids carry 256-bit hashes; texts are
+    joined back once, by ``ord``. "First row per query" is a ``min(struct(ord, ...))`` aggregate, so a hot
     query text is combined map-side instead of landing in one window task.
     """
     kept = (triples.groupBy("query")
             .agg(F.min(F.struct("ord", "positive", "negative")).alias("m"))
             .select("query", "m.ord", "m.positive", "m.negative"))
-    q = dense_index(kept, [F.col("ord")], out="n")
-    queries = q.select(F.concat(F.lit("q-"), F.col("n").cast("string")).alias("query_id"),
-                       F.col("query").alias("text"), F.col("n").alias("ord"),
-                       "positive", "negative")
-    docs = (kept.select(F.col("positive").alias("text"), (F.col("ord") * 2).alias("p"))
-            .unionByName(kept.select(F.col("negative").alias("text"),
-                                     (F.col("ord") * 2 + 1).alias("p")))
-            .groupBy("text").agg(F.min("p").alias("p")))
-    d = dense_index(docs, [F.col("p")], out="ord")
-    corpus = d.select(F.concat(F.lit("c-"), F.col("ord").cast("string")).alias("doc_id"),
-                      "text", "ord")
-    ids = corpus.select("doc_id", F.col("text").alias("_t"))
-    pos = queries.join(ids, queries.positive == ids._t).select(
-        "query_id", "doc_id", F.lit(1).alias("relevance"))
-    neg = queries.join(ids, queries.negative == ids._t).select(
-        "query_id", "doc_id", F.lit(0).alias("relevance"))
-    return RagTables.create(spark, queries=queries.select("query_id", "text", "ord"),
-                            corpus=corpus, qrels=pos.unionByName(neg))
+    key = lambda c: F.sha2(F.coalesce(c, F.lit("")), 256)
+    slim = kept.where("positive is not null and negative is not null").select(
+        "ord", key("positive").alias("hp"), key("negative").alias("hn"))
+    q = dense_index(slim, [F.col("ord")], out="n").select(
+        F.concat(F.lit("q-"), F.col("n").cast("string")).alias("query_id"), "n", "ord", "hp", "hn")
+    queries = q.select("query_id", "ord", "n").join(kept.select("ord", "query"), "ord").select(
+        "query_id", F.col("query").alias("text"), F.col("n").alias("ord"))
+    # a document's place is its first row, and in it the positive before the negative
+    place = lambda h, side: slim.select(F.col(h).alias("h"), F.struct("ord", F.lit(side).alias("side")).alias("p"))
+    first = place("hp", 0).unionByName(place("hn", 1)).groupBy("h").agg(F.min("p").alias("p"))
+    ids = dense_index(first, [F.col("p")], out="n").select(
+        F.concat(F.lit("c-"), F.col("n").cast("string")).alias("doc_id"), "n", "h", "p")
+    corpus = ids.select("doc_id", "n", "p.ord", "p.side").join(kept.select("ord", "positive", "negative"), "ord").select(
+        "doc_id", F.when(F.col("side") == 0, F.col("positive")).otherwise(F.col("negative")).alias("text"),
+        F.col("n").alias("ord"))
+    pair = q.select("query_id", F.explode(F.array(
+        F.struct(F.col("hp").alias("h"), F.lit(1).alias("relevance")),
+        F.struct(F.col("hn").alias("h"), F.lit(0).alias("relevance")))).alias("j")).select("query_id", "j.h", "j.relevance")
+    qrels = pair.join(ids.select("h", "doc_id"), "h").select("query_id", "doc_id", "relevance")
+    return RagTables.create(spark, queries=queries, corpus=corpus, qrels=qrels)
 
 
 def dataset_summary(tables: RagTables) -> DataFrame:

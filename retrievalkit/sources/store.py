@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from retrievalkit import tables as S
+from retrievalkit.session import path_exists
 from retrievalkit.tables import RagTables
 
 # ---- D3: native store --------------------------------------------------------
@@ -55,8 +56,58 @@ def load_responses(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(RESPONSES).json(path)
 
 
-# ---- D1 / D2: dataset JSON object ------------------------------------------------
-
+# ---- D1 / D2: dataset JSON, one record per line ------------------------------------
+
+# The six top-level keys of the dataset JSON; each is a folder of
+# JSON lines here, written and read in parallel.
+LINES = {
+    "queries": "id string, text string, ord long",
+    "corpus": "id string, text string, ord long",
+    "relevant_docs": "id string, doc_id string",
+    "negative_docs": "id string, doc_id string",
+    "reference_answers": "id string, text string",
+    "queries_split": "split string, id string, ord long",
+}
+
+
+def write_rag_lines(tables: RagTables, path: str, mode: str = "errorifexists") -> None:
+    """The dataset as JSON lines, one folder per key; a key's list is one
+    line per member, so no value grows with the data."""
+    q, d = F.col("query_id").alias("id"), F.col("doc_id").alias("id")
+    parts = {
+        "queries": tables.queries.select(q, "text", "ord"),
+        "corpus": tables.corpus.select(d, "text", "ord"),
+        "relevant_docs": tables.positives().select(q, "doc_id"),
+        "negative_docs": tables.negatives().select(q, "doc_id"),
+        "reference_answers": tables.answers.select(q, F.col("answer").alias("text")),
+        "queries_split": tables.splits.select("split", q, "ord"),
+    }
+    for key, df in parts.items():
+        df.write.mode(mode).json(f"{path}/{key}")
+
+
+def read_rag_lines(spark: SparkSession, path: str) -> RagTables:
+    """The dataset of ``write_rag_lines``; an absent key gives an empty
+    table. Every folder is splittable by line."""
+    def part(key: str) -> DataFrame:
+        if not path_exists(spark, f"{path}/{key}"):
+            return spark.createDataFrame([], LINES[key])
+        return spark.read.schema(LINES[key]).option("mode", "FAILFAST").json(f"{path}/{key}")
+
+    q = F.col("id").alias("query_id")
+    judged = [part(key).select(q, "doc_id", F.lit(rel).alias("relevance"))
+              for key, rel in (("relevant_docs", 1), ("negative_docs", 0))]
+    return RagTables.create(
+        spark, queries=part("queries").select(q, "text", "ord"),
+        corpus=part("corpus").select(F.col("id").alias("doc_id"), "text", "ord"),
+        qrels=judged[0].unionByName(judged[1]),
+        answers=part("reference_answers").select(q, F.col("text").alias("answer")),
+        splits=part("queries_split").select(q, "split", "ord"))
+
+
+# ---- interop: dataset JSON as one object ------------------------------------------------
+
+# The keys of the interchange format.
 RAG_JSON = T.StructType([
     T.StructField("queries", T.MapType(T.StringType(), T.StringType())),
     T.StructField("corpus", T.MapType(T.StringType(), T.StringType())),

@@ -49,28 +49,42 @@ def conversation_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return (pairs.join(nxt, ["conv_id", "turn"], "left").join(first, "conv_id", "left")
             .select("query", "positive",
                     F.coalesce("next_pos", "first_pos").alias("negative"),
-                    (F.col("conv_id") * 100 + F.col("turn")).alias("ord"),
+                    F.struct("conv_id", "turn").alias("ord"),
                     "conv_id", "turn"))
 
 
 def judgments(spark: SparkSession, sf_dir: str):
-    """corpus ``(id, text)``, queries ``(id, text)``, judgments
-    ``(qid, docid, relevance)`` from documents + labels."""
+    """corpus ``(id, text, o)``, queries ``(id, text, o)``, judgments
+    ``(qid, docid, relevance)`` from documents + labels, ``o`` = input order.
+
+    Documents come by descending id; those labelled toxic come again later with
+    another text. Every document brings its query ``lang-source`` with a text
+    of its own. Labels are judgments twice over, and toxic documents are judged
+    the other way as well.
+    """
     d = table(spark, sf_dir, "documents")
     lab = table(spark, sf_dir, "labels")
-    corpus = d.select(F.col("doc_id").cast("string").alias("id"), "text")
+    toxic = lab.where("toxic = 1").select("doc_id")
+    again = d.join(toxic, "doc_id", "left_semi")
+    corpus = d.select(F.col("doc_id").cast("string").alias("id"), "text", (-F.col("doc_id")).alias("o")).unionByName(
+        again.select(F.col("doc_id").cast("string").alias("id"), F.concat("text", F.lit(" (second version)")).alias("text"),
+                     (F.col("doc_id") + 1).alias("o")))
     qid = F.concat_ws("-", "lang", "source")
-    queries = d.select(qid.alias("id"), qid.alias("text")).distinct()
+    queries = d.select(qid.alias("id"), F.concat(qid, F.lit(" as of "), F.col("doc_id").cast("string")).alias("text"),
+                       F.col("doc_id").alias("o"))
     judged = (lab.join(d.select("doc_id", "lang", "source"), "doc_id")
               .select(qid.alias("qid"), F.col("doc_id").cast("string").alias("docid"),
-                      F.col("quality").cast("int").alias("relevance")))
+                      F.explode(F.when(F.col("toxic") == 1, F.array("quality", "quality", 1 - F.col("quality")))
+                                .otherwise(F.array("quality", "quality"))).alias("relevance"))
+              .select("qid", "docid", F.col("relevance").cast("int").alias("relevance")))
     return corpus, queries, judged
 
 
 def qa_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
     """a model response per document id = conv_id: the conversation's
-    (question, answer) pairs as a JSON array inside a markdown json fence.
-    One group per conversation (bounded by its turns)."""
+    (question, answer) pairs as a JSON array inside a markdown json fence. Of
+    every seven, one breaks off, one is an object instead of an array, and one
+    has no fence. One group per conversation (bounded by its turns)."""
     from retrievalkit.operators.synth import ANSWER_KEY, QUESTION_KEY
 
     p = conversation_pairs(spark, sf_dir)
@@ -81,4 +95,8 @@ def qa_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return (p.groupBy("conv_id").agg(arr.alias("qa"))
             .select(F.col("conv_id").cast("string").alias("corpus_id"),
                     F.sha2(F.col("conv_id").cast("string"), 256).alias("prompt_key"),
-                    F.concat(F.lit("```json\n"), F.to_json("qa"), F.lit("\n```")).alias("response")))
+                    F.when(F.col("conv_id") % 7 == 3, F.concat(F.lit("```json\n"), F.expr(
+                        "substring(to_json(qa), 1, length(to_json(qa)) - 5)"), F.lit("\n```")))
+                    .when(F.col("conv_id") % 7 == 4, F.concat(F.lit("```json\n"), F.to_json(F.struct("qa")), F.lit("\n```")))
+                    .when(F.col("conv_id") % 7 == 5, F.to_json("qa"))
+                    .otherwise(F.concat(F.lit("```json\n"), F.to_json("qa"), F.lit("\n```"))).alias("response")))

@@ -14,7 +14,9 @@ def brute(q_ids, Q, d_ids, C, k, metric, exclude_self):
         keep = q_ids[qi] != d_ids[ci]
         qi, ci = qi[keep], ci[keep]
     ex = K.exact_scores(Q, C, qi, ci, metric, K.seq_sq_norms(Q), K.seq_sq_norms(C))
-    return K.topk_frame(q_ids[qi], d_ids[ci], K.round_half_up(ex), k, metric != "sq_l2")
+    df = pd.DataFrame({"query_id": q_ids[qi], "doc_id": d_ids[ci], "score": K.round_half_up(ex)}).dropna()
+    df = df.sort_values(["query_id", "score", "doc_id"], ascending=[True, metric == "sq_l2", True], kind="mergesort")
+    return df.groupby("query_id", sort=False).head(k)
 
 
 @pytest.mark.parametrize("metric", ["cosine", "dot", "sq_l2"])

@@ -24,16 +24,19 @@ def vecs(spark):
 
 
 def test_knn_limits_before_the_exchange_and_prunes_the_scan(spark):
-    p = plan(R.knn(vecs(spark), vecs(spark), 10, "cosine", strategy="broadcast"))
+    p = plan(R.knn(vecs(spark), vecs(spark), 10, "cosine"))
     assert "WindowGroupLimit" in p and "Partial" in p
     assert "MapInArrow" in p and "CartesianProduct" not in p and "NestedLoopJoin" not in p
     assert "ReadSchema: struct<vec_id:bigint,embedding:array<float>>" in p
 
 
-def test_broadcast_bound_falls_back_to_grid(spark):
+def test_queries_beyond_the_bound_scan_the_corpus_in_place(spark):
     v = vecs(spark)
-    p = plan(R.knn(v, v, 10, "dot", broadcast_limit_bytes=1024))   # 500 x 64 x 8 > 1 KiB
-    assert "FlatMapCoGroupsInPandas" in p and "MapInArrow" not in p
+    p = plan(R.knn(v, v, 10, "dot", broadcast_limit_bytes=64 << 10))   # 500 x 64 x 8 = 250 KiB
+    scan = p[p.rindex("MapInArrow"):]
+    assert p.count("MapInArrow") >= 4 and "CoGroup" not in p
+    assert p.split("Physical Plan")[1].split("(1) ")[0].count("Exchange") <= 2   # winners only
+    assert "Scan parquet" in p and scan
 
 
 def test_dense_index_has_no_window_over_data_rows(spark):

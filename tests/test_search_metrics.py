@@ -44,35 +44,51 @@ def vecs(spark):
 def test_strategies_equal_brute_force(spark, vecs, metric):
     q = vecs.where("id < '2'")   # a slice of queries, all vectors as corpus
     want = rows(brute_knn(q, vecs, 7, metric, exclude_self=True))
-    for strat in ("broadcast", "grid"):
-        got = rows(knn(q, vecs, 7, metric, exclude_self=True, strategy=strat,
-                       c_block_rows=37, q_block_rows=29))
-        assert got == want, strat
+    for limit in (32 << 20, 20 * 64 * 8):     # one block of queries, several
+        got = rows(knn(q, vecs, 7, metric, exclude_self=True, broadcast_limit_bytes=limit))
+        assert got == want, limit
+
+
+@pytest.mark.parametrize("metric", ["cosine", "dot", "sq_l2"])
+def test_bad_vectors_change_no_other_row(spark, metric):
+    """Null, null component, NaN, infinite, short, long and empty vectors on
+    either side take no part, in one block of queries and in several."""
+    rng = random.Random(3)
+    good = [(f"d{i:02d}", [rng.random() for _ in range(4)]) for i in range(50)]
+    nan, inf = float("nan"), float("inf")
+    bad = [("n0", None), ("n1", [1.0, None, 1.0, 1.0]), ("n2", [nan, 1.0, 1.0, 1.0]), ("n3", [inf, 1.0, 1.0, 1.0]),
+           ("n4", [1.0, 1.0, 1.0]), ("n5", [1.0] * 5), ("n6", []), ("n7", [-inf, 0.0, 0.0, 0.0])]
+    schema = "id string, vec array<float>"
+    g, b = spark.createDataFrame(good, schema), spark.createDataFrame(bad, schema)
+    q = g.where("id < 'd20'")
+    want = rows(knn(q, g, 3, metric))
+    assert len(want) == 60
+    mixed = g.unionByName(b).repartition(3)
+    for limit in (32 << 20, 200):
+        assert rows(knn(q.unionByName(b), mixed, 3, metric, broadcast_limit_bytes=limit)) == want
+    assert rows(knn(b.where("id in ('n0', 'n6')"), g, 3, metric)) == []
 
 
 def test_ties_break_by_doc_id_as_string(spark):
     q = spark.createDataFrame([("q", [1.0, 0.0])], "id string, vec array<float>")
     c = spark.createDataFrame([("9", [1.0, 0.0]), ("10", [1.0, 0.0]), ("2", [0.0, 1.0])],
                               "id string, vec array<float>")
-    for strat in ("broadcast", "grid"):
-        got = [(r.doc_id, r.rank) for r in knn(q, c, 2, "dot", strategy=strat)
-               .orderBy("rank").collect()]
-        assert got == [("10", 1), ("9", 2)]   # '10' < '9' as strings
+    got = [(r.doc_id, r.rank) for r in knn(q, c, 2, "dot").orderBy("rank").collect()]
+    assert got == [("10", 1), ("9", 2)]   # '10' < '9' as strings
 
 
 def test_fewer_than_k_and_zero_vector(spark):
     q = spark.createDataFrame([("q", [1.0, 1.0]), ("z", [0.0, 0.0])], "id string, vec array<float>")
     c = spark.createDataFrame([("a", [1.0, 0.0]), ("b", [0.0, 0.0])], "id string, vec array<float>")
-    for strat in ("broadcast", "grid"):
-        got = rows(knn(q, c, 5, "cosine", strategy=strat))
-        assert got == [("q", "a", round(1 / math.sqrt(2), 6), 1)]
+    got = rows(knn(q, c, 5, "cosine"))
+    assert got == [("q", "a", round(1 / math.sqrt(2), 6), 1)]
 
 
 def test_many_exact_duplicates_keep_exactly_k(spark):
     c = spark.createDataFrame([(f"d{i:03d}", [0.5, 0.5]) for i in range(300)],
                               "id string, vec array<float>")
     q = spark.createDataFrame([("q", [0.5, 0.5])], "id string, vec array<float>")
-    got = knn(q, c, 3, "dot", strategy="broadcast").orderBy("rank").collect()
+    got = knn(q, c, 3, "dot").orderBy("rank").collect()
     assert [r.doc_id for r in got] == ["d000", "d001", "d002"]
 
 
