@@ -40,3 +40,32 @@ def test_mining_rows_synthesis_and_tuning(spark):
     metrics, tuned, gamma = P.tune_and_evaluate(t, enc, grid=(0.0, 0.5))
     assert gamma in (0.0, 0.5) and tuned.count() == t.corpus.count()
     assert metrics.first()["n_run_queries"] > 0
+
+
+def test_every_text_meets_the_encoder_once(spark, tmp_path):
+    """The vectors of a corpus are read by several branches of each entry point
+    but encoded once; a store spares the next call altogether."""
+    t = TX.dataset(spark, SF01)
+    n_corpus, n_all = t.corpus.count(), t.queries.count()
+    n = {s: t.splits.where(F.col("split") == s).count() for s in ("train", "val")}
+    seen = spark.sparkContext.accumulator(0)
+
+    class Counting:
+        def __init__(self):
+            self.inner = hashing_encoder_factory(TX.DIM)()
+
+        def __call__(self, texts):
+            seen.add(len(texts))
+            return self.inner(texts)
+
+    def calls(run):
+        seen.value = 0
+        run()
+        return seen.value
+
+    assert calls(lambda: P.evaluate_model(t, Counting, "val").collect()) == n_corpus + n["val"]
+    assert calls(lambda: P.mine_and_replace(t, Counting, "train", n=15).qrels.collect()) == n_corpus + n["train"]
+    assert calls(lambda: P.tune_and_evaluate(t, Counting, grid=(0.0, 0.5))[0].collect()) == n_corpus + n_all
+    store = str(tmp_path / "vectors")
+    evaluate = lambda: P.evaluate_model(t, Counting, "val", store_path=store, model_name="m").collect()
+    assert calls(evaluate) == n_corpus + n["val"] and calls(evaluate) == 0

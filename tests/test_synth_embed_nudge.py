@@ -141,3 +141,44 @@ def test_embedding_stream_fills_store(spark, tmp_path):
     store = spark.read.parquet(str(tmp_path / "store"))
     assert store.select("text_md5").distinct().count() == 3      # 'x y' stored once
     assert spark.read.parquet(str(tmp_path / "vecs")).count() == 4
+
+
+def test_store_keeps_null_texts_and_raises_errors(spark, tmp_path):
+    fn = lambda df: E.hash_embed(df, 8)
+    docs = spark.createDataFrame([("a", "x y"), ("b", None), ("c", ""), ("d", "x y")], "id string, text string")
+    store = str(tmp_path / "store")
+    for _ in range(2):
+        got = {r.id: list(r.vec) for r in E.embed_incremental(docs, store, "m", embed_fn=fn).collect()}
+        assert set(got) == {"a", "b", "c", "d"} and got["b"] == got["c"] == [0.0] * 8 and got["a"] == got["d"]
+    assert spark.read.parquet(store).count() == 2
+    (tmp_path / "broken").write_text("no parquet")
+    with pytest.raises(Exception):
+        E.embed_incremental(docs, str(tmp_path / "broken"), "m", embed_fn=fn).collect()
+
+
+@pytest.mark.parametrize("kind", ["nudge-n", "nudge-m"])
+def test_one_pass_gamma_equals_a_search_per_gamma(spark, kind):
+    """Accuracy of every gamma against tuned vectors searched one by one; a zero
+    query counts as a miss, and documents of equal direction tie by id."""
+    rng = np.random.default_rng(4)
+    unit = lambda a: a / np.linalg.norm(a, axis=-1, keepdims=True)
+    D = unit(rng.normal(size=(30, 6))).astype(np.float32)
+    D[7] = D[3]
+    Q = unit(rng.normal(size=(40, 6))).astype(np.float32)
+    Q[39] = 0.0
+    vec = "id string, vec array<float>"
+    dv = spark.createDataFrame([(f"d{i:02d}", D[i].tolist()) for i in range(30)], vec)
+    qv = spark.createDataFrame([(f"q{i:02d}", Q[i].tolist()) for i in range(40)], vec)
+    rel = spark.createDataFrame([(f"q{i:02d}", f"d{(i * 7) % 20:02d}", 1) for i in range(40)],
+                                "query_id string, doc_id string, relevance int")
+    train, val = rel.where("query_id < 'q20'"), rel.where("query_id >= 'q20'")
+    targets = N.nudge_targets(qv, rel, train.select("query_id"))
+    grid = (0.0, 0.3, 0.8, 1.4, 2.0)
+    got = {r.gamma: r for r in N.choose_gamma(dv, targets, qv, val, kind, grid).collect()}
+    from retrievalkit.operators.search import knn
+    for g in grid:
+        tuned = N.apply_nudge(dv, targets, g, kind)
+        top = knn(qv.where("id >= 'q20'"), tuned, 1, N.search_metric(kind))
+        hits = top.join(val, ["query_id", "doc_id"], "left_semi").count()
+        assert got[g].n_queries == 20 and got[g].accuracy == hits / 20, g
+    assert sum(r.best for r in got.values()) == 1
