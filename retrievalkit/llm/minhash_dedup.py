@@ -11,9 +11,9 @@ least that misses a pair at the threshold with probability ``miss`` or less.
 Candidates are verified on full shingle sets. Buckets are never expanded into
 all pairs: each bucket first links its members to one pivot, the least by one of
 a few orders of ids, so that different tables try different pivots. Only where the members of a
-bucket still lie in different components are members compared block against
-block, across components, with a union-find that emits at most one link per
-member and block pair.
+bucket still lie in different components are the members of its band compared
+block against block, across components, with a union-find that emits at most
+one link per member and block pair.
 """
 
 from __future__ import annotations
@@ -119,13 +119,14 @@ def _verify(percent: int):
 
 
 def _compare_blocks(percent: int, m: int, agree: int):
-    """Links across components within one pair of blocks of a bucket."""
+    """Links across components within one pair of blocks of the members that
+    agree in one band of the first collection."""
     def compare(rows: pd.DataFrame) -> pd.DataFrame:
         ids, comp = rows["id"].to_numpy(), rows["component"].to_numpy()
         block = rows["block"].to_numpy()
         size = rows["n"].to_numpy()
         sig, band = np.stack(rows["sig"].to_list()), np.stack(rows["band"].to_list())
-        table, same_block = int(rows["t"].iloc[0]), bool((block == block[0]).all())
+        mine, same_block = int(rows["i"].iloc[0]), bool((block == block[0]).all())
         sets = [np.frombuffer(w, np.uint64) for w in rows["words"]]
         root = {c: c for c in set(comp.tolist())}
 
@@ -143,10 +144,9 @@ def _compare_blocks(percent: int, m: int, agree: int):
             other = other[comp[other] != comp[i]]
             other = other[100 * np.minimum(size[other], size[i]) >= percent * np.maximum(size[other], size[i])]
             other = other[(sig[other] == sig[i]).sum(axis=1) >= agree]
-            if len(other):   # only the first table that the pair shares
+            if len(other):   # pairs that share a table, in the first band they share
                 same = band[other] == band[i]
-                first = same[:, :m].argmax(axis=1) * m + same[:, m:].argmax(axis=1)
-                other = other[first == table]
+                other = other[(same[:, :m].argmax(axis=1) == mine) & same[:, m:].any(axis=1)]
             for j in other.tolist():
                 a, b = top(comp[i]), top(comp[j])
                 if a != b and _linked(sets[i], sets[j], percent):
@@ -233,16 +233,18 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         "component", F.coalesce("component", "id"))
     open_ = wide.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter(
         "lo != hi").select("key")
-    rest = stored(wide.join(open_, "key"), "open")
+    # the tables of one band of the first collection are compared together: a member is there once
+    rest = stored(wide.join(open_, "key").select("id", "component", F.expr(f"t div {m}").alias("i")).distinct()
+                  .join(reps, "id").withColumn("key", F.expr("xxhash64(i, band[i])")), "open")
     if rest.limit(1).count():
         sets = sets_of(rest.select("id"))
-        rest = rest.withColumn("blocks", F.expr(f"int(ceil(size / {BLOCK}))")).withColumn(
-            "block", F.expr("int(pmod(xxhash64(id), blocks))"))
+        size = rest.groupBy("key").agg(F.expr(f"int(ceil(count(*) / {BLOCK}))").alias("blocks"))
+        rest = rest.join(size, "key").withColumn("block", F.expr("int(pmod(xxhash64(id), blocks))"))
         # a block meets itself and every other block of its bucket once
         rest = rest.withColumn("meets", F.explode(F.expr("sequence(0, blocks - 1)"))).select(
-            "key", "t", "id", "component", "block",
+            "key", "i", "id", "component", "block", "n", "band", "sig",
             F.least("block", "meets").alias("b1"), F.greatest("block", "meets").alias("b2"))
-        more = rest.join(reps, "id").join(sets, "id").groupBy("key", "b1", "b2").applyInPandas(
+        more = rest.join(sets, "id").groupBy("key", "b1", "b2").applyInPandas(
             _compare_blocks(percent, m, agree), "u long, v long")
         more = stored(more, "links")
         if more.limit(1).count():
