@@ -21,9 +21,3 @@ def sample_key(seed: int, salt: str, *parts) -> Column:
             cols.append(F.lit(":"))
         cols.append((F.col(p) if isinstance(p, str) else p).cast("string"))
     return F.md5(F.concat(F.lit(f"{seed}:{salt}:"), *cols))
-
-
-def sample_key_sql(seed: int, salt: str, *parts: str) -> str:
-    """The same key as DuckDB/Spark SQL text (used by the oracles)."""
-    body = " || ':' || ".join(f"CAST({p} AS VARCHAR)" for p in parts)
-    return f"md5('{seed}:{salt}:' || {body})"

@@ -59,12 +59,3 @@ def axpy(alpha, x, y) -> Column:
     """alpha * x + y element-wise (alpha is a double column or literal)."""
     al = alpha if isinstance(alpha, Column) else F.lit(float(alpha))
     return F.zip_with(_c(x), _c(y), lambda u, v: al * u.cast("double") + v.cast("double"))
-
-
-def add(x, y) -> Column:
-    return F.zip_with(_c(x), _c(y), lambda u, v: u.cast("double") + v.cast("double"))
-
-
-def scale(alpha, x) -> Column:
-    al = alpha if isinstance(alpha, Column) else F.lit(float(alpha))
-    return F.transform(_c(x), lambda u: al * u.cast("double"))
