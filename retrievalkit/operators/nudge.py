@@ -249,11 +249,10 @@ def choose_gamma(doc_vecs: DataFrame, targets: DataFrame, val_query_vecs: DataFr
     best1 = found.groupBy("gamma", "query_id").agg(
         F.min(F.struct((-F.col("score")).alias("s"), "doc_id")).alias("top")).select("gamma", "query_id", "top.doc_id")
     hits = best1.join(rel, ["query_id", "doc_id"], "left_semi").groupBy("gamma").agg(F.count("*").alias("hits"))
-    asked_n = asked.agg(F.count("*").alias("n_queries"))
+    n = asked.count()
     whole = spark.createDataFrame([(g,) for g in grid], "gamma double").join(hits, "gamma", "left")
-    # one row with the denominator, brought in by a constant key
-    acc = whole.withColumn("_k", F.lit(1)).join(F.broadcast(asked_n.withColumn("_k", F.lit(1))), "_k").where(
-        "n_queries > 0").select("gamma", (F.coalesce("hits", F.lit(0)) / F.col("n_queries")).alias("accuracy"), "n_queries")
+    acc = whole.where(F.lit(n) > 0).select(
+        "gamma", (F.coalesce("hits", F.lit(0)) / F.lit(max(n, 1))).alias("accuracy"), F.lit(n).cast("long").alias("n_queries"))
     wb = Window.orderBy(F.col("accuracy").desc(), F.col("gamma").asc())   # |grid| rows
     return acc.withColumn("best", F.row_number().over(wb) == 1)
 
