@@ -147,3 +147,50 @@ def op7(spark, sf):
     return scan_secrets(table(spark, sf, "documents")).select(
         F.col("id").alias("doc_id"), "n_assign", "n_access", "n_hex", "n_random",
         F.sha2(joined("base").cast("binary"), 256).alias("base_sha256"), joined("spans").alias("spans"))
+
+
+_OP11_SQL = r"""
+WITH RECURSIVE runs AS (
+  SELECT doc_id, unnest(regexp_extract_all(text, '[A-Za-z\x{00C0}-\x{00FF}]+')) AS raw FROM documents),
+own AS (
+  SELECT doc_id, translate(raw, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run, count(*) AS k
+  FROM runs WHERE length(raw) >= 7 GROUP BY ALL),
+coded AS (
+  SELECT run, k, list_reduce(
+      list_prepend(4294967295::BIGINT, list_transform(range(1, 1 + octet_length(encode(doc_id::VARCHAR || ':' || run))),
+        lambda i: ('0x' || substr(hex(encode(doc_id::VARCHAR || ':' || run)), CAST(2 * i - 1 AS BIGINT), 2))::BIGINT)),
+      lambda c, b: list_reduce([xor(c, b), 0, 0, 0, 0, 0, 0, 0, 0],
+                               lambda x, y: xor(x >> 1, 3988292384 * (x & 1)))) AS inv
+  FROM own),
+hashed AS (SELECT run, k, xor(inv, 4294967295) AS h FROM coded),
+cut AS (
+  SELECT CASE WHEN h % 31 = 0 THEN substr(run, 1, CAST(h % length(run) AS BIGINT)) || substr(run, CAST(h % length(run) AS BIGINT) + 2)
+              ELSE run END AS word, k FROM hashed),
+words AS (SELECT word, CAST(sum(k) AS BIGINT) AS n FROM cut WHERE length(word) >= 7 GROUP BY word HAVING sum(k) >= 2),
+gaps AS (
+  SELECT word, n, i, substr(word, 1, CAST(i AS BIGINT)) || substr(word, CAST(i AS BIGINT) + 2) AS gap
+  FROM (SELECT word, n, unnest(range(0, length(word))) AS i FROM words) t),
+near AS (
+  SELECT DISTINCT a.word AS word, b.word AS other, b.n AS m FROM gaps a JOIN gaps b ON a.gap = b.gap AND a.i = b.i AND a.word <> b.word
+  UNION SELECT DISTINCT a.word, b.word, b.n FROM gaps a JOIN words b ON a.gap = b.word
+  UNION SELECT DISTINCT b.word, a.word, a.n FROM gaps a JOIN words b ON a.gap = b.word),
+best AS (SELECT word, count(*) AS n_near, max(m) AS m FROM near GROUP BY word),
+top AS (SELECT word, min(other) AS other FROM near JOIN best USING (word) WHERE near.m = best.m GROUP BY word),
+forms AS (
+  SELECT w.word, w.n, coalesce(b.n_near, 0) AS n_near, CASE WHEN b.m >= 10 * w.n THEN t.other END AS form,
+         CASE WHEN b.m >= 10 * w.n THEN b.m END AS form_n
+  FROM words w LEFT JOIN best b USING (word) LEFT JOIN top t USING (word)),
+walk AS (
+  SELECT word, word AS root FROM forms
+  UNION ALL SELECT walk.word, f.form FROM walk JOIN forms f ON f.word = walk.root WHERE f.form IS NOT NULL),
+ends AS (SELECT walk.word, walk.root FROM walk JOIN forms f ON f.word = walk.root WHERE f.form IS NULL)
+SELECT word, form, root, n, n_near, form_n FROM forms JOIN ends USING (word)
+"""
+
+
+@register("op11_spelling_variants", _OP11_SQL)
+def op11(spark, sf):
+    """Words one edit from another, with the frequent form and the root of each."""
+    from retrievalkit.llm.spelling_variants import spelling_variants
+
+    return spelling_variants(table(spark, sf, "documents"))
