@@ -194,3 +194,15 @@ def op11(spark, sf):
     from retrievalkit.llm.spelling_variants import spelling_variants
 
     return spelling_variants(table(spark, sf, "documents"))
+
+
+@register("op13_token_files")
+def op13(spark, sf):
+    """Token ids of all documents written as binary files with Elias-Fano boundaries, and read back."""
+    from retrievalkit.llm._spark import shared_folder
+    from retrievalkit.llm.token_files import read_documents, write_ids
+
+    folder = shared_folder(spark, "ids")
+    write_ids(table(spark, sf, "documents"), folder)
+    return read_documents(spark, folder).select(
+        F.col("id").alias("doc_id"), "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))

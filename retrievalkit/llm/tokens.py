@@ -54,6 +54,7 @@ class WordTokens:
         self.plain = Tokenizer(self.whole.model)      # takes pre-tokens in byte-level letters
         self.plain.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
         vocab = self.whole.get_vocab(with_added_tokens=False)
+        self.top = max(self.whole.get_vocab().values())      # the largest id
         self.last = np.zeros(max(vocab.values()) + 1, bool)
         self.last[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
         self.room = room
