@@ -38,16 +38,20 @@ _pows = (np.ones(1, U64), np.ones(1, U64))
 
 
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """At least ``n`` powers of the base and of its inverse. Tables for usual
+    chunks are kept, those for a longer text go when it is done."""
     global _pows
-    if len(_pows[0]) < n:
-        n = 1 << (n - 1).bit_length()
-        both = []
-        for b in (_BASE, _INV):
-            p = np.full(n, b, U64)
-            p[0] = 1
-            both.append(np.multiply.accumulate(p))
+    if len(_pows[0]) >= n:
+        return _pows
+    n = max(n, min(2 * n, CHUNK + (CHUNK >> 3)))
+    both = []
+    for b in (_BASE, _INV):
+        p = np.full(n, b, U64)
+        p[0] = 1
+        both.append(np.multiply.accumulate(p))
+    if n <= CHUNK + (CHUNK >> 3):
         _pows = tuple(both)
-    return _pows
+    return tuple(both)
 
 
 def utf8(column) -> tuple[np.ndarray, np.ndarray]:
@@ -76,12 +80,13 @@ def chunks(column, size: int = CHUNK) -> Iterator[tuple[int, int, np.ndarray, np
 
 class Words:
     """Word spans of a chunk: ``start``/``end`` byte positions and, per text,
-    ``first`` (offsets into the words)."""
+    ``first`` (offsets into the words). ``between`` tells the bytes that are in
+    no word."""
 
-    def __init__(self, buf: np.ndarray, off: np.ndarray):
+    def __init__(self, buf: np.ndarray, off: np.ndarray, between: np.ndarray = SPACE):
         self.buf, self.off = buf, off
         n = len(buf)
-        word = ~SPACE[buf]
+        word = ~between[buf]
         edge = np.zeros(n + 1, bool)        # a text begins here
         edge[off] = True
         begin, stop = word.copy(), word.copy()

@@ -206,3 +206,34 @@ def op13(spark, sf):
     write_ids(table(spark, sf, "documents"), folder)
     return read_documents(spark, folder).select(
         F.col("id").alias("doc_id"), "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
+_OP12_SQL = r"""
+WITH words AS (
+  SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                        '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM documents),
+tfs AS (SELECT doc_id, term, count(*) AS tf FROM words GROUP BY ALL),
+sizes AS (SELECT doc_id, CAST(sum(tf) AS BIGINT) AS n FROM tfs GROUP BY doc_id),
+stats AS (SELECT count(*) AS total, CAST(sum(n) AS BIGINT) AS length FROM sizes),
+ms AS (SELECT doc_id, 25 + (75 * n * total) // length AS m FROM sizes, stats),
+asked AS (
+  SELECT item_id, term, count(*) AS times FROM (
+    SELECT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                           '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark) t GROUP BY ALL),
+dfs AS (SELECT term, count(*) AS df FROM tfs WHERE term IN (SELECT term FROM asked) GROUP BY term),
+ws AS (SELECT term, CAST(floor(1000 * ln((2 * total + 2)::DOUBLE / (2 * df + 1))) AS BIGINT) AS w FROM dfs, stats),
+scored AS (
+  SELECT item_id, doc_id, CAST(sum(times * w * ((1000000000 * tf) // (1000 * tf + 8 * m))) AS BIGINT) AS score
+  FROM asked JOIN ws USING (term) JOIN tfs USING (term) JOIN ms USING (doc_id) GROUP BY item_id, doc_id)
+SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score FROM (
+  SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM scored WHERE score > 0) t
+WHERE rank <= 10
+"""
+
+
+@register("op12_lexical_search", _OP12_SQL)
+def op12(spark, sf):
+    """The ten best documents of every benchmark item by term weights."""
+    from retrievalkit.llm.lexical_search import ranked_search
+
+    return ranked_search(table(spark, sf, "documents"), table(spark, sf, "benchmark")).withColumnRenamed("id", "doc_id")

@@ -22,7 +22,7 @@ from retrievalkit.llm import _words as W
 #: the classes of ``re`` and of the tokenizer's pattern agree.
 _PLAIN = re.compile("[ -~¡«»¿-įı-ɏ‐-―‘-„…]*")
 _PRE = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|\d|(?:[^\s\w]|_)+")
-_CHUNK = 4 << 20
+_CHUNK = 1 << 20
 
 
 def _letters() -> np.ndarray:
@@ -45,9 +45,9 @@ def _gather(values: np.ndarray, begin: np.ndarray, size: np.ndarray) -> tuple[np
 
 
 class WordTokens:
-    """Ids of texts. ``room`` bounds the words that are kept."""
+    """Ids of texts. ``room`` bounds the words that are kept (about 30 bytes each)."""
 
-    def __init__(self, path: str, room: int = 1_500_000):
+    def __init__(self, path: str, room: int = 1_000_000):
         from tokenizers import Tokenizer, pre_tokenizers
 
         self.whole = Tokenizer.from_file(path)
@@ -62,8 +62,8 @@ class WordTokens:
 
     def _clear(self) -> None:
         self.key = np.zeros(0, np.uint64)              # sorted hashes of known words
-        self.at = np.zeros(0, np.int64)                # where a word's ids begin
-        self.size = np.zeros(0, np.int64)
+        self.at = np.zeros(0, np.int32)                # where a word's ids begin
+        self.size = np.zeros(0, np.int32)
         self.ids = np.zeros(0, np.uint32)
 
     def _encode_words(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -108,11 +108,10 @@ class WordTokens:
         if clear and len(self.key) + len(keys) > self.room:
             self._clear()
         ids, size = self._encode_words(words)
-        key = np.concatenate([self.key, keys])
-        order = np.argsort(key, kind="stable")
-        self.key = key[order]
-        self.at = np.concatenate([self.at, len(self.ids) + np.cumsum(size) - size])[order]
-        self.size = np.concatenate([self.size, size])[order]
+        place = np.searchsorted(self.key, keys)         # keys are sorted
+        self.key = np.insert(self.key, place, keys)
+        self.at = np.insert(self.at, place, len(self.ids) + np.cumsum(size) - size)
+        self.size = np.insert(self.size, place, size)
         self.ids = np.concatenate([self.ids, ids])
 
     def _known(self, words: W.Words) -> tuple[np.ndarray, np.ndarray]:
@@ -141,7 +140,7 @@ class WordTokens:
         for lo, hi, buf, off in W.chunks(column, _CHUNK):
             words = W.Words(buf, off)
             at, back = self._known(words)
-            ids, ends = _gather(self.ids, self.at[at][back], self.size[at][back])
+            ids, ends = _gather(self.ids, self.at[at][back].astype(np.int64), self.size[at][back].astype(np.int64))
             yield lo, hi, ids, ends[words.first]
 
     def counts(self, column) -> np.ndarray:
@@ -150,7 +149,7 @@ class WordTokens:
         for _, _, buf, off in W.chunks(column, _CHUNK):
             words = W.Words(buf, off)
             at, back = self._known(words)
-            out.append(W.run_sums(self.size[at][back], words.first))
+            out.append(W.run_sums(self.size[at][back].astype(np.int64), words.first))
         return np.concatenate(out)
 
 
