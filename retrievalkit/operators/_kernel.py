@@ -15,6 +15,7 @@ k-th by more than 2e-6 is beaten by k others whatever their ids are.
 
 from __future__ import annotations
 
+from dataclasses import dataclass
 from decimal import ROUND_HALF_UP, Decimal
 
 import numpy as np
@@ -96,6 +97,26 @@ def screen(S: np.ndarray, k: int, running: np.ndarray | None = None) -> tuple[np
     return np.nonzero((S >= thr[:, None]) & valid)
 
 
+@dataclass(frozen=True)
+class Bounds:
+    """A ball around a block's vectors, and one around their unit vectors
+    (radius -2 where all are zero vectors, which have no cosine)."""
+
+    centre: np.ndarray
+    radius: float
+    unit_centre: np.ndarray
+    unit_radius: float
+
+    @classmethod
+    def of(cls, C: np.ndarray) -> Bounds:
+        centre = C.mean(axis=0)
+        norm = np.sqrt(seq_sq_norms(C))
+        unit = C[norm > 0] / norm[norm > 0][:, None]
+        unit_centre = unit.mean(axis=0) if len(unit) else np.zeros(C.shape[1])
+        far = lambda m, c: float(np.sqrt(seq_sq_norms(m - c)).max())
+        return cls(centre, far(C, centre), unit_centre, far(unit, unit_centre) if len(unit) else -2.0)
+
+
 class BlockSearcher:
     """Top-k of a fixed query matrix against a stream of corpus blocks.
 
@@ -116,29 +137,52 @@ class BlockSearcher:
         self.score = np.full((len(q_ids), k), -np.inf)
         self.doc = np.full((len(q_ids), k), None, dtype=object)
 
-    def add(self, d_ids: np.ndarray, C: np.ndarray) -> None:
-        if len(d_ids) == 0 or len(self.q_ids) == 0:
+    def best_in(self, block: Bounds) -> np.ndarray:
+        """By query, no smaller than its score (in screening units) with any
+        vector of a block: by the triangle inequality around the block's centre."""
+        if self.metric == "cosine":
+            with np.errstate(divide="ignore", invalid="ignore"):
+                unit = self.Q / np.sqrt(self.qn)[:, None]
+            top = np.minimum(unit @ block.unit_centre + block.unit_radius, 1.0)
+        elif self.metric == "dot":
+            top = self.Q @ block.centre + np.sqrt(self.qn) * block.radius
+        else:
+            apart = self.Q - block.centre
+            top = -np.maximum(np.sqrt(np.einsum("ij,ij->i", apart, apart)) - block.radius, 0.0) ** 2
+        return top + 1e-9 * (1.0 + np.abs(top))
+
+    def open_for(self, top: np.ndarray) -> np.ndarray:
+        """The queries whose k best so far a score of ``top`` may still change."""
+        kth = self.score[:, -1]
+        return np.flatnonzero(~(top < kth - _margin(kth)))
+
+    def add(self, d_ids: np.ndarray, C: np.ndarray, queries: np.ndarray | None = None) -> None:
+        """Score a block of documents against all queries, or against some (sorted)."""
+        n = len(self.q_ids) if queries is None else len(queries)
+        if len(d_ids) == 0 or n == 0:
             return
         cn = seq_sq_norms(C)
         rows = max(1, self.chunk_bytes // (8 * max(1, len(d_ids))))
         self_pos = self.q_index.get_indexer(d_ids) if self.exclude_self else None
-        for s in range(0, len(self.q_ids), rows):
-            e = min(len(self.q_ids), s + rows)
-            G = self.Q[s:e] @ C.T
+        for s in range(0, n, rows):
+            own = slice(s, min(n, s + rows)) if queries is None else queries[s:s + rows]
+            at = np.arange(len(self.q_ids))[own]
+            G = self.Q[own] @ C.T
             if self.metric == "dot":
                 S = G
             elif self.metric == "cosine":
                 with np.errstate(divide="ignore", invalid="ignore"):
-                    S = G / (np.sqrt(self.qn[s:e])[:, None] * np.sqrt(cn)[None, :])
+                    S = G / (np.sqrt(self.qn[own])[:, None] * np.sqrt(cn)[None, :])
             else:
-                S = -(self.qn[s:e][:, None] + cn[None, :] - 2.0 * G)
+                S = -(self.qn[own][:, None] + cn[None, :] - 2.0 * G)
             if self_pos is not None:
-                hit = np.nonzero((self_pos >= s) & (self_pos < e))[0]
-                S[self_pos[hit] - s, hit] = -np.inf
-            qi, ci = screen(S, self.k, self.score[s:e, -1])
+                place = np.searchsorted(at, self_pos)
+                hit = np.flatnonzero((place < len(at)) & (at[np.minimum(place, len(at) - 1)] == self_pos))
+                S[place[hit], hit] = -np.inf
+            qi, ci = screen(S, self.k, self.score[own, -1])
             if len(qi) == 0:
                 continue
-            qi = qi + s
+            qi = at[qi]
             ex = round_half_up(exact_scores(self.Q, C, qi, ci, self.metric, self.qn, cn))
             ok = ~np.isnan(ex)
             self._merge(qi[ok], self.sign * ex[ok], d_ids[ci[ok]])

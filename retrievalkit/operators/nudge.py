@@ -9,8 +9,9 @@ answer it is, u = G / |G|, t = u.D.
   D' = u when t >= 1 - gamma^2/2, else D' = c D + s z with
   c = 1 - gamma^2/2, s = gamma sqrt(1 - gamma^2/4), z = unit(u - t D);
   z undefined (u = -D) leaves D unchanged.
-* gamma: the grid value with the best top-1 accuracy on validation queries,
-  ties to the smaller; 0 (no change) is always a candidate.
+* gamma: the value with the best top-1 accuracy on validation queries, ties to
+  the smaller; 0 (no change) is always a candidate. ``choose_gamma`` tries the
+  values of a grid, ``gamma_steps`` finds the best of all values.
 """
 
 from __future__ import annotations
@@ -25,7 +26,9 @@ from pyspark.sql import functions as F
 
 from retrievalkit.functions.vectors import axpy, dot, l2_normalize, sq_l2, to_double
 from retrievalkit.operators import _kernel
-from retrievalkit.operators.search import query_blocks, search_blocks
+from retrievalkit.operators.gamma_steps import gamma_steps
+from retrievalkit.operators.search import GROUP_BYTES, _group_rows, search_blocks
+from retrievalkit.operators.vector_files import VectorBlocks, pair_tasks, write_vectors
 
 KINDS = ("nudge-n", "nudge-m")
 DEFAULT_GRID = tuple(round(0.1 * i, 1) for i in range(0, 21))   # 0.0 .. 2.0
@@ -192,23 +195,23 @@ class _GammaScan:
             names=["gamma", "query_id", "doc_id", "score"])
 
 
-def _scan_gammas(touched: DataFrame, block, grid: list[float], kind: str) -> DataFrame:
-    handle, dim = block.handle, block.dim
+def _scan_gammas(queries: VectorBlocks, touched: DataFrame, grid: list[float], kind: str) -> DataFrame:
+    """``touched`` (id, vec, u) against the queries: a block holds both vectors
+    of its documents side by side."""
+    dim = queries.dim
+    both = touched.where("u is not null").select("id", F.when(
+        (F.size("vec") == dim) & (F.size("u") == dim), F.concat("vec", "u")).alias("vec"))
+    docs = write_vectors(both)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, Q = handle.value
+    def work(ids: np.ndarray, Q: np.ndarray, blocks) -> Iterator[pa.RecordBatch]:
         scan = _GammaScan(ids, Q, grid, kind)
-        for b in batches:
-            names, D = _kernel.usable(b.column("id"), b.column("vec"), dim)
-            same, U = _kernel.usable(b.column("id"), b.column("u"), dim)
-            at = {i: n for n, i in enumerate(same)}
-            both = [(n, at[i]) for n, i in enumerate(names) if i in at]
-            if both:
-                x, y = map(list, zip(*both))
-                scan.add(names[x], D[x], U[y])
+        for block in blocks:
+            names, m = block.vectors("<f8")
+            scan.add(names, m[:, :dim], m[:, dim:])
         yield scan.result()
 
-    return touched.mapInArrow(run, "gamma double, query_id string, doc_id string, score double")
+    return pair_tasks(queries, dim, _group_rows(dim, len(grid), GROUP_BYTES), docs, 2 * dim,
+                      "gamma double, query_id string, doc_id string, score double", work)
 
 
 def search_metric(kind: str) -> str:
@@ -241,11 +244,10 @@ def choose_gamma(doc_vecs: DataFrame, targets: DataFrame, val_query_vecs: DataFr
     if competitors is not None:
         fixed = fixed.select("id", to_double("vec").alias("vec")).unionByName(
             competitors.select("id", to_double("vec").alias("vec")))
-    blocks = query_blocks(vq, len(grid))
+    blocks = write_vectors(vq)
     gammas = F.explode(F.array(*[F.lit(g) for g in grid])).alias("gamma")
-    found = search_blocks(blocks, fixed, 1, metric).select(gammas, "query_id", "doc_id", "score")
-    for block in blocks:
-        found = found.unionByName(_scan_gammas(touched, block, grid, kind))
+    found = search_blocks(blocks, write_vectors(fixed), 1, metric).select(gammas, "query_id", "doc_id", "score")
+    found = found.unionByName(_scan_gammas(blocks, touched, grid, kind))
     best1 = found.groupBy("gamma", "query_id").agg(
         F.min(F.struct((-F.col("score")).alias("s"), "doc_id")).alias("top")).select("gamma", "query_id", "top.doc_id")
     hits = best1.join(rel, ["query_id", "doc_id"], "left_semi").groupBy("gamma").agg(F.count("*").alias("hits"))
@@ -262,17 +264,24 @@ def best_gamma(report: DataFrame) -> float:
     return 0.0 if row is None else float(row["gamma"])
 
 
+def _gamma_report(doc_vecs, targets, vq, vrel, kind, grid, competitors=None) -> DataFrame:
+    if grid is None:
+        return gamma_steps(doc_vecs, targets, vq, vrel, kind, competitors=competitors)
+    return choose_gamma(doc_vecs, targets, vq, vrel, kind, grid, competitors)
+
+
 def nudge_finetune(doc_vecs: DataFrame, query_vecs: DataFrame, qrels: DataFrame,
                    splits: DataFrame, kind: str = "nudge-n", train_split: str = "train",
                    val_split: str = "val", grid=DEFAULT_GRID):
     """N1 on the training split, N4 on the validation split, N2/N3 with
-    the chosen gamma. Returns ``(tuned vectors, gamma, report)``."""
+    the chosen gamma, by ``grid`` or, if that is None, of all values. Returns
+    ``(tuned vectors, gamma, report)``."""
     train = splits.where(F.col("split") == train_split).select("query_id")
     val = splits.where(F.col("split") == val_split).select("query_id")
     targets = nudge_targets(query_vecs, qrels, train).checkpoint(eager=True)
     vq = query_vecs.join(val.select(F.col("query_id").alias("id")), "id", "left_semi")
     vrel = qrels.join(val, "query_id", "left_semi")
-    report = choose_gamma(doc_vecs, targets, vq, vrel, kind, grid).checkpoint(eager=True)
+    report = _gamma_report(doc_vecs, targets, vq, vrel, kind, grid).checkpoint(eager=True)
     gamma = best_gamma(report)
     return apply_nudge(doc_vecs, targets, gamma, kind), gamma, report
 
@@ -294,8 +303,8 @@ def nudge_insert(existing_vecs: DataFrame, new_doc_vecs: DataFrame, query_vecs:
     targets = nudge_targets(query_vecs, q_new, train).checkpoint(eager=True)
     vq = query_vecs.join(val.select(F.col("query_id").alias("id")), "id", "left_semi")
     # validated on queries that the new documents answer
-    report = choose_gamma(new_doc_vecs, targets, vq, q_new.join(val, "query_id", "left_semi"),
-                          kind, grid, competitors=existing_vecs).checkpoint(eager=True)
+    report = _gamma_report(new_doc_vecs, targets, vq, q_new.join(val, "query_id", "left_semi"),
+                           kind, grid, competitors=existing_vecs).checkpoint(eager=True)
     gamma = best_gamma(report)
     tuned = apply_nudge(new_doc_vecs, targets, gamma, kind)
     out = existing_vecs.select("id", to_double("vec").alias("vec")).unionByName(tuned)
@@ -311,4 +320,4 @@ def changed_vectors(before: DataFrame, after: DataFrame) -> DataFrame:
 
 
 __all__ = ["nudge_targets", "nudge_m", "nudge_n", "apply_nudge", "choose_gamma",
-           "best_gamma", "nudge_finetune", "nudge_insert", "changed_vectors"]
+           "gamma_steps", "best_gamma", "nudge_finetune", "nudge_insert", "changed_vectors"]

@@ -1,12 +1,11 @@
 """Retrieval: exact top-k search (R1), scored runs (R2), run checks (R3),
 hard-negative mining (R4) and reranking from pair-score tables (R5, R6).
 
-R1 has one physical form: a block of queries is broadcast (its size is checked
-before anything is collected) and the corpus is scanned in place by
-``mapInArrow``, so the corpus is never shuffled. Each task keeps only its k best
-per query, so the shuffle that follows carries ``k x |Q| x partitions`` rows
-instead of ``|Q| x |C|``. A query side beyond the bound is cut by a hash of its
-ids into several blocks, one scan each.
+R1 writes both sides as block files in the shared folder (``vector_files``), and
+its tasks are pairs of a group of queries and a strip of document blocks. A task
+keeps the k best per query and skips blocks that cannot change them, so what is
+shuffled is at most ``k x |Q| x strips`` rows; no vector passes the driver, and
+the plan is the same for any number of blocks.
 
 Vectors that are null, hold a null or non-finite component, or differ in length
 from the queries (their most frequent length) take no part: such a query has no
@@ -18,32 +17,28 @@ plans as a partial ``WindowGroupLimit`` before the exchange.
 
 from __future__ import annotations
 
-import math
-from dataclasses import dataclass
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from retrievalkit.functions.keys import sample_key
 from retrievalkit.operators import _kernel
-from retrievalkit.session import ship_package
+from retrievalkit.operators.vector_files import BlockFile, VectorBlocks, pair_tasks, write_vectors
 
-KNN_SCHEMA = T.StructType([
-    T.StructField("query_id", T.StringType()),
-    T.StructField("doc_id", T.StringType()),
-    T.StructField("score", T.DoubleType()),
-])
+_FOUND = "query_id string, doc_id string, score double"
+_SCANNED = "pairs long, scored long, blocks long, read long"
 
-BROADCAST_LIMIT_BYTES = 32 << 20   # float64 bytes of one block of queries
+GROUP_BYTES = 32 << 20             # float64 bytes of one group of queries
 MAX_STATE_ROWS = 2_000_000         # per task: at most (queries x k) candidate rows kept
-_FILL = 0.8                        # hash blocks are filled to this share of the bounds on average
+_WINDOW = 64                       # block files a task has open at a time
 
 
 def knn(queries: DataFrame, corpus: DataFrame, k: int, metric: str = "cosine", *,
         q_id: str = "id", q_vec: str = "vec", c_id: str = "id", c_vec: str = "vec",
-        exclude_self: bool = False,
-        broadcast_limit_bytes: int = BROADCAST_LIMIT_BYTES) -> DataFrame:
+        exclude_self: bool = False, group_bytes: int = GROUP_BYTES, clusters: int = 0) -> DataFrame:
     """Exact top-k of every query vector over every corpus vector.
 
     Output ``(query_id, doc_id, score, rank)``; ``score`` is cosine, dot or
@@ -51,14 +46,14 @@ def knn(queries: DataFrame, corpus: DataFrame, k: int, metric: str = "cosine", *
     lowest distance), ties by ``doc_id`` ascending. Fewer than k corpus
     vectors give fewer rows. ``exclude_self`` drops pairs whose ids are equal
     (leave-one-out search of a collection against itself). Zero vectors have
-    no cosine and are never returned for that metric.
+    no cosine and are never returned for that metric. ``clusters`` puts both
+    sides in order by that many k-means centres first (worth it from some
+    hundred blocks up); the rows are the same.
     """
-    if metric not in _kernel.METRICS:
-        raise ValueError(f"metric must be one of {_kernel.METRICS}")
-    blocks = query_blocks(queries, k, q_id=q_id, q_vec=q_vec,
-                          broadcast_limit_bytes=broadcast_limit_bytes)
-    return search_blocks(blocks, corpus, k, metric, c_id=c_id, c_vec=c_vec,
-                         exclude_self=exclude_self)
+    qb = write_vectors(queries, q_id, q_vec, clusters=clusters)
+    same = queries is corpus and (q_id, q_vec) == (c_id, c_vec)
+    cb = qb if same else write_vectors(corpus, c_id, c_vec, clusters=clusters)
+    return search_blocks(qb, cb, k, metric, exclude_self=exclude_self, group_bytes=group_bytes)
 
 
 def _rank(cands: DataFrame, k: int, metric: str) -> DataFrame:
@@ -69,72 +64,75 @@ def _rank(cands: DataFrame, k: int, metric: str) -> DataFrame:
             .where(F.col("rank") <= k))
 
 
-@dataclass(frozen=True)
-class BroadcastQueries:
-    """A block of query vectors shipped once to every executor."""
-
-    handle: object      # pyspark Broadcast of (ids ndarray, float64 matrix)
-    dim: int
-
-
-def query_blocks(queries: DataFrame, k: int, *, q_id: str = "id", q_vec: str = "vec",
-                 broadcast_limit_bytes: int = BROADCAST_LIMIT_BYTES) -> list[BroadcastQueries]:
-    """The query side as broadcast blocks, ready for several searches. One
-    aggregate gives size and dimension; the driver holds one block at a time."""
-    if k <= 0:
-        raise ValueError("k must be positive")
-    spark = queries.sparkSession
-    ship_package(spark)
-    qv = queries.select(F.col(q_id).cast("string").alias("id"), F.col(q_vec).alias("vec")).where(
-        "vec is not null and size(vec) > 0").persist()
-    try:
-        sizes = qv.groupBy(F.size("vec").alias("d")).count().orderBy(F.desc("count"), F.desc("d")).first()
-        if sizes is None:
-            return []
-        dim, n = int(sizes["d"]), int(sizes["count"])
-        parts = max(1, math.ceil(n * dim * 8 / (_FILL * broadcast_limit_bytes)),
-                    math.ceil(n * k / (_FILL * MAX_STATE_ROWS)))
-        if n * dim * 8 <= broadcast_limit_bytes and n * k <= MAX_STATE_ROWS:
-            parts = 1
-        out = []
-        for b in range(parts):
-            tbl = qv.where(f"size(vec) = {dim} and pmod(xxhash64(id), {parts}) = {b}").toArrow()
-            out.append(BroadcastQueries(spark.sparkContext.broadcast(
-                _kernel.usable(tbl.column("id"), tbl.column("vec"), dim)), dim))
-        return out
-    finally:
-        qv.unpersist()
-
-
-def search_blocks(blocks: list[BroadcastQueries], corpus: DataFrame, k: int, metric: str = "cosine", *,
-                  c_id: str = "id", c_vec: str = "vec", exclude_self: bool = False) -> DataFrame:
-    """R1 against query blocks already broadcast; same output as ``knn``. The
-    corpus is scanned once per block."""
-    cv = corpus.select(F.col(c_id).cast("string").alias("id"), F.col(c_vec).alias("vec"))
-    cands = corpus.sparkSession.createDataFrame([], KNN_SCHEMA)
-    for n, block in enumerate(blocks):
-        found = _scan_corpus(block, cv, k, metric, exclude_self)
-        cands = cands.unionByName(found) if n else found
-    return _rank(cands, k, metric)
-
-
-def _scan_corpus(block: BroadcastQueries, cv: DataFrame, k, metric, exclude_self) -> DataFrame:
-    handle, dim = block.handle, block.dim
-
-    def run(batches):
-        import pyarrow as pa
-
-        ids, mat = handle.value
-        searcher = _kernel.BlockSearcher(ids, mat, k, metric, exclude_self)
-        for b in batches:
-            searcher.add(*_kernel.usable(b.column("id"), b.column("vec"), dim))
+def _group_rows(dim: int, k: int, group_bytes: int) -> int:
+    return max(1, min(group_bytes // (8 * max(dim, 1)), MAX_STATE_ROWS // k))
+
+
+def _searched(k: int, metric: str, exclude_self: bool, item: str, report: bool):
+    """A task's work: its queries against the blocks of its strip, the nearest
+    of each window of blocks first."""
+    def work(ids: np.ndarray, Q: np.ndarray, blocks: Iterator[BlockFile]) -> Iterator[pa.RecordBatch]:
+        searcher = _kernel.BlockSearcher(ids, Q, k, metric, exclude_self)
+        pairs = scored = seen = read = 0
+
+        def scan(window: list[BlockFile]) -> None:
+            nonlocal pairs, scored, read
+            tops = [searcher.best_in(b.ball()) for b in window]
+            for i in sorted(range(len(window)), key=lambda i: -tops[i].max(initial=-np.inf)):
+                some = searcher.open_for(tops[i])
+                pairs += len(ids) * window[i].rows
+                if len(some):
+                    scored += len(some) * window[i].rows
+                    read += 1
+                    searcher.add(*window[i].vectors(item), None if len(some) == len(ids) else some)
+
+        window: list[BlockFile] = []
+        for block in blocks:
+            seen += 1
+            window.append(block)
+            if len(window) == _WINDOW:
+                scan(window)
+                window = []
+        scan(window)
+        if report:
+            yield pa.RecordBatch.from_pydict({"pairs": [pairs], "scored": [scored], "blocks": [seen], "read": [read]})
+            return
         out = searcher.result()
         if len(out):
             yield pa.RecordBatch.from_pandas(out, schema=pa.schema([
                 ("query_id", pa.string()), ("doc_id", pa.string()), ("score", pa.float64())]),
                 preserve_index=False)
 
-    return cv.mapInArrow(run, KNN_SCHEMA)
+    return work
+
+
+def _checked(k: int, metric: str) -> None:
+    if metric not in _kernel.METRICS:
+        raise ValueError(f"metric must be one of {_kernel.METRICS}")
+    if k <= 0:
+        raise ValueError("k must be positive")
+
+
+def search_blocks(queries: VectorBlocks, corpus: VectorBlocks, k: int, metric: str = "cosine", *,
+                  exclude_self: bool = False, group_bytes: int = GROUP_BYTES) -> DataFrame:
+    """R1 between vectors already written as blocks; same output as ``knn``."""
+    _checked(k, metric)
+    dim = queries.dim
+    found = pair_tasks(queries, dim, _group_rows(dim, k, group_bytes), corpus, dim, _FOUND,
+                       _searched(k, metric, exclude_self, corpus.item, False))
+    return _rank(found, k, metric)
+
+
+def scan_report(queries: VectorBlocks, corpus: VectorBlocks, k: int, metric: str = "cosine", *,
+                exclude_self: bool = False, group_bytes: int = GROUP_BYTES) -> DataFrame:
+    """What a search of these blocks looks at: ``(pairs, scored, blocks, read)``,
+    the pairs of vectors there are and those that were scored, the (group of
+    queries, block) pairs and the blocks that were read. One row."""
+    _checked(k, metric)
+    dim = queries.dim
+    tasks = pair_tasks(queries, dim, _group_rows(dim, k, group_bytes), corpus, dim, _SCANNED,
+                       _searched(k, metric, exclude_self, corpus.item, True))
+    return tasks.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("pairs", "scored", "blocks", "read")])
 
 
 def similarity_from_distance(run: DataFrame, col: str = "score") -> DataFrame:

@@ -334,3 +334,35 @@ def nudge_accuracy_sql(grid, kind: str = "nudge-n", split: str = "val",
                      count(*) AS n_queries
               FROM top1 LEFT JOIN vrel v USING (query_id, doc_id) GROUP BY gamma),
       acc_best AS (SELECT *, row_number() OVER (ORDER BY accuracy DESC, gamma ASC) = 1 AS best FROM acc)"""
+
+
+def gamma_steps_m_sql(far: float = 2.0) -> str:
+    """Steps of NUDGE-M's validation accuracy over CTEs of ``nudge_base``: the
+    only relevant document of a query is a line, which every other line beats on
+    one side of a crossing, so it leads between the last crossing from below and
+    the first from above."""
+    dot = lambda a, b: f"list_dot_product({a}, {b})"
+    return f"""
+      vrel AS (SELECT DISTINCT r.query_id, r.doc_id FROM tqrels r JOIN tsplits s USING (query_id)
+               WHERE r.relevance = 1 AND s.split = 'val'),
+      lines AS (SELECT q.id AS query_id, d.id AS doc_id, {dot('q.vec::DOUBLE[]', 'd.vec::DOUBLE[]')} AS a,
+                       coalesce({dot('q.vec::DOUBLE[]', 'ut.u')}, 0.0) AS b
+                FROM qv q, cv d LEFT JOIN ut ON ut.doc_id = d.id
+                WHERE q.id IN (SELECT query_id FROM vrel) AND {dot('q.vec::DOUBLE[]', 'q.vec::DOUBLE[]')} > 0),
+      own AS (SELECT l.* FROM lines l JOIN vrel USING (query_id, doc_id)),
+      rivals AS (SELECT o.query_id, l.a - o.a AS da, l.b - o.b AS db, l.doc_id < o.doc_id AS first
+                 FROM own o JOIN lines l ON l.query_id = o.query_id AND l.doc_id <> o.doc_id),
+      ends AS (SELECT query_id,
+                 max(CASE WHEN db < -1e-12 THEN -da / db WHEN abs(db) <= 1e-12 AND (da > 1e-12 OR (abs(da) <= 1e-12 AND first)) THEN 1e9
+                          ELSE 0 END) AS lo,
+                 min(CASE WHEN db > 1e-12 THEN -da / db ELSE {far} END) AS hi,
+                 bool_or(da > 1e-12 OR (abs(da) <= 1e-12 AND first)) AS lost
+               FROM rivals GROUP BY query_id),
+      leads AS (SELECT greatest(lo, 0) AS lo, least(hi, {far}) AS hi FROM ends WHERE least(hi, {far}) - greatest(lo, 0) > 1e-9),
+      marks AS (SELECT round(x, 9) AS x, sum(c) AS c FROM (
+                  SELECT lo AS x, 1 AS c FROM leads UNION ALL SELECT hi, -1 FROM leads
+                  UNION ALL SELECT 0.0, 0 UNION ALL SELECT {far}, 0) t GROUP BY 1),
+      walked AS (SELECT x AS lo, lead(x) OVER (ORDER BY x) AS hi, CAST(sum(c) OVER (ORDER BY x) AS BIGINT) AS hits FROM marks),
+      nq AS (SELECT count(DISTINCT query_id) AS n FROM vrel),
+      steps AS (SELECT lo, hi, hits FROM walked WHERE hi - lo > 1e-9
+                UNION ALL SELECT 0.0, 0.0, (SELECT count(*) FROM ends WHERE NOT lost))"""

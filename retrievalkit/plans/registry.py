@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from retrievalkit.plans import oracle_sql as O
 from retrievalkit.plans import vector_eval as V
-from retrievalkit.session import ensure_checkpoint_dir, ship_package
+from retrievalkit.session import ensure_checkpoint_dir, materialised, ship_package
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -46,9 +46,16 @@ for _m in ("cosine", "dot", "sq_l2"):
 
 @register("R1_knn_query_blocks", O.knn_label_run("cosine"))
 def r1_blocks(spark, sf):
-    """Cosine search whose query side is beyond the broadcast bound (here 32 kB),
-    so several blocks of queries scan the corpus in place."""
-    return V.label_run(spark, sf, "cosine", broadcast_limit_bytes=32 << 10)
+    """Cosine search with many groups of queries (of 32 kB each): one task a
+    group and strip of the corpus blocks."""
+    return V.label_run(spark, sf, "cosine", group_bytes=32 << 10)
+
+
+@register("R1_knn_clustered_blocks", O.knn_label_run("cosine"))
+def r1_clustered(spark, sf):
+    """Cosine search over blocks in k-means order, which skips the blocks whose
+    ball lies too far away; the rows are those of the full scan."""
+    return V.label_run(spark, sf, "cosine", clusters=16)
 
 
 @register("M7_per_query_metrics", O.label_per_query())
@@ -566,10 +573,9 @@ def _round_vec(df, col="vec", digits=9):
 
 
 def _nudge_inputs(spark, sf):
+    """The dataset and its vectors, written once: targets, gamma and moves read them again."""
     t = TX.dataset(spark, sf)
-    qv = TX.query_vectors(t)
-    cv = TX.corpus_vectors(t)
-    return t, qv, cv
+    return t, materialised(TX.query_vectors(t), "query-vectors"), materialised(TX.corpus_vectors(t), "corpus-vectors")
 
 
 def _rv(sql_vec_select: str) -> str:
@@ -638,6 +644,24 @@ for _kind, _tag in (("nudge-n", ""), ("nudge-m", "_m")):
         O.nudge_base() + "," + O.nudge_accuracy_sql(N.DEFAULT_GRID, _kind), _tuned_sql(_kind)))(_finetune(_kind))
 
 
+def _gamma_steps(kind):
+    def run(spark, sf):
+        t, qv, cv = _nudge_inputs(spark, sf)
+        train = t.splits.where("split = 'train'").select("query_id")
+        val = t.splits.where("split = 'val'").select("query_id")
+        steps = N.gamma_steps(cv, N.nudge_targets(qv, t.qrels, train), qv, t.qrels.join(val, "query_id", "left_semi"), kind)
+        return steps.select(F.round("gamma_lo", 6).alias("gamma_lo"), F.round("gamma_hi", 6).alias("gamma_hi"),
+                            "hits", "n_queries", "best")
+    run.__doc__ = f"Validation top-1 hits of every gamma up to 2 as exact steps ({kind}); the first best one flagged."
+    return run
+
+
+register("N4_gamma_steps")(_gamma_steps("nudge-n"))
+register("N4_gamma_steps_m", O.with_(O.nudge_base() + "," + O.gamma_steps_m_sql(), """
+    SELECT round(lo, 6) AS gamma_lo, round(hi, 6) AS gamma_hi, hits, n AS n_queries,
+           row_number() OVER (ORDER BY hits DESC, lo, hi) = 1 AS best FROM steps, nq"""))(_gamma_steps("nudge-m"))
+
+
 @register("N7_changed_vectors", O.with_(O.nudge_base() + f""",
     tn AS ({O.nudge_n_sql(NUDGE_GAMMA)})""", """
     SELECT b.id, round(sqrt(list_reduce(list_transform(list_zip(b.vec::DOUBLE[], a.vec),

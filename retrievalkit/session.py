@@ -83,6 +83,18 @@ def path_exists(spark: SparkSession, path: str) -> bool:
     return jpath.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).exists(jpath)
 
 
+def shared_files(uri: str):
+    """``(file system, path)`` of a file or folder that tasks read or write
+    themselves (pyarrow). Hadoop's ``s3a`` is the library's ``s3``; a scheme that
+    ``pyarrow.fs`` does not know raises."""
+    from pyarrow import fs
+
+    scheme, _, rest = uri.partition("://")
+    if not rest:
+        uri = f"file://{uri.removeprefix('file:')}"
+    return fs.FileSystem.from_uri(f"s3://{rest}" if scheme in ("s3a", "s3n") else uri)
+
+
 def ship_package(spark: SparkSession) -> None:
     """Make ``retrievalkit`` importable in Python workers (``--py-files``
     equivalent), once per SparkContext."""

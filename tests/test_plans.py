@@ -32,7 +32,7 @@ def test_knn_limits_before_the_exchange_and_prunes_the_scan(spark):
 
 def test_queries_beyond_the_bound_scan_the_corpus_in_place(spark):
     v = vecs(spark)
-    p = plan(R.knn(v, v, 10, "dot", broadcast_limit_bytes=64 << 10))   # 500 x 64 x 8 = 250 KiB
+    p = plan(R.knn(v, v, 10, "dot", group_bytes=64 << 10))   # 500 x 64 x 8 = 250 KiB
     scan = p[p.rindex("MapInArrow"):]
     assert p.count("MapInArrow") >= 4 and "CoGroup" not in p
     assert p.split("Physical Plan")[1].split("(1) ")[0].count("Exchange") <= 2   # winners only

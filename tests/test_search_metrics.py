@@ -45,7 +45,7 @@ def test_strategies_equal_brute_force(spark, vecs, metric):
     q = vecs.where("id < '2'")   # a slice of queries, all vectors as corpus
     want = rows(brute_knn(q, vecs, 7, metric, exclude_self=True))
     for limit in (32 << 20, 20 * 64 * 8):     # one block of queries, several
-        got = rows(knn(q, vecs, 7, metric, exclude_self=True, broadcast_limit_bytes=limit))
+        got = rows(knn(q, vecs, 7, metric, exclude_self=True, group_bytes=limit))
         assert got == want, limit
 
 
@@ -65,7 +65,7 @@ def test_bad_vectors_change_no_other_row(spark, metric):
     assert len(want) == 60
     mixed = g.unionByName(b).repartition(3)
     for limit in (32 << 20, 200):
-        assert rows(knn(q.unionByName(b), mixed, 3, metric, broadcast_limit_bytes=limit)) == want
+        assert rows(knn(q.unionByName(b), mixed, 3, metric, group_bytes=limit)) == want
     assert rows(knn(b.where("id in ('n0', 'n6')"), g, 3, metric)) == []
 
 
