@@ -229,6 +229,13 @@ def text_distance_run(split: str | None = None, k: int = 100) -> str:
   trun AS (SELECT run_id, query_id, doc_id, 1.0 / (1.0 + score) AS score, rank FROM drun)"""
 
 
+#: F2: benchmark items as queries over all documents, relevant if contained.
+PASSAGES = """
+  tq AS (SELECT CAST(item_id AS VARCHAR) AS query_id, text, item_id AS ord FROM benchmark),
+  tc AS (SELECT CAST(doc_id AS VARCHAR) AS doc_id, text, doc_id AS ord FROM documents),
+  tqrels AS (SELECT query_id, doc_id, 1 AS relevance FROM tq JOIN tc ON contains(tc.text, tq.text))"""
+
+
 def text_ctes(split: str | None = None, k: int = 100, dim: int = 64) -> str:
     return TEXT_BASE + text_vectors(split, dim) + text_distance_run(split, k)
 
@@ -269,12 +276,13 @@ def _dbl(x: float) -> str:
     return f"CAST('{float(x)!r}' AS DOUBLE)"
 
 
-def nudge_base(dim: int = 64, doc_filter: str | None = None) -> str:
+def nudge_base(dim: int = 64, doc_filter: str | None = None, more: str = "", splits: str = "tsplits") -> str:
     """CTEs: qv (all queries), cv (corpus), tsplits, tgt(doc_id, g), ut(doc_id, u);
-    ``doc_filter`` limits which documents get targets (N6: the new ones)."""
+    ``doc_filter`` limits which documents get targets (N6: the new ones);
+    ``splits``: the CTE of splits to use, which ``more`` may define."""
     extra = f" AND ({doc_filter})" if doc_filter else ""
-    return TEXT_BASE + text_vectors(None, dim) + f""",
-  trpos AS (SELECT DISTINCT r.query_id, r.doc_id FROM tqrels r JOIN tsplits s USING (query_id)
+    return TEXT_BASE + more + text_vectors(None, dim) + f""",
+  trpos AS (SELECT DISTINCT r.query_id, r.doc_id FROM tqrels r JOIN {splits} s USING (query_id)
             WHERE r.relevance = 1 AND s.split = 'train'{extra}),
   tgt AS (SELECT doc_id, list(s ORDER BY i) AS g FROM (
             SELECT p.doc_id, r.i, sum(q.vec[r.i]::DOUBLE) AS s
@@ -311,9 +319,10 @@ def nudge_n_sql(gamma: float, src: str = "cv") -> str:
 
 
 def nudge_accuracy_sql(grid, kind: str = "nudge-n", split: str = "val",
-                       doc_filter: str | None = None) -> str:
+                       doc_filter: str | None = None, splits: str = "tsplits", tag: str = "") -> str:
     """Rows (gamma, accuracy, n_queries) over CTEs of ``nudge_base``; a query
-    without any score is a miss, not left out. ``doc_filter`` as there."""
+    without any score is a miss, not left out. ``doc_filter`` and ``splits`` as
+    there; the CTEs' names end in ``tag``."""
     extra = f" AND ({doc_filter})" if doc_filter else ""
     metric = "cosine" if kind == "nudge-n" else "dot"
     parts = []
@@ -324,16 +333,16 @@ def nudge_accuracy_sql(grid, kind: str = "nudge-n", split: str = "val",
         SELECT q.id AS query_id, d.id AS doc_id, round({score_sql(metric, 'q.vec::DOUBLE[]', 'd.vec')}, 6) AS s,
                row_number() OVER (PARTITION BY q.id ORDER BY
                  round({score_sql(metric, 'q.vec::DOUBLE[]', 'd.vec')}, 6) DESC NULLS LAST, d.id) AS r
-        FROM vq q, ({tuned}) d) t WHERE r = 1""")
+        FROM vq{tag} q, ({tuned}) d) t WHERE r = 1""")
     return f"""
-      vrel AS (SELECT DISTINCT r.query_id, r.doc_id FROM tqrels r JOIN tsplits s USING (query_id)
+      vrel{tag} AS (SELECT DISTINCT r.query_id, r.doc_id FROM tqrels r JOIN {splits} s USING (query_id)
                WHERE r.relevance = 1 AND s.split = '{split}'{extra}),
-      vq AS (SELECT * FROM qv WHERE id IN (SELECT query_id FROM vrel)),
-      top1 AS ({" UNION ALL ".join(parts)}),
-      acc AS (SELECT gamma, avg(CASE WHEN v.doc_id IS NULL THEN 0.0 ELSE 1.0 END) AS accuracy,
+      vq{tag} AS (SELECT * FROM qv WHERE id IN (SELECT query_id FROM vrel{tag})),
+      top1{tag} AS ({" UNION ALL ".join(parts)}),
+      acc{tag} AS (SELECT gamma, avg(CASE WHEN v.doc_id IS NULL THEN 0.0 ELSE 1.0 END) AS accuracy,
                      count(*) AS n_queries
-              FROM top1 LEFT JOIN vrel v USING (query_id, doc_id) GROUP BY gamma),
-      acc_best AS (SELECT *, row_number() OVER (ORDER BY accuracy DESC, gamma ASC) = 1 AS best FROM acc)"""
+              FROM top1{tag} LEFT JOIN vrel{tag} v USING (query_id, doc_id) GROUP BY gamma),
+      acc_best{tag} AS (SELECT *, row_number() OVER (ORDER BY accuracy DESC, gamma ASC) = 1 AS best FROM acc{tag})"""
 
 
 def gamma_steps_m_sql(far: float = 2.0) -> str:

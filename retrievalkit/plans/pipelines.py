@@ -24,6 +24,7 @@ from retrievalkit.operators import metrics as M
 from retrievalkit.operators import nudge as N
 from retrievalkit.operators import sampling as U
 from retrievalkit.operators import search as R
+from retrievalkit.operators.vector_files import write_vectors
 from retrievalkit.operators import synth as Q
 from retrievalkit.operators import training as T
 from retrievalkit.session import materialised
@@ -159,3 +160,27 @@ def tune_and_evaluate(tables: RagTables, encoder_factory: Callable, kind: str =
     qrels = M.build_qrels(tables.qrels)
     pq = M.per_query_metrics(M.judge_run(run, qrels), M.num_relevant(qrels), ks)
     return M.compute_metrics(pq, ks), tuned, gamma
+
+
+def compare_tuned(tables: RagTables, query_vecs: DataFrame, doc_vecs: DataFrame, *, train_split: str = "train",
+                  dev_split: str = "dev", test_split: str = "test", grid=N.DEFAULT_GRID, k: int = 10,
+                  ks=(10,)) -> DataFrame:
+    """Entry C, side by side: the corpus as it is and tuned by NUDGE-M and NUDGE-N
+    (targets from the train split, gamma chosen on the dev split; ``grid=None``
+    takes the best of all values), searched by the test split's queries, each
+    run next to the untuned one: ``(run_id, metric, k, value, base_value,
+    delta)``. Both vector tables are read several times: pass written ones."""
+    asked = tables.splits.where(F.col("split") == test_split).select(F.col("query_id").alias("id"))
+    queries = write_vectors(query_vecs.join(asked, "id", "left_semi"))
+    runs = [("none", "cosine", doc_vecs)]
+    for kind in N.KINDS:
+        tuned, _, _ = N.nudge_finetune(doc_vecs, query_vecs, tables.qrels, tables.splits, kind, train_split, dev_split, grid)
+        runs.append((kind, N.search_metric(kind), tuned))
+    run = None
+    for name, metric, docs in runs:
+        found = R.search_blocks(queries, write_vectors(docs), k, metric).select(
+            F.lit(name).alias("run_id"), "query_id", "doc_id", "score", "rank")
+        run = found if run is None else run.unionByName(found)
+    qrels = M.build_qrels(tables.qrels)
+    pq = M.per_query_metrics(M.judge_run(materialised(run, "runs"), qrels), M.num_relevant(qrels), ks)
+    return M.compare_runs(M.compute_metrics(pq, ks), "none", ks)

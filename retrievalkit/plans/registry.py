@@ -347,7 +347,7 @@ _PAIR128 = (O.text_vectors(None, 128, "qv128", "cv128") + """,
 def r5(spark, sf):
     """First 100 candidates re-scored by a 128-bucket cosine pair scorer and re-sorted."""
     t = TX.dataset(spark, sf, splits=False)
-    run = TX.run(t)
+    run = materialised(TX.run(t), "run")
     ps = TX.pair_scores(R.rerank_pairs(run, t.queries, t.corpus), t)
     return R.rerank(run, ps)
 
@@ -387,6 +387,25 @@ def m9(spark, sf):
     return TX.run_benchmark(TX.dataset(spark, sf), "val")
 
 
+@register("M1_passage_qrels", """
+    SELECT CAST(item_id AS VARCHAR) AS query_id, CAST(doc_id AS VARCHAR) AS doc_id, 1 AS relevance
+    FROM benchmark b JOIN documents d ON contains(d.text, b.text)""")
+def m1_passages(spark, sf):
+    """Which documents contain which benchmark item: the relevance of the passage dataset."""
+    return testdata.passages(spark, sf).qrels
+
+
+@register("M9_run_benchmark_passages", O.with_(O.PASSAGES + O.text_vectors() + O.text_distance_run(), O.metrics_from(
+    O.per_query_from(
+        "SELECT r.*, CASE WHEN q.doc_id IS NULL THEN 0 ELSE 1 END AS rel FROM trun r "
+        "LEFT JOIN tqrels q USING (query_id, doc_id)",
+        "SELECT query_id, count(DISTINCT doc_id) AS num_rel FROM tqrels GROUP BY query_id", digits=None))))
+def m9_passages(spark, sf):
+    """Every benchmark item as a query over all documents, end to end: relevance by
+    containment, embed, search top-100, score at 1,3,5,10."""
+    return TX.run_benchmark(testdata.passages(spark, sf), None)
+
+
 @register("M10_compare_runs", O.with_(
     "x_ AS (" + O.label_metrics("cosine") + " UNION ALL " + O.label_metrics("dot")
     + " UNION ALL " + O.label_metrics("sq_l2") + """),
@@ -676,6 +695,42 @@ def n7(spark, sf):
     return round_doubles(N.changed_vectors(cv, N.nudge_n(cv, tg, NUDGE_GAMMA)), 9)
 
 
+def _compared_sql() -> str:
+    ctes = [O.nudge_base(more=O.dev_sql(SEED, 0.5), splits="tdev")]
+    for kind, tag in (("nudge-n", "_n"), ("nudge-m", "_m")):
+        ctes.append(O.nudge_accuracy_sql(N.DEFAULT_GRID, kind, "dev", splits="tdev", tag=tag))
+        each = " UNION ALL ".join(f"SELECT {O._dbl(g)} AS gamma, * FROM ({O.nudge_n_sql(g) if tag == '_n' else O.nudge_m_sql(O._dbl(g))}) x"
+                                  for g in N.DEFAULT_GRID)
+        ctes.append(f"moved{tag} AS (SELECT id, vec FROM ({each}) u WHERE gamma = (SELECT gamma FROM acc_best{tag} WHERE best))")
+    ctes.append("moved AS (SELECT id, vec::DOUBLE[] AS vec FROM cv)")
+    runs = " UNION ALL ".join(f"""
+      SELECT '{name}' AS run_id, q.id AS query_id, d.id AS doc_id,
+             round({O.score_sql(metric, 'q.vec::DOUBLE[]', 'd.vec')}, 6) AS score FROM qv q, moved{tag} d
+      WHERE q.id IN (SELECT query_id FROM tdev WHERE split = 'test')"""
+                              for name, metric, tag in (("none", "cosine", ""), ("nudge-n", "cosine", "_n"), ("nudge-m", "dot", "_m")))
+    ctes.append(f"""runs AS (SELECT * FROM (
+        SELECT *, row_number() OVER (PARTITION BY run_id, query_id ORDER BY score DESC, doc_id) AS rank
+        FROM ({runs}) s WHERE score IS NOT NULL) r WHERE rank <= 10)""")
+    per_query = O.per_query_from(
+        "SELECT r.*, CASE WHEN q.doc_id IS NULL THEN 0 ELSE 1 END AS rel FROM runs r "
+        "LEFT JOIN (SELECT DISTINCT query_id, doc_id FROM tqrels WHERE relevance = 1) q USING (query_id, doc_id)",
+        "SELECT query_id, count(DISTINCT doc_id) AS num_rel FROM tqrels WHERE relevance = 1 GROUP BY query_id", (10,), None)
+    ctes.append(f"wide AS ({O.metrics_from(per_query, (10,))})")
+    ctes.append("""long AS (SELECT run_id, replace(name, '_at_10', '') AS metric, 10 AS k, value FROM (
+        UNPIVOT (SELECT * EXCLUDE (n_run_queries, n_judged_queries) FROM wide) ON COLUMNS(* EXCLUDE (run_id)) INTO NAME name VALUE value) t)""")
+    return O.with_(",".join(ctes), """SELECT a.run_id, a.metric, a.k, a.value, b.value AS base_value, round(a.value - b.value, 5) AS delta
+        FROM long a LEFT JOIN (SELECT * FROM long WHERE run_id = 'none') b USING (metric, k)""")
+
+
+@register("M10_compare_tuned_runs", _compared_sql())
+def m10_tuned(spark, sf):
+    """No tuning, NUDGE-M and NUDGE-N side by side on the test split (metrics at 10)."""
+    from retrievalkit.plans.pipelines import compare_tuned
+
+    t, qv, cv = _nudge_inputs(spark, sf)
+    return compare_tuned(t.with_(splits=U.split_dev(t.splits, 0.5, SEED)), qv, cv)
+
+
 _NEW_DOC = "md5('42:insert:' || {c}) < '8'"   # hash halves: old corpus vs inserted batch
 
 
@@ -711,7 +766,7 @@ def _scratch(spark, name):
 
 def _json_roundtrip(spark, sf):
     path = _scratch(spark, "ragjson")
-    ST.write_rag_lines(TX.dataset(spark, sf), path)
+    ST.write_rag_lines(TX.build_dataset(spark, sf), path)
     return ST.read_rag_lines(spark, path)
 
 
@@ -736,7 +791,7 @@ def d1_qrels(spark, sf):
 def d3(spark, sf):
     """Native Parquet store round trip of the conversation dataset."""
     path = _scratch(spark, "tables")
-    ST.save_tables(TX.dataset(spark, sf), path)
+    ST.save_tables(TX.build_dataset(spark, sf), path)
     return ST.load_tables(spark, path).qrels
 
 

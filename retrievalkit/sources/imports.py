@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from retrievalkit.operators.sampling import dense_index
+from retrievalkit.session import materialised
 from retrievalkit.tables import RagTables
 
 
@@ -54,12 +55,14 @@ def import_triples(spark: SparkSession, triples: DataFrame) -> RagTables:
     appearances; inside a row the positive comes before the negative.
 
     Numbering and the joins from texts to ids carry 256-bit hashes; texts are
-    joined back once, by ``ord``. "First row per query" is a ``min(struct(ord, ...))`` aggregate, so a hot
+    joined back once, by ``ord``. A kept row whose positive or negative is null
+    gives no query, judgments or documents. "First row per query" is a ``min(struct(ord, ...))`` aggregate, so a hot
     query text is combined map-side instead of landing in one window task.
     """
     kept = (triples.groupBy("query")
             .agg(F.min(F.struct("ord", "positive", "negative")).alias("m"))
             .select("query", "m.ord", "m.positive", "m.negative"))
+    kept = materialised(kept, "triples")         # numbering, queries and corpus read it
     key = lambda c: F.sha2(F.coalesce(c, F.lit("")), 256)
     slim = kept.where("positive is not null and negative is not null").select(
         "ord", key("positive").alias("hp"), key("negative").alias("hn"))

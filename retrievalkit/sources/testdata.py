@@ -100,3 +100,20 @@ def qa_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
                     .when(F.col("conv_id") % 7 == 4, F.concat(F.lit("```json\n"), F.to_json(F.struct("qa")), F.lit("\n```")))
                     .when(F.col("conv_id") % 7 == 5, F.to_json("qa"))
                     .otherwise(F.concat(F.lit("```json\n"), F.to_json("qa"), F.lit("\n```"))).alias("response")))
+
+
+def passages(spark: SparkSession, sf_dir: str):
+    """every ``benchmark`` text as a query over all ``documents``; a document
+    is relevant if it contains the query's text."""
+    from retrievalkit.operators.substring_join import contains_pairs
+    from retrievalkit.session import materialised
+    from retrievalkit.tables import RagTables
+
+    b, d = table(spark, sf_dir, "benchmark"), table(spark, sf_dir, "documents")
+    found = contains_pairs(b, d, p_id="item_id", t_id="doc_id")
+    qrels = materialised(found.select(F.col("pattern_id").cast("string").alias("query_id"),
+                                      F.col("text_id").cast("string").alias("doc_id"), F.lit(1).alias("relevance")), "qrels")
+    return RagTables.create(
+        spark, qrels=qrels,
+        queries=b.select(F.col("item_id").cast("string").alias("query_id"), "text", F.col("item_id").alias("ord")),
+        corpus=d.select(F.col("doc_id").cast("string").alias("doc_id"), "text", F.col("doc_id").alias("ord")))
