@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from retrievalkit.session import ensure_checkpoint_dir, ship_package
+from retrievalkit.session import ensure_checkpoint_dir, shared_files as files_of, ship_package  # noqa: F401
 
 #: Sides of up to this many (long) keys are broadcast; larger ones are shuffled.
 BROADCAST_KEYS = 1_000_000
@@ -41,13 +41,3 @@ def keyed(ids: DataFrame, n: int) -> DataFrame:
     """``ids`` as the smaller side of a join: broadcast if its checked size
     ``n`` is within the bound, else left to a shuffle."""
     return F.broadcast(ids) if n <= BROADCAST_KEYS else ids
-
-
-def files_of(uri: str):
-    """``(file system, path)`` of a folder for the tasks that write plain files.
-    Hadoop's ``s3a`` is the library's ``s3``; other schemes must be ones that
-    ``pyarrow.fs`` knows (file, hdfs, s3, gs, abfs), else it raises."""
-    from pyarrow import fs
-
-    scheme, _, rest = uri.partition("://")
-    return fs.FileSystem.from_uri(f"s3://{rest}" if scheme in ("s3a", "s3n") else uri)

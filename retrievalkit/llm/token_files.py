@@ -21,7 +21,6 @@ from __future__ import annotations
 import hashlib
 import struct
 import uuid
-from bisect import bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,6 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from retrievalkit.llm._shards import LEAST, ORDER, shard_cuts, shard_of
 from retrievalkit.llm._spark import files_of, prepare, text_of
 from retrievalkit.llm.tokens import default_path, word_tokens
 
@@ -36,7 +36,6 @@ _MANIFEST = "shard long, name string, documents long, ids long, bytes long, sha2
 _SAMPLE = 256
 _HEAD = "<8sIIQQ"                           # magic, id width, documents, ids, documents with a null id
 _MAGIC = b"EFIDS\x00\x00\x01"
-_LEAST = np.iinfo(np.int64).min
 
 
 class EliasFano:
@@ -120,58 +119,24 @@ class EliasFano:
         return lo
 
 
-# ---- shards -----------------------------------------------------------------------
-
-def _pieces(limit: int):
-    """The rows at which pieces of about ``limit`` bytes of a sorted partition begin."""
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        size = limit
-        for batch in batches:
-            out = []
-            for i, n in enumerate(batch.column("bytes").to_pylist()):
-                if size >= limit:
-                    out.append(i)
-                    size = 0
-                size += n + 1                            # an empty text takes room as well
-            if out:
-                yield batch.select(["key", "hash", "row"]).take(pa.array(out))
-
-    return cut
-
+# ---- writing -----------------------------------------------------------------------
 
 def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """``key`` (nulls first), and what orders rows of one key: a hash of the text,
     and for equal rows, which may stand in any order, their place in the input."""
     return docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), text_of(text_col).alias("text")).select(
-        "id", "text", F.coalesce("id", F.lit(_LEAST)).alias("key"),
+        "id", "text", F.coalesce("id", F.lit(LEAST)).alias("key"),
         F.expr("shiftrightunsigned(xxhash64(text), 1) ^ if(id is null, -1L, 0L)").alias("hash"),   # nulls are below
         F.monotonically_increasing_id().alias("row"))
 
 
-def _cuts(rows: DataFrame, shard_bytes: int) -> list[tuple[int, int, int]]:
-    """Where shards begin. Only keys, hashes and sizes are sorted; one row a
-    shard reaches the driver. A key or a text that many rows share is cut too."""
-    narrow = rows.select("key", "hash", "row", F.octet_length("text").alias("bytes"))
-    total = narrow.agg(F.sum(F.col("bytes") + 1)).first()[0] or 0
-    parts = max(1, -(-total // (16 * shard_bytes)))
-    order = ["key", "hash", "row"]
-    found = narrow.repartitionByRange(int(parts), *order).sortWithinPartitions(*order).mapInArrow(
-        _pieces(shard_bytes), "key long, hash long, row long").collect()
-    return sorted(map(tuple, found))[1:]
-
-
 def _encoder(path: str, end_id: int, width: int, cuts: list[tuple[int, int, int]]):
     """Each document's ids as bytes, and its shard."""
-    keys = np.array([c[0] for c in cuts], np.int64)
-
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens = word_tokens(path)
         end = np.array([end_id], f"<u{width}").tobytes()
         for batch in batches:
-            key = batch.column("key").to_numpy()
-            shard = np.searchsorted(keys, key, "left")
-            for i in np.flatnonzero(shard < np.searchsorted(keys, key, "right")).tolist():
-                shard[i] = bisect_right(cuts, tuple(batch.column(c)[i].as_py() for c in ("key", "hash", "row")))
+            shard = shard_of(batch, cuts)
             for lo, hi, ids, off in tokens.encode(batch.column("text")):
                 data = ids.astype(f"<u{width}").tobytes()
                 own = [data[width * a:width * b] + end for a, b in zip(off[:-1].tolist(), off[1:].tolist())]
@@ -248,7 +213,7 @@ def write_ids(docs: DataFrame, folder: str, id_col: str = "doc_id", text_col: st
     tokenizer = tokenizer or default_path()
     width = 2 if max(end_id, word_tokens(tokenizer).top) < 1 << 16 else 4
     rows = _rows(docs, id_col, text_col)
-    cuts = _cuts(rows, shard_bytes)
+    cuts = shard_cuts(rows.select(*ORDER, F.octet_length("text").alias("bytes")), shard_bytes)
     cut = rows.mapInArrow(_encoder(tokenizer, end_id, width, cuts),
                           "shard long, id long, key long, hash long, row long, ids binary")
     manifest = cut.repartitionById(len(cuts) + 1, F.col("shard").cast("int")).sortWithinPartitions(

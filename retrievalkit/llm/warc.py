@@ -1,7 +1,7 @@
 """Deterministic sharded WARC writer, and its reader.
 
-Records are range-sorted by key: exact byte counts by key range set where shards
-begin. Each shard is written by one task, which rolls files by compressed size. Every record is its own gzip member; HTTP and
+Records are range-sorted by key, those of one key by a hash of their payload's
+digest: exact byte counts set where shards begin. Each shard is written by one task, which rolls files by compressed size. Every record is its own gzip member; HTTP and
 WARC headers and the digests of payload and block are made anew from the
 payload. Files are written under temporary names and renamed when complete;
 their names and content follow from the rows alone, so a task that runs again
@@ -17,13 +17,13 @@ import uuid
 import zlib
 from collections.abc import Iterator
 
-import numpy as np
 import pyarrow as pa
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from retrievalkit.llm._spark import prepare
+from retrievalkit.llm._shards import LEAST, ORDER, shard_cuts, shard_of
+from retrievalkit.llm._spark import files_of, prepare, stored
 
 _CRLF = b"\r\n"
 _MANIFEST = "file string, shard long, records long, bytes long, sha256 string, first_key long, last_key long"
@@ -31,8 +31,7 @@ _MANIFEST = "file string, shard long, records long, bytes long, sha256 string, f
 
 def _record(row: dict, date: str, key_header: str) -> bytes:
     """One record: headers made anew, then the HTTP response or nothing."""
-    payload, key = row["payload"], row["key"]
-    digest = hashlib.sha256(payload).hexdigest()
+    payload, key, digest = row["payload"], row["key"], row["digest"]
     http = (f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n"
             f"Content-Length: {len(payload)}\r\n\r\n").encode()
     revisit = row["kind"] == "revisit"
@@ -61,7 +60,7 @@ class _Roller:
     its name when it is complete."""
 
     def __init__(self, folder: str, shard: int, limit: int):
-        self.store, self.path = fs.FileSystem.from_uri(folder)
+        self.store, self.path = files_of(folder)
         self.shard, self.limit, self.number = shard, limit, 0
         self.attempt = uuid.uuid4().hex
         self.out, self.done = None, []
@@ -89,10 +88,10 @@ class _Roller:
 
 
 def _writer(folder: str, limit: int, date: str, key_header: str, level: int):
-    """Rows of a sorted partition: first the row that decides a record's kind,
-    then the row with its payload."""
+    """Rows of a sorted partition: of those with one key and payload, first the
+    one that decides their kind, if they have one, then each with its payload."""
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        roller, kinds, seen, at, done = None, {}, {}, object(), []
+        roller, at, done = None, None, []
         for batch in batches:
             for row in batch.to_pylist():
                 if roller is None or roller.shard != row["shard"]:
@@ -100,17 +99,16 @@ def _writer(folder: str, limit: int, date: str, key_header: str, level: int):
                         roller.close()
                         done += roller.done
                     roller = _Roller(folder, row["shard"], limit)
-                if row["key"] != at:
-                    at, kinds, seen = row["key"], {}, {}
+                if at != (row["key"], row["digest"]):
+                    at, copies, refers, copied = (row["key"], row["digest"]), -1, None, False
                 if row["payload"] is None:
-                    kinds[row["digest"]] = row["refers_to"]
+                    refers, copied = row["refers_to"], True
                     continue
-                copy = seen[row["digest"]] = seen.get(row["digest"], -1) + 1
-                refers = kinds.get(row["digest"])
-                if refers is None and copy and row["size"] and at is not None and row["digest"] in kinds:
-                    refers = at                         # a repeated row revisits the first of its copies
-                row |= {"refers_to": refers, "copy": copy, "kind": "response" if refers is None else "revisit"}
-                roller.add(gzip.compress(_record(row, date, key_header), level, mtime=0), at)
+                copies += 1
+                if copies and copied and refers is None:
+                    refers = row["key"]                 # a repeated row revisits the first of its copies
+                row |= {"refers_to": refers, "copy": copies, "kind": "response" if refers is None else "revisit"}
+                roller.add(gzip.compress(_record(row, date, key_header), level, mtime=0), row["key"])
         if roller is not None:
             roller.close()
             done += roller.done
@@ -123,52 +121,13 @@ def _writer(folder: str, limit: int, date: str, key_header: str, level: int):
     return write
 
 
-def _cuts(rows: DataFrame, shard_bytes: int) -> list[int]:
-    """Keys at which a new shard begins: found from exact byte counts by key
-    range, so they depend on the rows alone. Ranges too large for a shard are
-    counted again in finer steps; about four counts a shard reach the driver."""
-    r = rows.agg(F.min("key"), F.max("key"), F.sum("bytes")).first()
-    if r[0] is None or r[2] <= shard_bytes:
-        return []
-    done, heavy = [], [(r[0], r[1], r[2])]              # (first key, last key, bytes)
-    for _ in range(64):
-        if not heavy:
-            break
-        starts = np.array([a for a, _, _ in heavy], np.int64)
-        ends = np.array([b for _, b, _ in heavy], np.int64)
-        steps = np.array([max(1, -(-(b - a + 1) // max(2, 4 * n // shard_bytes))) for a, b, n in heavy], np.int64)
-
-        def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                keys, size = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
-                at = np.searchsorted(starts, keys, "right") - 1
-                ok = (at >= 0) & (keys <= ends[at])
-                at, keys, size = at[ok], keys[ok], size[ok]
-                begin, back = np.unique(starts[at] + (keys - starts[at]) // steps[at] * steps[at], return_inverse=True)
-                total = np.bincount(back, size, len(begin)).astype(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(begin), pa.array(total)], names=["first", "bytes"])
-
-        found = rows.filter("key is not null").select("key", "bytes").mapInArrow(
-            count, "first long, bytes long").groupBy("first").agg(F.sum("bytes").alias("bytes")).orderBy("first").collect()
-        heavy = []
-        for first, size in found:
-            at = int(np.searchsorted(starts, first, "right")) - 1
-            last = min(int(ends[at]), first + int(steps[at]) - 1)
-            (heavy if size > shard_bytes and last > first else done).append((first, last, size))
-    cuts, size = [], 0
-    for first, _, n in sorted(done + heavy):
-        if size and size + n > shard_bytes:
-            cuts.append(first)
-            size = 0
-        size += n
-    return cuts
-
-
-def _dealer(cuts: list[int], at: int):
+def _dealer(cuts: list[tuple[int, int, int]]):
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            key = batch.column(at).fill_null(np.iinfo(np.int64).min).to_numpy()
-            yield batch.append_column("shard", pa.array(np.searchsorted(np.array(cuts, np.int64), key, "right")))
+            sorting = pa.RecordBatch.from_arrays(
+                [batch.column("key").fill_null(LEAST), batch.column("hash"), pa.nulls(len(batch), pa.int64()).fill_null(0)],
+                names=ORDER)
+            yield batch.append_column("shard", pa.array(shard_of(sorting, cuts)))
 
     return deal
 
@@ -186,37 +145,39 @@ def write_warc(pages: DataFrame, folder: str, key_col: str = "page_id", uri_col:
     payloads are always responses. A null payload is empty, a null URI is blank.
     Rows that repeat key and payload: the first is the response. Rows with a
     null key refer to the smallest key with their payload, if any, and else are
-    responses. Shards begin at keys that leave each at most ``shard_bytes`` of
-    payload, if its keys allow. Other columns are not written. An empty table gives no files and
+    responses. Shards hold about ``shard_bytes`` of payload; only rows that
+    repeat both key and payload are never cut. Other columns are not written. An empty table gives no files and
     an empty manifest. A folder with a manifest is refused.
     """
     spark = pages.sparkSession
     prepare(spark)
-    store, path = fs.FileSystem.from_uri(folder)
+    store, path = files_of(folder)
     if store.get_file_info(f"{path}/_manifest").type != fs.FileType.NotFound:
         raise FileExistsError(f"{folder} holds an archive already")
     payload = F.encode(F.coalesce(F.col(f"`{payload_col}`").cast("string"), F.lit("")), "UTF-8")
     rows = pages.select(F.col(f"`{key_col}`").cast("long").alias("key"), F.col(f"`{uri_col}`").cast("string").alias("uri"),
                         payload.alias("payload"))
-    rows = rows.withColumn("digest", F.sha2("payload", 256)).withColumn("size", F.octet_length("payload"))
-    narrow = rows.filter(F.col("size") >= least_bytes).select("key", "digest")
+    digest = F.sha2("payload", 256)
+    # nulls have hashes below all others
+    place = F.expr("shiftrightunsigned(xxhash64(digest), 1) ^ if(key is null, -1L, 0L)").alias("hash")
+    heads = stored(rows.select("key", digest.alias("digest"), F.octet_length("payload").alias("size")).select(
+        "key", "digest", "size", place), "warc-heads")
+    narrow = heads.filter(F.col("size") >= least_bytes).select("key", "digest", "hash")
     first = narrow.groupBy("digest").agg(F.min("key").alias("least"), F.count("*").alias("n")).filter(
         "n > 1 and least is not null")
     # one small row per (key, payload) with copies goes with the pages, so payloads are shuffled once, by key
     kinds = narrow.distinct().join(first, "digest").select(
-        "key", F.lit(None).cast("string").alias("uri"), F.lit(None).cast("binary").alias("payload"), "digest",
-        F.lit(0).alias("size"), F.expr("if(key <=> least, null, least)").alias("refers_to"))
-    both = rows.withColumn("refers_to", F.lit(None).cast("long")).withColumn(
-        "size", F.expr(f"int(size >= {least_bytes})")).unionByName(kinds).select(
-        "key", "uri", "payload", "digest", "size", "refers_to")
-    cuts = _cuts(rows.select("key", F.col("size").cast("long").alias("bytes")), shard_bytes)
-    shards = len(cuts) + 1
-    # the range exchange samples at random, but only places whole shards; kinds come
-    # before payloads, and rows that repeat a key in an order of their own
-    dealt = both.mapInArrow(_dealer(cuts, 0), "key long, uri string, payload binary, digest string, size int, "
-                                              "refers_to long, shard long")
-    manifest = dealt.repartitionByRange(shards, "shard").sortWithinPartitions(
-        "shard", "key", F.col("payload").isNotNull(), "digest", "uri").mapInArrow(
+        "key", F.lit(None).cast("string").alias("uri"), F.lit(None).cast("binary").alias("payload"), "digest", "hash",
+        F.expr("if(key <=> least, null, least)").alias("refers_to"))
+    both = rows.withColumn("digest", digest).select(
+        "key", "uri", "payload", "digest", place, F.lit(None).cast("long").alias("refers_to")).unionByName(kinds)
+    cuts = shard_cuts(heads.select(F.coalesce("key", F.lit(LEAST)).alias("key"), "hash", F.lit(0).cast("long").alias("row"),
+                                   F.col("size").cast("long").alias("bytes")), shard_bytes)
+    dealt = both.mapInArrow(_dealer(cuts), "key long, uri string, payload binary, digest string, hash long, "
+                                           "refers_to long, shard long")
+    # shards are whole partitions; of equal keys and payloads the row that tells their kind is first
+    manifest = dealt.repartitionById(len(cuts) + 1, F.col("shard").cast("int")).sortWithinPartitions(
+        "shard", "key", "hash", "digest", F.col("payload").isNotNull(), "uri").mapInArrow(
         _writer(folder, roll_bytes, date, key_header, level), _MANIFEST)
     manifest.write.parquet(f"{folder}/_manifest")
     return spark.read.schema(_MANIFEST).parquet(f"{folder}/_manifest")
@@ -227,10 +188,19 @@ _RECORD = ("key long, uri string, kind string, refers_to long, payload_bytes lon
 
 
 def _members(data: memoryview) -> Iterator[bytes]:
-    while len(data):
-        z = zlib.decompressobj(31)
-        yield z.decompress(data)
-        data = data[len(data) - len(z.unused_data):]
+    """The members of a file, each fed in small pieces, so that what follows it
+    is not copied member by member."""
+    at = 0
+    while at < len(data):
+        z, out = zlib.decompressobj(31), []
+        while not z.eof and at < len(data):
+            piece = data[at:at + (16 << 10)]
+            out.append(z.decompress(piece))
+            at += len(piece)
+        if not z.eof:
+            raise ValueError("a member ends early")
+        at -= len(z.unused_data)
+        yield b"".join(out)
 
 
 def _parse(record: bytes, key_header: str) -> dict:
@@ -259,7 +229,7 @@ def read_warc(spark: SparkSession, folder: str, key_header: str = "X-Page-Id", p
     files = spark.read.schema(_MANIFEST).parquet(f"{folder}/_manifest").select("file")
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        store, path = fs.FileSystem.from_uri(folder)
+        store, path = files_of(folder)
         fields = pa.schema([("key", pa.int64()), ("uri", pa.string()), ("kind", pa.string()), ("refers_to", pa.int64()),
                             ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("payload", pa.binary()),
                             ("intact", pa.bool_()), ("file", pa.string())])

@@ -71,3 +71,35 @@ def test_empty(spark):
     folder = shared_folder(spark, "warc-none")
     assert write_warc(spark.createDataFrame([], "page_id long, url string, html string"), folder).count() == 0
     assert read_warc(spark, folder).count() == 0
+
+
+def test_one_key_of_many_rows(spark):
+    """A key with a third of the rows is cut into several shards like any other."""
+    rows = [(i, "u", f"<p>{i}" + "y" * 150) for i in range(200)] + [(77, "u", f"<p>own {i}" + "z" * 150) for i in range(100)]
+    rows += [(77, "u", "<p>same" + "z" * 150)] * 5 + [(None, "u", f"<p>none {i % 50}" + "z" * 150) for i in range(100)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(4)
+    folder = shared_folder(spark, "warc-hot")
+    manifest = write_warc(df, folder, shard_bytes=4000).collect()
+    assert max(m["records"] for m in manifest) < 60 and sum(m["first_key"] == 77 == m["last_key"] for m in manifest) > 1
+    assert got(spark, folder)[1] == plan(rows)
+
+
+def test_reading_takes_time_in_proportion():
+    """Members of a file of four times the size take about four times as long."""
+    import gzip
+    import os
+    import time
+
+    from retrievalkit.llm.warc import _members
+
+    def seconds(n):
+        member = gzip.compress(os.urandom(4000), 1)
+        data = memoryview(member * (n // len(member)))
+        best = []
+        for _ in range(3):
+            start = time.perf_counter()
+            assert sum(1 for _ in _members(data)) == n // len(member)
+            best.append(time.perf_counter() - start)
+        return min(best)
+
+    assert seconds(16 << 20) < 10 * seconds(4 << 20)
