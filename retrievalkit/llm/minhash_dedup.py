@@ -19,6 +19,7 @@ one link per member and block pair.
 from __future__ import annotations
 
 import math
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -253,3 +254,78 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     # back to every row; a component is stored for linked ids only
     whole = signed.select("id", "n").join(stored(found, "found"), "id", "left")
     return whole.select("id", F.col("n").alias("n_shingles"), F.coalesce("component", "id").alias("component"))
+
+
+def _told_apart(rows: DataFrame) -> DataFrame:
+    """``rows`` (id, text) with a ``key``: one of their own for texts that share an
+    id: a hash, under a salt for which no two of these, and no other id, agree.
+    Ids that have one text are their key."""
+    texts = stored(rows.filter("id is not null").groupBy("id").agg(
+        F.min(F.xxhash64("text")).alias("a"), F.max(F.xxhash64("text")).alias("b")).filter("a != b").select("id"), "shared-ids")
+    n = texts.count()
+    if not n:
+        return rows.withColumn("key", F.col("id"))
+    shared = texts.withColumn("shared", F.lit(True))
+    marked = rows.join(keyed(shared, n), "id", "left")
+    ids = stored(rows.select("id").distinct(), "ids")
+    for salt in range(64):
+        key = F.xxhash64(F.lit(salt), "id", "text")
+        own = stored(marked.filter("shared").select("id", F.sha2("text", 256).alias("h"), key.alias("key")).distinct(), "keys")
+        clash = own.groupBy("key").count().filter("count > 1").limit(1).count() + own.join(
+            ids.select(F.col("id").alias("key")), "key", "left_semi").limit(1).count()
+        if not clash:
+            return marked.withColumn("key", F.when(F.col("shared"), key).otherwise(F.col("id"))).drop("shared")
+    raise RuntimeError("no salt tells the texts apart")
+
+
+def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, k: int = 5,
+                 percent: int = 80) -> DataFrame:
+    """The rows of ``docs``, all columns, without near copies: of each group of
+    linked texts the row with the smallest id stays (of texts that share this id
+    the one with the smallest hash).
+
+    Rows that share an id are apart unless their texts are linked or equal; of
+    rows equal in id and text one stays, the least by a hash of its columns.
+    Rows without an id always stay, as do null and blank texts under ids of
+    their own. An empty table gives an empty one.
+    """
+    spark = docs.sparkSession
+    prepare(spark)
+    key, mark = (f"_{name}_{uuid.uuid4().hex}" for name in ("key", "row"))
+    slim = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), text_of(text_col).alias("text"))
+    told = _told_apart(slim)
+    groups = stored(near_duplicates(told.select("key", "text"), "key", "text", k=k, percent=percent).filter(
+        "id is not null").groupBy("id").agg(F.min("component").alias("c"), F.count("*").alias("n")), "groups")
+    # the first member of each group that has several
+    member = groups.join(stored(told.filter("key is not null").select(F.col("key").alias("id"), F.col("id").alias("doc")).distinct(),
+                                "members"), "id")
+    first = member.groupBy("c").agg(F.min(F.struct("doc", "id")).alias("first"), F.count("*").alias("size")).filter(
+        "size > 1").select("c", F.col("first.id").alias("first"))
+    first = stored(first, "firsts")
+    gone = stored(member.join(keyed(first, first.count()), "c").filter("id != first").select(F.col("id").alias(key)), "gone")
+    again = stored(groups.filter("n > 1").select(F.col("id").alias(key)), "again")
+    n_gone, n_again = gone.count(), again.count()
+    whole = _keyed_rows(docs, id_col, text_col, told, key)
+    out = whole.join(keyed(gone, n_gone), key, "left_anti") if n_gone else whole
+    if n_again:
+        few = out.join(keyed(again, n_again), key, "left_semi").withColumn(
+            mark, F.xxhash64(F.to_json(F.struct(*[F.col(f"`{c}`") for c in docs.columns]))))
+        least = few.groupBy(key).agg(F.min(mark).alias(mark))
+        once = few.join(least, [key, mark], "left_semi").dropDuplicates([key]).drop(mark)
+        out = out.join(keyed(again, n_again), key, "left_anti").unionByName(once)
+    return out.drop(key)
+
+
+def _keyed_rows(docs: DataFrame, id_col: str, text_col: str, told: DataFrame, key: str) -> DataFrame:
+    """``docs`` with the key of each row."""
+    whole = docs.withColumn(key, F.col(f"`{id_col}`").cast("long"))
+    other = stored(told.filter("key != id").select(F.col("id").alias(key), F.sha2("text", 256).alias("_hash"),
+                                                   F.col("key").alias("_own")).distinct(), "own-keys")
+    n = other.count()
+    if not n:
+        return whole
+    names = {c: f"_{c}_{uuid.uuid4().hex}" for c in ("hash", "own")}
+    other = other.withColumnsRenamed({"_hash": names["hash"], "_own": names["own"]})
+    found = whole.withColumn(names["hash"], F.sha2(text_of(text_col), 256)).join(
+        keyed(other, n), [key, names["hash"]], "left")
+    return found.withColumn(key, F.coalesce(names["own"], key)).drop(*names.values())

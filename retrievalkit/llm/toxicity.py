@@ -266,7 +266,9 @@ def fit(docs: DataFrame, labels: DataFrame, *, max_rows: int = 20_000, id_col: s
         sketch, "id long, y int, text string, copy long")
     rows = stored(rows, "labelled")
     one = rows.groupBy("copy").agg(F.min("id").alias("id"))
-    rows = stored(rows.join(F.broadcast(one), ["copy", "id"]).dropDuplicates(["id"]).select("id", "y", "text"), "fit")
+    rows = rows.join(F.broadcast(one), ["copy", "id"])
+    # rows that share an id, or an id labelled both ways: the least label, then the least text
+    rows = stored(rows.groupBy("id").agg(F.min(F.struct("y", "text")).alias("row")).select("id", "row.y", "row.text"), "fit")
     size = rows.agg(F.coalesce(F.sum("y"), F.lit(0)).alias("p"), F.count("*").alias("n")).first()
     pos, neg = int(size["p"]), int(size["n"] - size["p"])
     weights = {w: 3.0 for w in (*INSULTS, *THREATS)}
@@ -370,15 +372,17 @@ def toxicity(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
 
 def not_toxic(docs: DataFrame, model: Model, text_col: str = "text", limit: float = 0.5) -> DataFrame:
     """The rows of ``docs`` whose text scores below ``limit``, with all columns,
-    filtered where they are."""
+    filtered where they are. Null and empty texts score as such texts do; repeated
+    rows are judged alike; an empty table gives an empty one."""
     prepare(docs.sparkSession)
-    shared, at = docs.sparkSession.sparkContext.broadcast(model), docs.columns.index(text_col)
+    shared = docs.sparkSession.sparkContext.broadcast(model)
 
-    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    @F.arrow_udf("double")
+    def score(texts: pa.Array) -> pa.Array:
         m = shared.value
         matcher = Matcher(m.weights)
-        for batch in batches:
-            x = [matcher.features(*matcher.matches(t.as_py() or "")) for t in batch.column(at)]
-            yield batch.filter(pa.array(m.score(np.array(x, float)) < limit))
+        x = [matcher.features(*matcher.matches(t.as_py())) for t in texts]
+        return pa.array(m.score(np.array(x, float).reshape(-1, FEATURES)))
 
-    return docs.mapInArrow(keep, docs.schema)
+    # only the text goes to Python, and a number comes back; the rows wait in the JVM
+    return docs.filter(score(text_of(text_col)) < limit)
