@@ -13,9 +13,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from retrievalkit.llm._spark import keyed, prepare, stored
+from retrievalkit.llm._spark import prepare, stored
 from retrievalkit.llm.decontaminate import decontaminated
-from retrievalkit.llm.minhash_dedup import near_duplicates
+from retrievalkit.llm.minhash_dedup import deduplicated
 from retrievalkit.llm.packing import pack
 from retrievalkit.llm.secret_scan import redact_secrets
 from retrievalkit.llm.toxicity import fit, not_toxic
@@ -28,19 +28,8 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document, that of the smallest id, of each group on 5-word shingles
-    at 0.8. Of rows that share an id the least by value stays; rows without an
-    id stay."""
-    found = stored(near_duplicates(docs).groupBy("id").agg(F.min("component").alias("c"), F.count("*").alias("n")), "groups")
-    gone = found.filter("c != id").select("id")
-    repeated = found.filter("c = id and n > 1").select("id")
-    out = docs.join(keyed(gone, gone.count()), F.col("doc_id") == F.col("id"), "left_anti")
-    n = repeated.count()
-    if n:
-        same = F.col("doc_id") == F.col("id")
-        once = out.join(keyed(repeated, n), same, "left_semi").groupBy("doc_id").agg(
-            F.min(F.struct(*[f"`{c}`" for c in docs.columns])).alias("row")).select("row.*")
-        out = out.join(keyed(repeated, n), same, "left_anti").unionByName(once)
-    return out
+    at 0.8. Unlike rows that share an id both stay; so do rows without an id."""
+    return deduplicated(docs, k=5, percent=80)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
