@@ -13,10 +13,17 @@ from retrievalkit.session import ensure_checkpoint_dir, shared_files as files_of
 BROADCAST_KEYS = 1_000_000
 
 
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
 def prepare(spark: SparkSession) -> None:
-    """Shared checkpoint folder and package on the executors."""
+    """Shared checkpoint folder and package on the executors. Unless the session
+    sets it, texts go to Python in batches of 4 MB rather than 64: an executor
+    holds several copies of a batch in each of its tasks."""
     ensure_checkpoint_dir(spark)
     ship_package(spark)
+    if spark.conf.get(_BATCH, None) is None:
+        spark.conf.set(_BATCH, str(4 << 20))
 
 
 def shared_folder(spark: SparkSession, name: str) -> str:
