@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from retrievalkit.llm._spark import prepare, text_of
+from retrievalkit.llm._spark import prepare, stored, text_of
 from retrievalkit.llm.tokens import default_path, word_tokens
 
 
@@ -42,8 +42,10 @@ def suffix_sums(histogram: DataFrame) -> DataFrame:
 
     Lengths fall into at most 64 blocks a power of two; sums run inside blocks,
     and the few block totals are added on top, so no task sorts the whole
-    histogram.
+    histogram. Rows with a null length or count take no part; an empty
+    histogram gives no rows.
     """
+    histogram = stored(histogram.dropna(subset=["n_tokens", "n_docs"]), "histogram")     # read twice below
     bits = F.length(F.bin("n_tokens"))
     block = bits * 64 + F.expr("(n_tokens >> greatest(length(bin(n_tokens)) - 7, 0)) & 63")
     rows = histogram.withColumn("block", block).withColumn("tokens", F.col("n_tokens") * F.col("n_docs"))

@@ -115,3 +115,6 @@ def test_histogram_messy_and_empty(messy, tokens):
     want = Counter(len(library(tokens, r["text"])) for r in messy.collect())
     assert {r["n_tokens"]: r["n_docs"] for r in C.length_histogram(messy).collect()} == dict(want)
     assert C.suffix_sums(C.length_histogram(messy.limit(0))).count() == 0
+    hist = C.length_histogram(messy)
+    odd = hist.unionByName(hist.limit(1).selectExpr("cast(null as long) as n_tokens", "3L as n_docs"))
+    assert sorted(C.suffix_sums(odd).collect()) == sorted(C.suffix_sums(hist).collect())
