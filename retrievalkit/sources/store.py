@@ -16,16 +16,16 @@ from retrievalkit.tables import RagTables
 
 def save_tables(tables: RagTables, path: str, mode: str = "overwrite") -> None:
     """All tables at once: their jobs share the executors instead of waiting for each other."""
-    _at_once([lambda name=name, df=df: df.write.mode(mode).parquet(f"{path}/{name}") for name, df in tables.items()])
+    _at_once(tables.queries.sparkSession, [lambda name=name, df=df: df.write.mode(mode).parquet(f"{path}/{name}") for name, df in tables.items()])
 
 
-def _at_once(writes) -> None:
+def _at_once(spark: SparkSession, writes) -> None:
     from concurrent.futures import ThreadPoolExecutor
 
     from pyspark import inheritable_thread_target
 
     with ThreadPoolExecutor(len(writes)) as pool:
-        for done in [pool.submit(inheritable_thread_target(w)) for w in writes]:
+        for done in [pool.submit(inheritable_thread_target(spark)(w)) for w in writes]:
             done.result()
 
 
@@ -92,7 +92,7 @@ def write_rag_lines(tables: RagTables, path: str, mode: str = "errorifexists") -
         "reference_answers": tables.answers.select(q, F.col("answer").alias("text")),
         "queries_split": tables.splits.select("split", q, "ord"),
     }
-    _at_once([lambda key=key, df=df: df.write.mode(mode).json(f"{path}/{key}") for key, df in parts.items()])
+    _at_once(tables.queries.sparkSession, [lambda key=key, df=df: df.write.mode(mode).json(f"{path}/{key}") for key, df in parts.items()])
 
 
 def read_rag_lines(spark: SparkSession, path: str) -> RagTables:

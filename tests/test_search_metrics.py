@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from retrievalkit.functions import vectors as VX
 from retrievalkit.operators import _kernel
 from retrievalkit.operators import metrics as M
-from retrievalkit.operators.search import check_scores, knn, mine_hard_negatives, rerank
+from retrievalkit.operators.search import check_scores, knn, mine_hard_negatives, rerank, scan_report, search_blocks
+from retrievalkit.operators.vector_files import write_vectors
 from tests.conftest import SF01
 
 
@@ -69,6 +70,34 @@ def test_bad_vectors_change_no_other_row(spark, metric):
     assert rows(knn(b.where("id in ('n0', 'n6')"), g, 3, metric)) == []
 
 
+@pytest.mark.parametrize("metric", ["cosine", "dot", "sq_l2"])
+def test_blocks_skipped_by_their_ball_change_nothing(spark, metric):
+    """Clustered vectors: most pairs are never scored, and the rows are those of a
+    full scan, with ties, copies and zero vectors; uniform ones: nothing is lost either."""
+    rng = np.random.default_rng(5)
+    centres = rng.normal(size=(20, 8)) * 4
+    near = centres[np.arange(1200) % 20] + 0.1 * rng.normal(size=(1200, 8))
+    near[40:80] = near[40]                                 # copies in one crowded place
+    near[7] = 0.0
+    for points, most in ((near, 0.5), (rng.normal(size=(600, 8)), 1.0)):
+        v = spark.createDataFrame([(f"v{i}", p.tolist()) for i, p in enumerate(points)], "id string, vec array<double>").repartition(3)
+        plain = write_vectors(v)
+        want = rows(search_blocks(plain, plain, 5, metric, exclude_self=True))
+        assert len(want) == 5 * (len(points) - (metric == "cosine" and most < 1))
+        blocks = write_vectors(v, block_rows=32, clusters=20)
+        assert sum(n for _, n, _ in blocks.files) == len(points) and len(blocks.files) >= 20
+        assert rows(search_blocks(blocks, blocks, 5, metric, exclude_self=True, group_bytes=32 * 8 * 8)) == want
+        seen = scan_report(blocks, blocks, 5, metric, exclude_self=True, group_bytes=32 * 8 * 8).first()
+        assert seen["pairs"] == len(points) ** 2 and seen["scored"] <= most * seen["pairs"] and seen["read"] <= seen["blocks"]
+
+
+def test_a_crowded_cluster_is_many_blocks(spark):
+    v = spark.range(3000).selectExpr("cast(id as string) as id", "array(1D + id % 7 * 1e-6, if(id < 20, 9D, 0D)) as vec")
+    blocks = write_vectors(v, block_rows=100, clusters=4)
+    assert max(n for _, n, _ in blocks.files) <= 100 and sum(n for _, n, _ in blocks.files) == 3000
+    assert write_vectors(v.limit(0), clusters=4).files == ()
+
+
 def test_ties_break_by_doc_id_as_string(spark):
     q = spark.createDataFrame([("q", [1.0, 0.0])], "id string, vec array<float>")
     c = spark.createDataFrame([("9", [1.0, 0.0]), ("10", [1.0, 0.0]), ("2", [0.0, 1.0])],
