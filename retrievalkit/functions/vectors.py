@@ -50,9 +50,10 @@ def sq_l2(a, b) -> Column:
 
 def l2_normalize(a) -> Column:
     """Unit length; a zero vector stays zero."""
-    n = norm(a)
-    return F.when(n > 0, F.transform(_c(a), lambda x: x.cast("double") / n)).otherwise(
-        to_double(a))
+    # the norm is bound once: inside the inner function it would be computed anew for every element
+    scaled = F.transform(F.array(norm(a)), lambda n: F.when(
+        n > 0, F.transform(_c(a), lambda x: x.cast("double") / n)).otherwise(to_double(a)))
+    return scaled[0]
 
 
 def axpy(alpha, x, y) -> Column:

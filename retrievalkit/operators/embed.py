@@ -96,13 +96,15 @@ def hash_embed(df: DataFrame, dim: int = 64, *, id_col: str = "id", text_col: st
     counts = (toks.select("id", F.when(F.col("tok").isNotNull(), token_bucket(F.col("tok"), dim))
                           .alias("b"))
               .groupBy("id", "b").agg(F.count(F.lit(1)).alias("c")))
-    per_id = counts.groupBy("id").agg(F.map_from_entries(F.collect_list(
-        F.when(F.col("b").isNotNull(), F.struct("b", F.col("c").cast("double"))))).alias("m"))
+    own = F.when(F.col("b").isNotNull(), F.col("c").cast("double"))
+    # counts are whole numbers, so the norm is the same in any order of summing
+    per_id = counts.groupBy("id").agg(
+        F.map_from_entries(F.collect_list(F.when(F.col("b").isNotNull(), F.struct("b", own.alias("c"))))).alias("m"),
+        F.sqrt(F.coalesce(F.sum(own * own), F.lit(0.0))).alias("n"))
+    scale = F.when(F.col("n") > 0, F.col("n")).otherwise(F.lit(1.0)) if normalize else F.lit(1.0)
     dense = per_id.select("id", F.transform(
         F.sequence(F.lit(0), F.lit(dim - 1)),
-        lambda i: F.coalesce(F.try_element_at("m", i), F.lit(0.0))).alias("vec"))
-    if normalize:
-        dense = dense.withColumn("vec", l2_normalize("vec"))
+        lambda i: F.coalesce(F.try_element_at("m", i), F.lit(0.0)) / scale).alias("vec"))
     return dense.select("id", F.col("vec").cast("array<float>").alias("vec"))
 
 
