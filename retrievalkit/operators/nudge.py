@@ -28,7 +28,9 @@ from retrievalkit.functions.vectors import axpy, dot, l2_normalize, sq_l2, to_do
 from retrievalkit.operators import _kernel
 from retrievalkit.operators.gamma_steps import gamma_steps
 from retrievalkit.operators.search import GROUP_BYTES, _group_rows, search_blocks
+from retrievalkit.operators.topk import KeptRun, best_of, insert_docs
 from retrievalkit.operators.vector_files import VectorBlocks, pair_tasks, write_vectors
+from retrievalkit.session import materialised
 
 KINDS = ("nudge-n", "nudge-m")
 DEFAULT_GRID = tuple(round(0.1 * i, 1) for i in range(0, 21))   # 0.0 .. 2.0
@@ -220,7 +222,7 @@ def search_metric(kind: str) -> str:
 
 def choose_gamma(doc_vecs: DataFrame, targets: DataFrame, val_query_vecs: DataFrame,
                  val_qrels: DataFrame, kind: str = "nudge-n", grid=DEFAULT_GRID,
-                 competitors: DataFrame | None = None) -> DataFrame:
+                 competitors: DataFrame | None = None, rivals: DataFrame | None = None) -> DataFrame:
     """Accuracy of every grid value -> ``(gamma, accuracy, n_queries,
     best)`` (``best`` marks the chosen one).
 
@@ -228,7 +230,9 @@ def choose_gamma(doc_vecs: DataFrame, targets: DataFrame, val_query_vecs: DataFr
     query that finds nothing counts as a miss. Untouched documents do not
     depend on gamma: their best match per query is searched once. The touched
     documents are read once for the whole grid (``_GammaScan``).
-    ``competitors`` are extra fixed vectors (N6: the existing corpus).
+    ``competitors`` are extra fixed vectors (N6: the existing corpus);
+    ``rivals`` stands for such vectors by the best of them per query,
+    ``(query_id, doc_id, score)`` as R1 scores it.
     """
     if kind not in KINDS:
         raise ValueError(f"kind must be one of {KINDS}")
@@ -248,6 +252,8 @@ def choose_gamma(doc_vecs: DataFrame, targets: DataFrame, val_query_vecs: DataFr
     gammas = F.explode(F.array(*[F.lit(g) for g in grid])).alias("gamma")
     found = search_blocks(blocks, write_vectors(fixed), 1, metric).select(gammas, "query_id", "doc_id", "score")
     found = found.unionByName(_scan_gammas(blocks, touched, grid, kind))
+    if rivals is not None:
+        found = found.unionByName(rivals.select(gammas, "query_id", "doc_id", "score"))
     best1 = found.groupBy("gamma", "query_id").agg(
         F.min(F.struct((-F.col("score")).alias("s"), "doc_id")).alias("top")).select("gamma", "query_id", "top.doc_id")
     hits = best1.join(rel, ["query_id", "doc_id"], "left_semi").groupBy("gamma").agg(F.count("*").alias("hits"))
@@ -286,12 +292,11 @@ def nudge_finetune(doc_vecs: DataFrame, query_vecs: DataFrame, qrels: DataFrame,
     return apply_nudge(doc_vecs, targets, gamma, kind), gamma, report
 
 
-def nudge_insert(existing_vecs: DataFrame, new_doc_vecs: DataFrame, query_vecs: DataFrame,
-                 qrels: DataFrame, splits: DataFrame, kind: str = "nudge-n",
-                 train_split: str = "train", val_split: str = "val", grid=DEFAULT_GRID):
-    """Add new documents, tune only them; existing vectors compete during
-    gamma selection but do not change. An id already present fails.
-    Returns ``(existing + tuned new vectors, gamma)``."""
+def _insert(existing_vecs: DataFrame, new_doc_vecs: DataFrame, query_vecs: DataFrame, qrels: DataFrame,
+            splits: DataFrame, kind: str, train_split: str, val_split: str, grid,
+            run: KeptRun | None) -> tuple[DataFrame, float]:
+    """The tuned new vectors and their gamma; the old ones compete by ``run``
+    if there is one."""
     clash = new_doc_vecs.select("id").join(existing_vecs.select("id"), "id", "left_semi")
     first = clash.limit(1).collect()
     if first:
@@ -303,12 +308,43 @@ def nudge_insert(existing_vecs: DataFrame, new_doc_vecs: DataFrame, query_vecs:
     targets = nudge_targets(query_vecs, q_new, train).checkpoint(eager=True)
     vq = query_vecs.join(val.select(F.col("query_id").alias("id")), "id", "left_semi")
     # validated on queries that the new documents answer
-    report = _gamma_report(new_doc_vecs, targets, vq, q_new.join(val, "query_id", "left_semi"),
-                           kind, grid, competitors=existing_vecs).checkpoint(eager=True)
-    gamma = best_gamma(report)
-    tuned = apply_nudge(new_doc_vecs, targets, gamma, kind)
+    vrel = q_new.join(val, "query_id", "left_semi")
+    if run is None:
+        report = _gamma_report(new_doc_vecs, targets, vq, vrel, kind, grid, competitors=existing_vecs)
+    else:
+        report = choose_gamma(new_doc_vecs, targets, vq, vrel, kind, grid, rivals=best_of(
+            run, vrel.where("relevance = 1").select(F.col("query_id").alias("id")).distinct()))
+    gamma = best_gamma(report.checkpoint(eager=True))
+    return apply_nudge(new_doc_vecs, targets, gamma, kind), gamma
+
+
+def nudge_insert(existing_vecs: DataFrame, new_doc_vecs: DataFrame, query_vecs: DataFrame,
+                 qrels: DataFrame, splits: DataFrame, kind: str = "nudge-n",
+                 train_split: str = "train", val_split: str = "val", grid=DEFAULT_GRID):
+    """Add new documents, tune only them; existing vectors compete during
+    gamma selection but do not change. An id already present fails.
+    Returns ``(existing + tuned new vectors, gamma)``."""
+    tuned, gamma = _insert(existing_vecs, new_doc_vecs, query_vecs, qrels, splits, kind,
+                           train_split, val_split, grid, None)
+    return existing_vecs.select("id", to_double("vec").alias("vec")).unionByName(tuned), gamma
+
+
+def nudge_insert_kept(run: KeptRun, existing_vecs: DataFrame, new_doc_vecs: DataFrame, qrels: DataFrame,
+                      splits: DataFrame, kind: str = "nudge-n", train_split: str = "train",
+                      val_split: str = "val", grid=DEFAULT_GRID):
+    """N6 batch after batch, with a run over the existing corpus that is kept up
+    to date (``topk``), searched by the metric of ``kind``: the old vectors
+    compete by their best per query in the run, and the tuned new ones enter it.
+    Of ``existing_vecs`` the ids are read, to find an id that is in both, and
+    no vector. Same rows as ``nudge_insert``; the grid must be given. Returns
+    ``(existing + tuned new vectors, gamma, run)``."""
+    if grid is None or run.metric != search_metric(kind):
+        raise ValueError(f"a grid and a run by {search_metric(kind)} are needed")
+    tuned, gamma = _insert(existing_vecs, new_doc_vecs, run.query_vecs, qrels, splits, kind,
+                           train_split, val_split, grid, run)
+    tuned = materialised(tuned, "tuned")              # the run and the result read it
     out = existing_vecs.select("id", to_double("vec").alias("vec")).unionByName(tuned)
-    return out, gamma
+    return out, gamma, insert_docs(run, tuned)
 
 
 def changed_vectors(before: DataFrame, after: DataFrame) -> DataFrame:
@@ -320,4 +356,5 @@ def changed_vectors(before: DataFrame, after: DataFrame) -> DataFrame:
 
 
 __all__ = ["nudge_targets", "nudge_m", "nudge_n", "apply_nudge", "choose_gamma",
-           "gamma_steps", "best_gamma", "nudge_finetune", "nudge_insert", "changed_vectors"]
+           "gamma_steps", "best_gamma", "nudge_finetune", "nudge_insert", "nudge_insert_kept",
+           "changed_vectors"]

@@ -626,14 +626,17 @@ def n3(spark, sf):
     return _round_vec(N.nudge_n(cv, tg, NUDGE_GAMMA))
 
 
-def _tuned_sql(kind: str) -> str:
-    """Tuned vectors at the chosen gamma, over CTE ``acc_best``."""
+def _moved_sql(kind: str) -> str:
+    """Vectors moved by the chosen gamma, over CTE ``acc_best``."""
     each = [(g, O.nudge_n_sql(g) if kind == "nudge-n" else O.nudge_m_sql(O._dbl(g))) for g in N.DEFAULT_GRID]
-    return ("SELECT id, list_transform(vec, lambda x: round(x, 9)) AS vec FROM ("
-            + " UNION ALL ".join(f"SELECT {O._dbl(g)} AS gamma, * FROM ({sql}) x" for g, sql in each)
+    return ("SELECT id, vec FROM (" + " UNION ALL ".join(f"SELECT {O._dbl(g)} AS gamma, * FROM ({sql}) x" for g, sql in each)
             + ") u WHERE gamma = (SELECT gamma FROM acc_best WHERE best)")
 
 
+def _tuned_sql(kind: str) -> str:
+    return _rv(_moved_sql(kind))
+
+
 def _choose(kind):
     def run(spark, sf):
         t, qv, cv = _nudge_inputs(spark, sf)
@@ -753,6 +756,56 @@ for _kind, _tag in (("nudge-n", ""), ("nudge-m", "_m")):
         _tuned_sql(_kind)))(_insert(_kind))
 
 
+def _insert_kept(kind):
+    def run(spark, sf):
+        from retrievalkit.operators import topk
+
+        t, qv, cv = _nudge_inputs(spark, sf)
+        is_new = F.md5(F.concat(F.lit("42:insert:"), F.col("id"))) < "8"
+        kept = topk.start_run(qv, cv.where(~is_new), 10, N.search_metric(kind))
+        _, _, kept = N.nudge_insert_kept(kept, cv.where(~is_new), cv.where(is_new), t.qrels, t.splits, kind)
+        return topk.run_table(kept, "kept")
+    run.__doc__ = (f"The top 10 of every query, kept up to date while half of the corpus is inserted and tuned ({kind}): "
+                   "the first half is searched once, the rest is merged into its lists.")
+    return run
+
+
+for _kind, _tag in (("nudge-n", ""), ("nudge-m", "_m")):
+    register(f"N6_insert_kept_run{_tag}", O.with_(
+        O.nudge_base(doc_filter=_NEW_DOC.format(c="r.doc_id")) + ","
+        + O.nudge_accuracy_sql(N.DEFAULT_GRID, _kind, doc_filter=_NEW_DOC.format(c="r.doc_id"))
+        + f", moved_vecs AS ({_moved_sql(_kind)})", f"""
+        SELECT 'kept' AS run_id, query_id, doc_id, score, CAST(rank AS INTEGER) AS rank FROM (
+          SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM (
+            SELECT q.id AS query_id, d.id AS doc_id,
+                   round({O.score_sql(N.search_metric(_kind), 'q.vec::DOUBLE[]', 'd.vec')}, 6) AS score
+            FROM qv q, moved_vecs d) s WHERE score IS NOT NULL) r WHERE rank <= 10"""))(_insert_kept(_kind))
+
+
+_SEARCHES = "vec_id % 50 = 0"          # a search takes these rows as queries, against all rows
+_GONE = "md5('42:gone:' || {id}) < '4'"
+
+
+@register("R1_kept_run", f"""
+    SELECT 'kept' AS run_id, query_id, doc_id, score, CAST(rank AS INTEGER) AS rank FROM (
+      SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM (
+        SELECT q.id AS query_id, c.id AS doc_id, round({O.score_sql("cosine")}, 6) AS score
+        FROM ({O.VEC} WHERE {_SEARCHES}) q, (SELECT * FROM ({O.VEC}) v WHERE NOT {_GONE.format(id="id")}) c) s
+      WHERE score IS NOT NULL) r WHERE rank <= 10""")
+def r1_kept(spark, sf):
+    """Top 10 by cosine of the embeddings with ids divisible by 50, kept exact while
+    the corpus of all embeddings arrives in three batches and a quarter of it leaves."""
+    from retrievalkit.operators import topk
+
+    v = testdata.vectors(spark, sf).select("id", "vec")
+    batch = [v.where(F.col("id").cast("long") % 3 == i) for i in range(3)]
+    kept = topk.start_run(v.where(F.col("id").cast("long") % 50 == 0), batch[0], 10, "cosine")
+    for more in batch[1:]:
+        kept = topk.insert_docs(kept, more)
+    gone = F.expr(_GONE.format(id="id"))
+    return topk.run_table(topk.remove_docs(kept, v.where(gone), v.where(~gone)), "kept")
+
+
 # ---- stores: dataset JSON (D1/D2), Parquet tables (D3), runs (D7) ------------------------
 
 
