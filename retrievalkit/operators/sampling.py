@@ -1,12 +1,16 @@
 """Numbering, splits, sampling and selection.
 
 Randomness is a ranking by ``md5(seed:salt:id)`` (see functions.keys):
-exact sizes, repeatable, independent of partitioning.
+exact sizes, repeatable, independent of partitioning. An exact share of the rows
+is drawn by finding the last key that belongs to it (``first_keys``): rows are
+counted by key prefix, pass after pass, and then filtered; they are not sorted
+or shuffled.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
@@ -17,7 +21,8 @@ from retrievalkit.session import ensure_checkpoint_dir
 from retrievalkit.tables import RagTables
 
 _POS_BITS = 33
-TAKE_ORDERED_MAX = 10_000    # above this, U4 ranks with U1 instead of TakeOrdered
+_DIGITS = 4                  # hex digits of a key per pass: at most 65,536 counts
+_LEAF = 10_000               # keys of one prefix that may be put in order to find the last one
 
 
 def _cols(cols) -> list[Column]:
@@ -71,6 +76,43 @@ def dense_index(df: DataFrame, order_cols, out: str = "ord", partition_cols=(),
     return res.drop("__di_mid", "__di_pid", "__di_pos", "__di_off", "__di_first", "__di_cnt", *okeys)
 
 
+def first_keys(df: DataFrame, key: Column, id_col: str, size: Callable[[int], int]) -> Column:
+    """A condition that holds for the first ``size(n)`` of the ``n`` rows of
+    ``df`` in the order (md5 ``key``, id), to be used on ``df``.
+
+    Each pass counts the rows by the next digits of the key, within the prefix
+    where the wanted size is passed, until a prefix fits whole or has at most
+    ``_LEAF`` rows; a pass shuffles and returns at most 65,536 counts. Rows
+    without an id are not counted and not drawn; rows that share an id are drawn
+    together, so the size is exact for unique ids.
+    """
+    ids = F.col(id_col).cast("string")
+    keyed = df.select(key.alias("k"), ids.alias("i")).where("i is not null")
+    prefix, left = "", None                      # rows still wanted of those with the prefix
+    while True:
+        some = keyed.where(F.substring("k", 1, len(prefix)) == prefix) if prefix else keyed
+        counts = sorted(some.groupBy(F.substring("k", len(prefix) + 1, _DIGITS).alias("p")).agg(
+            F.count(F.lit(1)).alias("c")).collect())
+        if left is None:
+            n = sum(c for _, c in counts)
+            left = size(n)
+            if left <= 0:
+                return F.lit(False)
+            if left >= n:
+                return ids.isNotNull()
+        for p, c in counts:
+            if left <= c:
+                break
+            left -= c
+        prefix += p
+        if left == c or len(prefix) == 32:
+            return ids.isNotNull() & (F.substring(key, 1, len(prefix)) <= prefix)
+        if c <= _LEAF:
+            last = (keyed.where(F.substring("k", 1, len(prefix)) == prefix).orderBy("k", "i").limit(left)
+                    .agg(F.max(F.struct("k", "i")).alias("m")).first()["m"])
+            return (key < last["k"]) | ((key == last["k"]) & (ids <= last["i"]))
+
+
 def select_split(tables: RagTables, split: str | None = None) -> DataFrame:
     """``None`` -> all queries; else that split's queries, ``ord`` = list
     position. An unknown split raises (checked with a one-row probe)."""
@@ -89,12 +131,8 @@ def split_train_val(queries: DataFrame, ratio: float, seed: int = 42) -> DataFra
     position in the list). The seed is always applied."""
     if not 0 <= ratio <= 1:
         raise ValueError(f"validation share {ratio} is outside [0, 1]")
-    n = queries.count()
-    val_size = int(n * ratio)
-    ranked = dense_index(queries.select("query_id", "ord"),
-                         [sample_key(seed, "split", "query_id"), F.col("query_id")], out="_rk")
-    labelled = ranked.withColumn(
-        "split", F.when(F.col("_rk") < val_size, "val").otherwise("train"))
+    drawn = first_keys(queries, sample_key(seed, "split", "query_id"), "query_id", lambda n: int(n * ratio))
+    labelled = queries.withColumn("split", F.when(drawn, "val").otherwise("train"))
     out = dense_index(labelled.select("query_id", "split", "ord"),
                       [F.col("ord"), F.col("query_id")], out="pos", partition_cols=["split"])
     return out.select("query_id", "split", F.col("pos").alias("ord"))
@@ -103,31 +141,22 @@ def split_train_val(queries: DataFrame, ratio: float, seed: int = 42) -> DataFra
 def split_dev(splits: DataFrame, frac: float = 0.5, seed: int = 42) -> DataFrame:
     """Train -> train + dev (dev size ``ceil(n * frac)``), val -> test."""
     train = splits.where("split = 'train'")
-    n = train.count()
-    dev_size = math.ceil(n * frac)
-    ranked = dense_index(train.select("query_id", "ord"),
-                         [sample_key(seed, "dev", "query_id"), F.col("query_id")], out="_rk")
-    parts = ranked.select("query_id", "ord", F.when(F.col("_rk") < dev_size, "dev")
-                          .otherwise("train").alias("split"))
+    drawn = first_keys(train, sample_key(seed, "dev", "query_id"), "query_id", lambda n: math.ceil(n * frac))
+    parts = train.select("query_id", "ord", F.when(drawn, "dev").otherwise("train").alias("split"))
     rest = (splits.where("split <> 'train'")
             .withColumn("split", F.when(F.col("split") == "val", "test").otherwise(F.col("split"))))
     return parts.select("query_id", "split", "ord").unionByName(rest.select("query_id", "split", "ord"))
 
 
 def sample_docs(corpus: DataFrame, k: int, seed: int = 42, id_col: str = "doc_id") -> DataFrame:
-    """U4: k documents without replacement; k larger than the corpus raises."""
-    n = corpus.count()
-    if k > n:
-        raise ValueError(f"sample larger than population: {k} > {n}")
-    key = sample_key(seed, "sample", id_col)
-    if k <= TAKE_ORDERED_MAX:
-        # TakeOrdered on (key, id) only: at most k small rows per task reach the
-        # final merge; the chosen ids are then semi-joined back to the rows.
-        ids = corpus.select(key.alias("_k"), F.col(id_col)).orderBy("_k", id_col).limit(k)
-        return corpus.join(ids.select(id_col), id_col, "left_semi")
-    ranked = dense_index(corpus.select(F.col(id_col), key.alias("_k")), [F.col("_k"), F.col(id_col)],
-                         out="_rk")
-    return corpus.join(ranked.where(F.col("_rk") < k).select(id_col), id_col, "left_semi")
+    """U4: k documents without replacement; k larger than the corpus raises.
+    Every column is kept, and no document is shuffled."""
+    def size(n: int) -> int:
+        if k > n:
+            raise ValueError(f"sample larger than population: {k} > {n}")
+        return k
+
+    return corpus.where(first_keys(corpus, sample_key(seed, "sample", id_col), id_col, size))
 
 
 def subset_corpus(tables: RagTables, first_n: int) -> RagTables:
