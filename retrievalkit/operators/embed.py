@@ -7,8 +7,8 @@
   tokens, md5 bucket, counts, L2 normalised. Lets the text pipelines run and be
   checked against SQL without model weights.
 * E3 ``l2_normalize`` lives in ``functions.vectors``.
-* E4 ``embed_incremental``: a Parquet store keyed per row by (model, role,
-  instruction, normalize, md5(text)); only missing texts are encoded.
+* E4 ``embed_incremental``: a store (``embed_store``) keyed per row by (model,
+  role, instruction, normalize, md5(text)); only missing texts are encoded.
 * E5 ``with_instruction``, E6 ``prepare_corpus``.
 """
 
@@ -22,7 +22,8 @@ from pyspark.sql import types as T
 
 from retrievalkit.functions.text import with_prefix
 from retrievalkit.functions.vectors import l2_normalize
-from retrievalkit.session import materialised, path_exists, ship_package
+from retrievalkit.operators import embed_store
+from retrievalkit.session import materialised, ship_package
 
 VEC_SCHEMA = T.StructType([
     T.StructField("id", T.StringType()),
@@ -135,52 +136,33 @@ def hashing_encoder_factory(dim: int = 64):
 
 # ---- E4: incremental store ----------------------------------------------------------
 
-STORE_SCHEMA = T.StructType([
-    T.StructField("model", T.StringType()),
-    T.StructField("role", T.StringType()),
-    T.StructField("instruction", T.StringType()),
-    T.StructField("normalize", T.BooleanType()),
-    T.StructField("text_md5", T.StringType()),
-    T.StructField("vec", T.ArrayType(T.FloatType())),
-])
-
-
 def embed_incremental(df: DataFrame, store_path: str, model: str, *,
                       embed_fn: Callable[[DataFrame], DataFrame], id_col: str = "id",
                       text_col: str = "text", role: str = "none",
-                      instruction: str | None = None, normalize: bool = True) -> DataFrame:
+                      instruction: str | None = None, normalize: bool = True,
+                      buckets: int = embed_store.BUCKETS) -> DataFrame:
     """Vectors for ``df`` reusing the store; texts not yet stored under
     this (model, role, instruction, normalize) are encoded by ``embed_fn``
     (a DataFrame ``(id, text) -> (id, vec)`` function, e.g. E1 or E2) and
     appended to the store. Changed text -> new key, never stale; a null text
     counts as the empty one, as in E1.
 
-    The store is partitioned by model and role and read once per call: rows are
-    joined with it, the misses are encoded, and the fresh vectors are united
-    with the hits. Only a store that does not exist counts as empty; any other
-    error is raised.
+    The store holds batches of ``buckets`` hash buckets (``embed_store``): rows
+    are joined with it bucket by bucket, the misses are encoded and appended as
+    a batch, and the fresh vectors are united with the hits. Only a store that
+    does not exist counts as empty; any other error is raised.
     """
-    spark = df.sparkSession
     instr = instruction or ""
     src = df.select(F.col(id_col).cast("string").alias("id"),
                     with_prefix(F.coalesce(F.col(text_col), F.lit("")), instruction).alias("text"))
-    src = src.withColumn("text_md5", F.md5("text"))
-    if path_exists(spark, store_path):
-        key = ((F.col("model") == model) & (F.col("role") == role)
-               & (F.col("instruction") == instr) & (F.col("normalize") == F.lit(normalize)))
-        known = spark.read.schema(STORE_SCHEMA).parquet(store_path).where(key).select(
-            "text_md5", "vec").dropDuplicates(["text_md5"])
-        src = src.join(known, "text_md5", "left")
-    else:
-        src = src.withColumn("vec", F.lit(None).cast("array<float>"))
-    looked = materialised(src.select("id", "text_md5", "vec", F.when(F.col("vec").isNull(), F.col("text")).alias("text")),
-                          "embed-lookup")
+    looked = embed_store.lookup(src.withColumn("text_md5", F.md5("text")), store_path, model, role, instr, normalize)
     missing = looked.where("vec is null").groupBy("text_md5").agg(F.first("text").alias("text"))
     fresh = materialised(embed_fn(missing.select(F.col("text_md5").alias("id"), "text")).select(
         F.col("id").alias("text_md5"), "vec"), "embed-fresh")
-    (fresh.select(F.lit(model).alias("model"), F.lit(role).alias("role"),
-                  F.lit(instr).alias("instruction"), F.lit(normalize).alias("normalize"), "text_md5", "vec")
-     .write.mode("append").partitionBy("model", "role").parquet(store_path))
+    if not fresh.isEmpty():
+        embed_store.append(fresh.select(
+            F.lit(model).alias("model"), F.lit(role).alias("role"), F.lit(instr).alias("instruction"),
+            F.lit(normalize).alias("normalize"), "text_md5", "vec"), store_path, buckets)
     hits = looked.where("vec is not null").select("id", "vec")
     return hits.unionByName(looked.where("vec is null").select("id", "text_md5").join(fresh, "text_md5").select("id", "vec"))
 
