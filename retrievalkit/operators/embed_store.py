@@ -14,7 +14,8 @@ between, both are read, with the same result. The replaced folders stay for
 readers that began before; ``unused_batches`` lists them.
 
 The number of buckets is set by the first batch and is part of every batch's
-name. The session's catalog is used for table names of the moment only.
+name. If first writers at once set different ones, lookups read plain files,
+with a shuffle, until ``compact`` has run. The session's catalog is used for table names of the moment only.
 """
 
 from __future__ import annotations
@@ -78,6 +79,12 @@ def stored(spark: SparkSession, store: str):
     if not names:
         yield None
         return
+    def one_a_key(rows: DataFrame) -> DataFrame:
+        return rows.groupBy(*_KEY).agg(F.first("vec").alias("vec"))
+
+    if len({_buckets([n], 0) for n in names}) > 1:
+        yield one_a_key(spark.read.schema(STORE_SCHEMA).parquet(*[f"{store}/batch={n}" for n in names]))
+        return
     table = f"rk_store_{uuid.uuid4().hex}"
     fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in STORE_SCHEMA.fields)
     place = store.replace("\\", "\\\\").replace("'", "\\'")
@@ -86,7 +93,7 @@ def stored(spark: SparkSession, store: str):
     try:
         for n in names:
             spark.sql(f"ALTER TABLE {table} ADD IF NOT EXISTS PARTITION (batch = '{n}')")
-        yield spark.table(table).where(F.col("batch").isin(names)).groupBy(*_KEY).agg(F.first("vec").alias("vec"))
+        yield one_a_key(spark.table(table).where(F.col("batch").isin(names)))
     finally:
         spark.sql(f"DROP TABLE {table}")             # external: the files stay
 

@@ -59,6 +59,18 @@ def test_a_batch_without_mark_is_not_read(spark, tmp_path):
     assert keys_in(spark, store) == ["a"]
 
 
+def test_first_batches_with_unlike_bucket_counts(spark, tmp_path, monkeypatch):
+    store = str(tmp_path / "store")
+    keys = [f"k{i}" for i in range(40)]
+    with monkeypatch.context() as m:
+        m.setattr(S, "_names", lambda spark, store: [])        # neither writer sees the other
+        S.append(rows(spark, keys[:25]), store, 4)
+        S.append(rows(spark, keys[15:]), store, 16)
+    assert keys_in(spark, store) == sorted(keys)
+    S.compact(spark, store)
+    assert len(S.batches(spark, store)) == 1 and keys_in(spark, store) == sorted(keys)
+
+
 def test_compaction_keeps_the_rows(spark, tmp_path):
     store = str(tmp_path / "store")
     names = [S.append(rows(spark, ks), store, 4) for ks in (["a", "b"], ["b", "c"], ["d"])]
