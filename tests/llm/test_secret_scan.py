@@ -96,6 +96,27 @@ def test_joined_words_take_nothing_from_keys(spark, texts001):
     assert recall >= 0.9 and others <= 1
 
 
+def test_null_is_every_stretch_of_every_text(spark, texts001):
+    """Each class's stretches cover all letters of a text (but the rest at its end), also of one longer than a piece."""
+    texts = [t for _, t in sorted(texts001.items()) if t][:30] + [
+        None, "", "short", "abcdef" * 40, "z" * 90, "Key " + "x1" * 20 + " stays out of " * 9, ("The old road leaves. " * 900 + "é ")]
+    df = spark.createDataFrame([(t,) for t in texts], "text string").select(S.text_of("text").alias("__secret_text"))
+    got = sorted((r["length"], r["bin"]) for r in S._null(df).collect())
+    bodies = []
+    for t in texts:
+        t = t or ""
+        if re.search(S._MIXED, t):
+            t = re.sub(S._DIGIT_WORD, "", t)
+        t = re.sub("[^A-Za-z]+", "", t).lower()
+        bodies += [(t[i:i + n],) for n in S.LENGTHS for i in range(0, len(t) - n + 1, n)]
+    from pyspark.sql import functions as F
+
+    plain = spark.createDataFrame(bodies, "body string").select(F.array(F.struct(
+        F.lit(0).alias("start"), F.lit(0).alias("end"), "body")).alias("b")).select(S._statistic(F.col("b"))[0].alias("s"))
+    want = sorted((r["length"] % len(S.LENGTHS), r["bin"]) for r in plain.select("s.length", "s.bin").collect())
+    assert len(got) > 10_000 and got == want
+
+
 def test_rule_among_a_million_candidates():
     """Fifty keys and a million other candidates in one class, six hundred null stretches."""
     r = random.Random(1)
