@@ -117,6 +117,22 @@ def test_null_is_every_stretch_of_every_text(spark, texts001):
     assert len(got) > 10_000 and got == want
 
 
+def test_null_step_has_no_work_by_element(spark, docs001):
+    """A lambda runs by letter, many times slower than compiled code; the session's limit on code stays as it was."""
+    plan = S._null(docs001.select(S.text_of("text").alias("__secret_text")))._jdf.queryExecution().toString()
+    assert "explode" in plan and not re.search(r"lambda", plan)
+    kept = spark.conf.get(S._METHOD, None)
+    S.limits(docs001.limit(5))
+    assert spark.conf.get(S._METHOD, None) == kept
+
+
+def test_digit_within_a_run():
+    """Looking for the digit first finds the same texts."""
+    r, old = random.Random(5), re.compile("[0-9][A-Za-z0-9+/_=-]{9}|[A-Za-z0-9+/_=-]{9}[0-9]")
+    texts = ["".join(r.choice("ab7 -_") if r.random() < 0.9 else " " for _ in range(r.randint(0, 24))) for _ in range(5000)]
+    assert [bool(re.search(S._MIXED, t)) for t in texts] == [bool(old.search(t)) for t in texts]
+
+
 def test_rule_among_a_million_candidates():
     """Fifty keys and a million other candidates in one class, six hundred null stretches."""
     r = random.Random(1)
